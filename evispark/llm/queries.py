@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import mixing, quality, simhash
-from evispark.llm.common import table
+from evispark.llm import bpe, hosts, mixing, quality, simhash, warc
+from evispark.llm.common import scratch_path, table
+
+
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    path = path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"__base.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), F.col("__kept").alias("kept"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), model_path())
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -24,5 +41,9 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op5_simhash": op5_simhash, "op9_mix": op9_mix}
-ORACLE_SQL = {"op2_quality_rules": quality.QUALITY_SQL, "op9_mix": mixing.MIX_SQL}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op5_simhash, op9_mix, op10_url_filters)}
+ORACLE_SQL = {"op1_warc": warc.WARC_SQL, "op2_quality_rules": quality.QUALITY_SQL, "op9_mix": mixing.MIX_SQL, "op10_url_filters": hosts.HOSTS_SQL}
