@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import bpe, hosts, langid, mixing, omh, quality, simhash, warc
+from evispark.llm import bpe, hosts, langid, maxent, mixing, omh, quality, simhash, warc
 from evispark.llm.common import scratch_path, table
 
 
@@ -44,6 +44,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
@@ -53,5 +57,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op5_simhash, op6_language_id, op7_order_minhash, op9_mix, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op5_simhash, op6_language_id, op7_order_minhash, op8_lm_scores, op9_mix, op10_url_filters)}
 ORACLE_SQL = {"op1_warc": warc.WARC_SQL, "op2_quality_rules": quality.QUALITY_SQL, "op9_mix": mixing.MIX_SQL, "op10_url_filters": hosts.HOSTS_SQL}
