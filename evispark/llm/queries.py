@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import bpe, hosts, langid, maxent, mixing, omh, quality, simhash, warc
+from evispark.llm import bpe, hosts, langid, lines, maxent, mixing, omh, quality, simhash, warc
 from evispark.llm.common import scratch_path, table
 
 
@@ -31,6 +31,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.length("__text"), F.lit(0)).alias("kept_chars")
+    return found.select("doc_id", *(F.col(f"__{c}").cast("long").alias(f"n_{c}") for c in ("lines", "gone", "fuzzy")), size, F.sha2(F.coalesce("__text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,5 +63,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op5_simhash, op6_language_id, op7_order_minhash, op8_lm_scores, op9_mix, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_line_dedup, op5_simhash, op6_language_id, op7_order_minhash, op8_lm_scores, op9_mix, op10_url_filters)}
 ORACLE_SQL = {"op1_warc": warc.WARC_SQL, "op2_quality_rules": quality.QUALITY_SQL, "op9_mix": mixing.MIX_SQL, "op10_url_filters": hosts.HOSTS_SQL}
