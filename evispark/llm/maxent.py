@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -84,10 +85,19 @@ def features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([(x ^ (x >> np.uint32(15))) * b >> np.uint32(32 - BUCKETS.bit_length() + 1) for x in parts], axis=1).astype(np.int64)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    scores = weights[rows].sum(axis=1) + bias
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp(scores), their sums by token), scaled so that neither overflows."""
+    scores = np.take(weights, rows[:, 0], axis=0)
+    for j in range(1, rows.shape[1]):
+        scores += np.take(weights, rows[:, j], axis=0)
+    scores += bias
+    scores -= scores.max()
+    raised = np.exp(scores)
+    sums = raised @ np.ones(raised.shape[1], raised.dtype)
+    if sums.min(initial=1) < 1e-30:  # a token far below the best of its batch
+        raised = np.exp(scores - scores.max(axis=1, keepdims=True))
+        sums = raised.sum(axis=1)
+    return raised, sums
 
 
 class Trainer:
@@ -100,14 +110,15 @@ class Trainer:
     def learn(self, classes: np.ndarray, rows: np.ndarray) -> None:
         for at in range(0, len(classes), STEP):
             own, some = classes[at : at + STEP], rows[at : at + STEP]
-            slope = np.exp(log_softmax(self.weights, self.bias, some))
+            slope, sums = class_scores(self.weights, self.bias, some)
+            slope /= sums[:, None]
             slope[np.arange(len(own)), own] -= 1
             flat = some.ravel()
             order = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-            total = np.add.reduceat(slope[order // FEATURES], first, axis=0)
+            total = np.add.reduceat(np.take(slope, order // FEATURES, axis=0), first, axis=0)
             touched = flat[order][first]
-            self.seen[touched] += (total * total).mean(axis=1)
+            self.seen[touched] += np.einsum("ij,ij->i", total, total) / CLASSES
             self.weights[touched] -= RATE * total / np.sqrt(self.seen[touched])[:, None]
             self.tokens += len(own)
 
@@ -250,23 +261,27 @@ def scores(docs: DataFrame, fold: int = 1, folds: int = 5, frequent: int = FREQU
             for found, starts in grouped(iter(b.column("text"))):
                 classes, hashes, logs, known = words.code(found)
                 rows = features(hashes, starts)
-                own = np.concatenate([log_softmax(weights, bias, rows[i : i + STEP])[np.arange(len(rows[i : i + STEP])), classes[i : i + STEP]] for i in range(0, len(rows), STEP)])
+                own = np.concatenate([chosen(weights, bias, rows[i : i + STEP], classes[i : i + STEP]) for i in range(0, len(rows), STEP)])
                 inside = classes > SINGLES
                 model = own.astype(float) / np.log(10) + np.where(inside, logs, 0) - vocabulary.log_below[classes]
-                rare, ends = [Counter() for _ in starts], np.r_[starts[1:], len(found)]
-                for i in np.flatnonzero(~known):
-                    rare[np.searchsorted(starts, i, "right") - 1][found[i].decode()] += 1
-                n = len(starts)
+                n, ends, unknown = len(starts), np.r_[starts[1:], len(found)], np.flatnonzero(~known)
+                cuts = np.searchsorted(unknown, np.r_[starts, len(found)]).tolist()
+                rest = [found[i] for i in unknown.tolist()]
+                rare = [Counter(rest[i:j]) for i, j in itertools.pairwise(cuts)]
+                flat = pa.array([w for r in rare for w in r], pa.binary()).cast(pa.string())
+                times = pa.array([k for r in rare for k in r.values()], pa.int64())
+                places = pa.array([0, *itertools.accumulate(map(len, rare))], pa.int32())
                 sums = [np.add.reduceat(x, starts) for x in (model, logs, known.astype(np.int64))]
                 yield pa.record_batch(
                     [pa.array(np.arange(row, row + n)), ids.slice(done, n), helds.slice(done, n), pa.array(ends - starts), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0]),
-                     pa.array([list(map(list_of, r.items())) for r in rare], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                     pa.ListArray.from_arrays(places, pa.StructArray.from_arrays([flat, times], ["word", "n"]))],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"],
                 )
                 row, done = row + n, done + n
 
-    def list_of(item):
-        return {"word": item[0], "n": item[1]}
+    def chosen(weights, bias, rows, classes):
+        raised, sums = class_scores(weights, bias, rows)
+        return np.log(np.maximum(raised[np.arange(len(rows)), classes], 1e-38) / sums)
 
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double, rare array<struct<word: string, n: long>>"
     parts = saved(base.mapInArrow(run, schema), "scored")
