@@ -2,5 +2,408 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evispark.functions import facts, text
+from evispark.operators import answering, chunking, ledger, metrics, retrieval, routing, training
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+W = text.word_tokens
+TOP = 10
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+
+
+def asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z]+(?:[-_.][A-Za-z0-9]+)*|\d+(?:\.\d+)?')"
+_POSTINGS = f"""tok AS (SELECT doc_id AS chunk_id, lang, {_TOKENS.format("text")} AS t FROM documents),
+size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+post AS (SELECT chunk_id, lang, term, dl, count(*) AS tf FROM (SELECT chunk_id, lang, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY chunk_id, lang, term, dl),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT query_id, chunk_id, any_value(lang) AS lang, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score
+  FROM post JOIN qt USING (term) JOIN df USING (term), size GROUP BY query_id, chunk_id),
+bm AS (SELECT query_id, chunk_id, lang, round(score, 6) AS score FROM scored WHERE score > 0)"""
+
+
+def _top(rows: str, where: str = "true", k: int = TOP, score: str = "score") -> str:
+    return f"SELECT query_id, chunk_id, {score}, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS INTEGER) AS rank FROM {rows} WHERE {where}) WHERE rank <= {k}"
+
+
+@query(f"SELECT doc_id AS chunk_id, len({_TOKENS.format('text')}) AS n_tokens, len(list_distinct({_TOKENS.format('text')})) AS n_distinct FROM documents")
+def tokenize_counts(spark, sf_dir):
+    return chunks(spark, sf_dir).select("chunk_id", F.size(W(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(W(F.col("text")))).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {_POSTINGS}, cf AS (SELECT term, sum(tf) AS cf FROM post GROUP BY term) SELECT term, df, CAST(cf AS BIGINT) AS cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM df JOIN cf USING (term), size")
+def term_stats(spark, sf_dir):
+    return retrieval.term_stats(chunks(spark, sf_dir), W).withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH {_POSTINGS} " + _top("bm"))
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), TOP, W).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_POSTINGS} " + _top("bm", "lang = 'en'"))
+def bm25_filtered_topk(spark, sf_dir):
+    found = chunks(spark, sf_dir)
+    pairs = found.where("lang = 'en'").select("chunk_id").crossJoin(F.broadcast(asked(spark, sf_dir).select("query_id")))  # the fixed list of questions
+    return retrieval.bm25(found, asked(spark, sf_dir), TOP, W, allowed=pairs).select("query_id", "chunk_id", "score", "rank")
+
+
+_TEXTS = ("营业收入", "RAG 2025 16.12", "研", "甲公司2024年研发投入", "归属于上市公司股东的净利润")
+
+
+@query("""SELECT * FROM (VALUES
+ ('营业收入', ['营','业','收','入','营业','业收','收入','营业收入']), ('RAG 2025 16.12', ['rag','2025','16.12']), ('研', ['研','研']),
+ ('甲公司2024年研发投入', ['甲','公','司','甲公','公司','甲公司','2024','年','研','发','投','入','年研','研发','发投','投入','年研发投入']),
+ ('归属于上市公司股东的净利润', ['归','属','于','上','市','公','司','股','东','的','净','利','润','归属','属于','于上','上市','市公','公司','司股','股东','东的','的净','净利','利润'])) t(text, tokens)""")
+def cjk_tokenize(spark, sf_dir):
+    return spark.createDataFrame([(t,) for t in _TEXTS], "text string").select("text", text.tokenize(F.col("text")).alias("tokens"))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _vector_queries(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).where("chunk_id % 50 = 0")
+    return rows.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
+
+
+def _dense(spark, sf_dir, same_parity=False, k=TOP):
+    keep = F.col("chunk_id") != F.col("query_id")
+    return retrieval.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k, keep & (F.col("label") % 2 == F.col("query_label") % 2) if same_parity else keep)
+
+
+_DENSE = """dn AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, q.label AS query_label, v.label AS label, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)"""
+
+
+@query(f"WITH {_DENSE} " + _top("dn"))
+def dense_topk(spark, sf_dir):
+    return _dense(spark, sf_dir).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_DENSE} " + _top("dn", "label % 2 = query_label % 2"))
+def dense_filtered_topk(spark, sf_dir):
+    return _dense(spark, sf_dir, True).select("query_id", "chunk_id", "score", "rank")
+
+
+_FUSED = f"""a AS ({_top("dn", k=30)}), b AS ({_top("dn", "label % 2 = query_label % 2", 30)}),
+parts AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a UNION ALL SELECT query_id, chunk_id, {{weight}}::DOUBLE / (60 + rank) FROM b),
+fu AS (SELECT query_id, chunk_id, round(sum(part), 12) AS score FROM parts GROUP BY ALL)"""
+
+
+@query(f"WITH {_DENSE}, {_FUSED.format(weight='1.0')} " + _top("fu"))
+def rrf_fusion(spark, sf_dir):
+    return retrieval.fuse([_dense(spark, sf_dir, k=30), _dense(spark, sf_dir, True, 30)], TOP).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_DENSE}, {_FUSED.format(weight='3.0')} " + _top("fu"))
+def weighted_rrf(spark, sf_dir):
+    return retrieval.fuse([_dense(spark, sf_dir, k=30), _dense(spark, sf_dir, True, 30)], TOP, [1.0, 3.0]).select("query_id", "chunk_id", "score", "rank")
+
+
+_RERANK = f"""b AS ({_top("bm")}),
+ov AS (SELECT b.query_id, b.chunk_id, b.rank AS former, round(len(list_intersect(list_distinct({_TOKENS.format("q.text")}), {_TOKENS.format("d.text")})) / len(list_distinct({_TOKENS.format("q.text")})), 6) AS score
+  FROM b JOIN benchmark q ON q.item_id = b.query_id JOIN documents d ON d.doc_id = b.chunk_id)"""
+
+
+@query(f"WITH {_POSTINGS}, {_RERANK} SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, former) AS INTEGER) AS rank FROM ov) WHERE rank <= 5")
+def rerank_topk(spark, sf_dir):
+    found, questions = chunks(spark, sf_dir), asked(spark, sf_dir)
+    hits = retrieval.bm25(found, questions, TOP, W).join(questions, "query_id").join(found.select("chunk_id", "text"), "chunk_id")
+    return retrieval.rerank(hits, retrieval.overlap(F.col("query"), F.col("text"), W), 5).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {_DENSE}, a AS ({_top("dn")}), b AS ({_top("dn", "label % 2 = query_label % 2")}),
+m AS (SELECT query_id, chunk_id, max(score) AS score, min(turn * 1000 + rank) AS seen FROM (SELECT *, 0 AS turn FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS INTEGER) AS rank FROM m""")
+def merge_ranked(spark, sf_dir):
+    return retrieval.merge(_dense(spark, sf_dir), _dense(spark, sf_dir, True)).select("query_id", "chunk_id", "score", "rank")
+
+
+def _relevance(spark, sf_dir):
+    questions = _vector_queries(spark, sf_dir)
+    pairs = _vectors(spark, sf_dir).join(questions, (F.col("label") == F.col("query_label")) & (F.col("chunk_id") != F.col("query_id")))
+    return questions.select("query_id", F.concat(F.lit("label"), F.col("query_label")).alias("question_type")), pairs.select("query_id", "chunk_id")
+
+
+_METRICS = f"""{_DENSE}, hits AS ({_top("dn")}), rel AS (SELECT query_id, chunk_id, 'label' || query_label AS question_type FROM dn WHERE label = query_label),
+per AS (
+  SELECT r.query_id, any_value(question_type) AS question_type, count(*) AS n, count(*) FILTER (WHERE rank <= 1) / count(*) AS r1, count(*) FILTER (WHERE rank <= 5) / count(*) AS r5,
+         coalesce(1.0::DOUBLE / min(rank), 0) AS rr, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg
+  FROM rel r LEFT JOIN hits h ON h.query_id = r.query_id AND h.chunk_id = r.chunk_id GROUP BY r.query_id),
+nd AS (SELECT *, dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM per)
+SELECT {{key}}count(*) AS queries, round(avg(r1), 9) AS recall_at_1, round(avg(r5), 9) AS recall_at_5, round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg_at_5 FROM nd"""
+
+
+@query("WITH " + _METRICS.format(key=""))
+def recall_mrr_ndcg(spark, sf_dir):
+    return metrics.evaluate(*_relevance(spark, sf_dir), _dense(spark, sf_dir), (1, 5))
+
+
+@query("WITH " + _METRICS.format(key="question_type, ") + " GROUP BY ROLLUP (question_type)")
+def metrics_by_type(spark, sf_dir):
+    return metrics.evaluate(*_relevance(spark, sf_dir), _dense(spark, sf_dir), (1, 5), by="question_type")
+
+
+@query("""WITH o AS (SELECT d.n_chars / 1000.0 AS score, l.quality = 1 AS answerable, l.toxic = 0 AS correct FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT *, score >= threshold AS answered FROM o, (VALUES (0.5::DOUBLE), (1.0), (2.0), (4.0)) t(threshold))
+SELECT threshold, count(*) FILTER (WHERE answerable AND answered) / nullif(count(*) FILTER (WHERE answerable), 0)::DOUBLE AS answer_rate,
+       count(*) FILTER (WHERE answerable AND answered AND correct) / nullif(count(*) FILTER (WHERE answerable), 0)::DOUBLE AS exact,
+       count(*) FILTER (WHERE NOT answerable AND NOT answered) / nullif(count(*) FILTER (WHERE NOT answerable), 0)::DOUBLE AS refusal FROM g GROUP BY threshold""")
+def threshold_sweep(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return metrics.sweep(rows.select((F.col("n_chars") / 1000.0).alias("score"), (F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 0).alias("correct")), (0.5, 1.0, 2.0, 4.0))
+
+
+def _markdown(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("company"), F.lit(2024).alias("year"), F.coalesce("text", F.lit("")).alias("markdown"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk(_markdown(spark, sf_dir))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk(_markdown(spark, sf_dir)).groupBy("company").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.countDistinct("document_id").alias("documents"))
+
+
+CHUNK_SCHEMA = "chunk_id string, document_id string, company string, year int, section string, page int, text string"
+#: A small corpus of made-up reports.
+SAMPLE = (
+    ("a-2023:0000", "a-2023", "甲公司", 2023, "主要会计数据", 9, "主要会计数据和财务指标 单位：千元 营业收入 335,149,051 基本每股收益（元/股） 1.20"),
+    ("a-2024:0000", "a-2024", "甲公司", 2024, "主要会计数据", 10, "主要会计数据和财务指标 单位：千元 营业收入 362,012,554 基本每股收益（元/股） 1.35"),
+    ("a-2024:0001", "a-2024", "甲公司", 2024, "分季度", 7, "分季度主要财务指标 第一季度 营业收入 80,000,000"),
+    ("a-2024:0002", "a-2024", "甲公司", 2024, "利润分配", 2, "董事会审议的报告期利润分配预案 每10股派发现金红利39.74元（含税）"),
+    ("b-2024:0000", "b-2024", "乙公司", 2024, "员工", 30, "公司员工情况 技术人员 1,234 境外 营业收入 5,000"),
+)
+QUESTIONS = (
+    ("q1", "甲公司2024年营业收入是多少？"),
+    ("q2", "甲公司2023年和2024年营业收入变化是多少？"),
+    ("q3", "甲公司2019年营业收入是多少？"),
+    ("q4", "丙公司2024年营业收入是多少？"),
+    ("q5", "甲公司2024年每10股分红多少？"),
+    ("q6", "乙公司2024年海外营业收入是多少？"),
+    ("q7", "乙公司2024年技术人员有多少？"),
+    ("q8", "甲公司2024年的审计机构是谁？"),
+    ("q9", "甲公司和乙公司2024年营业收入"),
+)
+
+
+def _sample(spark):
+    return spark.createDataFrame(SAMPLE, CHUNK_SCHEMA), spark.createDataFrame(QUESTIONS, "query_id string, query string")
+
+
+def _routed(spark):
+    found, questions = _sample(spark)
+    return routing.route(questions, routing.scope(found))
+
+
+def _answered(spark):
+    found, _ = _sample(spark)
+    hits = found.crossJoin(F.broadcast(_sample(spark)[1].select("query_id"))).withColumns({"score": F.lit(1.0), "rank": F.col("page"), "source": F.lit("reranker")})  # the sample's lists
+    routed = _routed(spark)
+    chosen = answering.evidence(routed, hits)
+    return routed, chosen, answering.answers(routed, chosen)
+
+
+@query("SELECT ['乙公司', '甲公司'] AS companies, [2023, 2024] AS scope_years")
+def scope_summary(spark, sf_dir):
+    return routing.scope(_sample(spark)[0])
+
+
+@query("""SELECT * FROM (VALUES ('q1', ['甲公司'], [2024], 'single_fact', NULL), ('q2', ['甲公司'], [2023, 2024], 'cross_year', NULL), ('q3', ['甲公司'], [2019], 'out_of_scope', 'period_not_covered'),
+ ('q4', [], [2024], 'out_of_scope', 'company_not_covered'), ('q5', ['甲公司'], [2024], 'single_fact', NULL), ('q6', ['乙公司'], [2024], 'single_fact', NULL), ('q7', ['乙公司'], [2024], 'single_fact', NULL),
+ ('q8', ['甲公司'], [2024], 'single_fact', NULL), ('q9', ['乙公司', '甲公司'], [2024], 'cross_company', NULL)) t(query_id, companies, years, task_type, refusal_reason)""")
+def route_queries(spark, sf_dir):
+    return _routed(spark).select("query_id", "companies", "years", "task_type", "refusal_reason")
+
+
+@query("""SELECT * FROM (VALUES ('q1', '甲公司2024年营业收入是多少？ 主要会计数据 财务指标'), ('q7', '乙公司2024年技术人员有多少？ 公司员工情况 员工数量 专业构成 教育程度'), ('q8', '甲公司2024年的审计机构是谁？')) t(query_id, expanded)""")
+def expand_queries(spark, sf_dir):
+    return _sample(spark)[1].where("query_id in ('q1', 'q7', 'q8')").select("query_id", routing.expand(F.col("query")).alias("expanded"))
+
+
+@query("""SELECT * FROM (VALUES (1, '甲公司2024年营业收入是多少？'), (2, '甲公司2024年营业收入是多少？ 营业收入 主要会计数据和财务指标 合并利润表 年度 全年 报告期 年度报告全文 非分季度'),
+ (3, '甲公司2024年营业收入是多少？ 营业收入 主要会计数据和财务指标 合并利润表 年度 全年 报告期 年度报告全文 非分季度 合并财务报表 本期金额 审计报告附表')) t(round_index, rewritten)""")
+def rewrite_rounds(spark, sf_dir):
+    rows = _routed(spark).where("query_id = 'q1'").withColumn("round_index", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    return rows.select("round_index", routing.rewrite(F.col("query"), F.col("years"), F.col("round_index")).alias("rewritten"))
+
+
+@query("SELECT * FROM (VALUES ('q1', 'a-2024'), ('q2', 'a-2023'), ('q2', 'a-2024'), ('q4', 'a-2024'), ('q4', 'b-2024'), ('q3', 'a-2023'), ('q3', 'a-2024'), ('q3', 'b-2024')) t(query_id, document_id)")
+def metadata_filter(spark, sf_dir):
+    found, questions = _sample(spark)
+    return routing.allowed(questions.where("query_id in ('q1', 'q2', 'q3', 'q4')"), found.select("document_id", "company", "year").distinct())
+
+
+@query("""SELECT * FROM (VALUES ('q1', 'revenue'), ('q2', 'revenue'), ('q3', 'revenue'), ('q4', 'revenue'), ('q5', 'dividend_per_10'), ('q6', 'revenue'), ('q7', 'technical_employees'), ('q8', NULL), ('q9', 'revenue')) t(query_id, fact)""")
+def fact_spec_match(spark, sf_dir):
+    return _sample(spark)[1].select("query_id", facts.fact_of(F.col("query")).alias("fact"))
+
+
+@query("""SELECT * FROM (VALUES ('a-2023:0000', '335,149,051千元', '千元'), ('a-2024:0000', '362,012,554千元', '千元'), ('a-2024:0001', '80,000,000元', '元'), ('b-2024:0000', '5,000元', '元')) t(chunk_id, value_text, unit)""")
+def extract_values(spark, sf_dir):
+    value = facts.extract(F.col("text"), F.lit("revenue"))
+    return _sample(spark)[0].withColumn("v", value).where("v is not null").select("chunk_id", "v.value_text", "v.unit")
+
+
+@query("""SELECT * FROM (VALUES ('q1', 'answered', '362,012,554千元', NULL),
+ ('q2', 'answered', '2023年335,149,051千元；2024年362,012,554千元；2024年-2023年：362,012,554千元-335,149,051千元=26,863,503千元，变化率=8.02%', NULL),
+ ('q3', 'refused', NULL, 'period_not_covered'), ('q4', 'refused', NULL, 'company_not_covered'), ('q5', 'answered', '39.74元（含税）', NULL), ('q6', 'refused', NULL, 'insufficient_evidence'),
+ ('q7', 'answered', '1,234人', NULL), ('q8', 'refused', NULL, 'unsupported_fact'), ('q9', 'answered', '362,012,554千元', NULL)) t(query_id, status, answer, reason)""")
+def answer_questions(spark, sf_dir):
+    return _answered(spark)[2].select("query_id", "status", "answer", "reason")
+
+
+@query("""SELECT * FROM (VALUES ('q1', 'sufficient', 'answer_supported_by_complete_evidence'), ('q2', 'sufficient', 'answer_supported_by_complete_evidence'), ('q3', 'terminal_refusal', 'period_not_covered'),
+ ('q4', 'terminal_refusal', 'company_not_covered'), ('q5', 'sufficient', 'answer_supported_by_complete_evidence'), ('q6', 'terminal_refusal', 'constraint_not_disclosed_after_confirmation'),
+ ('q7', 'sufficient', 'answer_supported_by_complete_evidence'), ('q8', 'terminal_refusal', 'unsupported_fact'), ('q9', 'insufficient', 'missing_company_coverage')) t(query_id, assessment, reasons)""")
+def verify_evidence(spark, sf_dir):
+    _, chosen, answered = _answered(spark)
+    return answering.verify(answered, chosen, F.lit(2)).select("query_id", "assessment", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""SELECT policy, assessment, round_index, CASE WHEN assessment = 'terminal_refusal' OR round_index >= max_rounds OR policy = 'static' OR (policy = 'adaptive' AND assessment <> 'insufficient') THEN 'stop' ELSE 'retrieve_more' END AS action
+FROM (VALUES ('static', 1), ('always_agentic', 3), ('adaptive', 3)) p(policy, max_rounds), (VALUES ('sufficient'), ('insufficient'), ('terminal_refusal')) a(assessment), (VALUES (1), (2), (3)) r(round_index)""")
+def policy_decisions(spark, sf_dir):
+    rows = spark.createDataFrame([(p, m, a, r) for p, m in (("static", 1), ("always_agentic", 3), ("adaptive", 3)) for a in ("sufficient", "insufficient", "terminal_refusal") for r in (1, 2, 3)], "policy string, max_rounds int, assessment string, round_index int")
+    return rows.select("policy", "assessment", "round_index", answering.decide(F.col("assessment"), F.col("policy"), F.col("round_index"), F.col("max_rounds"))["action"].alias("action"))
+
+
+@query("""WITH y AS (SELECT year(o_orderdate) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(28, 2))) AS DECIMAL(28, 2)) AS revenue FROM orders GROUP BY 1),
+p AS (SELECT year, revenue, lag(revenue) OVER (ORDER BY year) AS old FROM y)
+SELECT year, CAST(revenue - old AS DOUBLE) AS difference, round(CAST(revenue - old AS DOUBLE) / CAST(abs(old) AS DOUBLE) * 100, 6) AS percent FROM p WHERE old IS NOT NULL""")
+def yoy_change(spark, sf_dir):
+    from pyspark.sql import Window
+
+    sums = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(28,2)")).cast("decimal(28,2)").alias("revenue"))
+    rows = sums.withColumn("old", F.lag("revenue").over(Window.orderBy("year"))).where("old is not null")  # one row a year
+    difference, _ = answering.change(F.col("old"), F.col("revenue"))
+    _, percent = answering.change(F.col("old").cast("double"), F.col("revenue").cast("double"))
+    return rows.select(F.col("year").cast("long").alias("year"), difference.cast("double").alias("difference"), F.round(F.when(F.col("old") != 0, difference.cast("double") / F.abs(F.col("old")).cast("double") * 100), 6).alias("percent"))
+
+
+def _trajectory(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("event_type").alias("policy"), F.col("user_id").alias("query_id"), F.col("event_id").alias("round_index"), F.lit(10).alias("passages"), F.coalesce(F.col("value"), F.lit(0.0)).alias("wall_ms"), (F.col("event_id") % 3 == 0).alias("correct"))
+
+
+@query("""WITH t AS (SELECT event_type AS policy, user_id, count(*) AS rounds, count(*) * 10 AS passages, sum(coalesce(value, 0)) AS ms, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS correct FROM events GROUP BY ALL)
+SELECT policy, count(*) AS tasks, round(avg(rounds), 9) AS mean_rounds, round(avg(CASE WHEN rounds > 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS escalation_rate, CAST(sum(passages) AS BIGINT) AS passages,
+       round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, round(coalesce(sum(passages) / nullif(sum(correct), 0), 0), 9) AS passages_per_correct FROM t GROUP BY policy""")
+def budget_metrics(spark, sf_dir):
+    return metrics.budget(_trajectory(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT lang, event_id, CASE WHEN event_id % 4 <> 0 THEN 0 END AS x FROM (SELECT event_type AS lang, event_id FROM events))
+SELECT lang AS event_type, count(*) AS entries, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 7) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cached_tokens, NULL::DOUBLE AS cost, count(x) / count(*)::DOUBLE AS price_coverage FROM l GROUP BY lang""")
+def token_ledger(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 7).alias("output_tokens"), F.lit(0).cast("long").alias("cached_tokens"), F.when(F.col("event_id") % 4 != 0, 0.0).alias("cost"))
+    return ledger.totals(rows, "event_type")
+
+
+@query("SELECT * FROM (VALUES (1, 2.5::DOUBLE), (2, NULL), (3, 2.0)) t(id, usd)")
+def cost_usd(spark, sf_dir):
+    rows = spark.createDataFrame([(1, 1_000_000, 100_000, 200_000, 2.0, 0.5, 8.0), (2, 10, 10, 0, None, None, 8.0), (3, 1_000_000, 0, 0, 2.0, None, 8.0)], "id int, i long, o long, c long, ri double, rc double, ro double")
+    return rows.select("id", ledger.cost(*(F.col(x) for x in ("i", "o", "c", "ri", "rc", "ro"))).alias("usd"))
+
+
+@query("SELECT * FROM (VALUES ('q1', 'small', 0), ('q2', 'large', 2), ('q3', 'small', 0), ('q4', 'small', 0), ('q5', 'small', 0), ('q6', 'small', 0), ('q7', 'small', 0), ('q8', 'small', 0), ('q9', 'small', 0)) t(query_id, model, score)")
+def choose_model(spark, sf_dir):
+    chosen = ledger.choose_model(F.col("query"), F.lit(1), F.lit(0))
+    return _sample(spark)[1].select("query_id", chosen["model"].alias("model"), chosen["score"].alias("score"))
+
+
+@query()
+def context_pack(spark, sf_dir):
+    found = chunks(spark, sf_dir)
+    hits = retrieval.bm25(found, asked(spark, sf_dir), TOP, W).join(found.select("chunk_id", "text"), "chunk_id").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    return ledger.pack(hits, 4000)
+
+
+@query("SELECT doc_id, CASE WHEN n % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id < 1000)")
+def stride_split(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "documents").where("doc_id < 1000").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("n"))  # a question list of bounded size
+    return rows.select("doc_id", training.stride_split(F.col("n")).alias("split"))
+
+
+@query(f"""WITH {_DENSE}, gold AS (SELECT query_id, chunk_id FROM dn WHERE label = query_label),
+a AS ({_top("dn", k=30)}), b AS ({_top("dn", "label % 2 = query_label % 2", 30)}),
+u AS (SELECT query_id, chunk_id, min(turn * 1000 + rank) AS seen FROM (SELECT *, 0 AS turn FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL),
+s AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = u.query_id AND abs(g.chunk_id - u.chunk_id) <= 1))
+SELECT CAST(query_id AS VARCHAR) AS query_id, 'v:' || chunk_id AS chunk_id, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY seen) AS INTEGER) AS n FROM s) WHERE n <= 8""")
+def hard_negatives(spark, sf_dir):
+    named = lambda df: df.withColumns({"query_id": F.col("query_id").cast("string"), "chunk_id": F.concat(F.lit("v:"), F.col("chunk_id").cast("string"))})
+    _, gold = _relevance(spark, sf_dir)
+    return training.hard_negatives([named(_dense(spark, sf_dir, k=30)), named(_dense(spark, sf_dir, True, 30))], named(gold), 8).select("query_id", "chunk_id", "n")
+
+
+@query("""SELECT md5(lower(trim(regexp_replace(text, '[\\s]+', ' ', 'g'), ' '))) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def dup_normalized_text(spark, sf_dir):
+    return training.repeated_texts(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT b.item_id, count(d.text) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) AND b.text <> '' GROUP BY b.item_id")
+def benchmark_leakage(spark, sf_dir):
+    return training.leaks(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+
+
+@query("""SELECT source, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS sha256 FROM (SELECT source, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || coalesce(text, '')) AS d FROM documents) GROUP BY source""")
+def sha_manifest(spark, sf_dir):
+    return training.manifest(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query("SELECT DISTINCT c.c_nationkey AS nation FROM customer c JOIN supplier s ON s.s_nationkey = c.c_nationkey")
+def holdout_overlap(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("WITH m AS (WITH " + _METRICS.format(key="") + ") SELECT * FROM (SELECT 'recall_at_5' AS metric, recall_at_5 AS value, 0.01::DOUBLE AS minimum, recall_at_5 >= 0.01 AS passed FROM m UNION ALL SELECT 'mrr', mrr, 0.99, mrr >= 0.99 FROM m)")
+def quality_gates(spark, sf_dir):
+    return metrics.gates(recall_mrr_ndcg(spark, sf_dir), {"recall_at_5": 0.01, "mrr": 0.99})
+
+
+@query("""WITH o AS (SELECT event_type AS policy, user_id, count(*) AS rounds, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) = 1 AS correct FROM events GROUP BY ALL),
+t AS (SELECT CASE WHEN policy = (SELECT min(event_type) FROM events) THEN 'static' ELSE policy END AS policy, user_id, rounds, correct FROM o),
+j AS (SELECT t.*, s.correct AS sc FROM t JOIN t s ON s.policy = 'static' AND s.user_id = t.user_id WHERE t.policy <> 'static')
+SELECT policy, coalesce(count(*) FILTER (WHERE rounds > 1 AND sc) / nullif(count(*) FILTER (WHERE rounds > 1), 0)::DOUBLE, 0) AS unnecessary_escalation,
+       coalesce(count(*) FILTER (WHERE rounds = 1 AND NOT sc) / nullif(count(*) FILTER (WHERE NOT sc), 0)::DOUBLE, 0) AS missed_escalation, count(*) FILTER (WHERE correct AND NOT sc) AS recovered FROM j GROUP BY policy""")
+def comparative_routing(spark, sf_dir):
+    rows = _trajectory(spark, sf_dir)
+    first = F.broadcast(rows.agg(F.min("policy").alias("first")))  # one row
+    outcomes = rows.groupBy("policy", "query_id").agg(F.count("*").alias("rounds"), F.max("correct").alias("correct")).crossJoin(first)
+    return metrics.routing(outcomes.withColumn("policy", F.when(F.col("policy") == F.col("first"), "static").otherwise(F.col("policy"))))
