@@ -44,7 +44,7 @@ class Model:
                     tables[size].setdefault(g, [0.0] * len(at))[at[lang]] += n
         self.tables, self.logs = [], []
         for t in tables:
-            found = np.array(list(t.values()), float).reshape(-1, len(at))
+            found = np.array(list(t.values()), float).reshape(len(t), len(at))
             self.tables.append({k: i for i, k in enumerate(t)})
             self.logs.append(np.log((found + SMOOTH) / (found.sum(axis=0) + SMOOTH * (len(t) + 1))))
 

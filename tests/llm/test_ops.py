@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -50,7 +51,7 @@ def test_sql(same):
 
 def test_quality(docs, none):
     def base(text):
-        w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+        w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         rep = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         return len(w), len(rep)
