@@ -152,11 +152,16 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, roll_bytes: i
                     store.move(f"{root}/{row['temporary']}", f"{root}/{row['file']}")
             yield batch
 
-    committed = manifest.repartition("file").mapInArrow(commit, manifest.schema)
+    committed = manifest.repartition(spread(manifest), "file").mapInArrow(commit, manifest.schema)
     committed.write.parquet(f"{path}/_manifest")
     return pages.sparkSession.read.schema(manifest.schema).parquet(f"{path}/_manifest")
 
 
+def spread(files: DataFrame, most: int = 4096) -> int:
+    """How many tasks to deal files out to: a stated number, as adaptive execution would join such short rows into one task."""
+    return max(1, min(most, files.count()))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of each record that path's manifest names.
 
@@ -193,7 +198,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def batch_of(rows):
         return pa.record_batch([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names)
 
-    return files.repartition(F.col("file")).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.repartition(spread(files), "file").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 #: What the query returns of pages with distinct ids, in SQL.
