@@ -95,6 +95,13 @@ def test_edit_distance():
     for _ in range(1500):
         a, b = ("".join(random.choice("abc") for _ in range(random.randint(0, 14))) for _ in "xy")
         assert lines.distance(a, b) == plain_distance(a, b)
+    for _ in range(500):
+        a = [random.choice(WORDS) for _ in range(30)]
+        b = [w for w in a if random.random() > 0.06]
+        for _ in range(random.randint(0, 4)):
+            b.insert(random.randint(0, len(b)), random.choice(WORDS))
+        a, b = " ".join(a), " ".join(b)
+        assert lines.similar(a, b) == (1 - plain_distance(a, b) / max(len(a), len(b)) >= 0.8 - 1e-12)
 
 
 def roots(n, links):
