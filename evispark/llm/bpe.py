@@ -98,6 +98,7 @@ class Model:
         spaced = not any(SPACE in p.lstrip(SPACE) for p in long)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + ("|\n" if alone else "")) if spaced else re.compile(".+", re.DOTALL)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.wholes: dict[str, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
@@ -171,9 +172,8 @@ class Model:
             starts[end - size + 1].append(size)
         for i, c in enumerate(text):
             if c not in self.ids:
-                starts[i].append(1)
-            starts[i].sort()
-        failed = bytearray(len(text) // 8 + 1)
+                starts[i].insert(0, 1)  # matches come by their end, so a start's are in order of size
+        failed, known = bytearray(len(text) // 8 + 1), self.pairs.get
         parts: list[str] = []
         tried: list[int] = [len(starts[0])] if text else []
         at = 0
@@ -183,7 +183,8 @@ class Model:
                 end = at + starts[at][choice]
                 if not failed[end >> 3] >> (end & 7) & 1:
                     piece = text[at:end]
-                    if self.compatible(parts[-1], piece) if parts else self.whole(piece):
+                    fits = known((parts[-1], piece)) if parts else self.whole(piece)
+                    if self.compatible(parts[-1], piece) if fits is None else fits:
                         break
                 choice -= 1
             if choice >= 0:
@@ -199,7 +200,7 @@ class Model:
         return parts
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        known = self.memo.get(chunk)
+        known = self.memo.get(chunk) or self.older.get(chunk)
         if known is None:
             found: list[int] = []
             for piece in self.split(chunk):
@@ -210,10 +211,10 @@ class Model:
                 else:
                     found.append(self.unknown)
             known = tuple(found)
-            if len(chunk) <= 64:
-                if len(self.memo) >= self.memo_size:
-                    self.memo.clear()
-                self.memo[chunk] = known
+        if len(chunk) <= 64:
+            if len(self.memo) >= self.memo_size:  # what is still in use comes back from the older half
+                self.older, self.memo = self.memo, {}
+            self.memo[chunk] = known
         return known
 
     def encode(self, text: str, end: bool = False) -> list[int]:
@@ -221,9 +222,9 @@ class Model:
         found: list[int] = []
         if text:
             plain = ((SPACE if self.prefix else "") + text).replace(" ", SPACE)
-            get, slow = self.memo.get, self.chunk_ids
+            slow = self.chunk_ids
             for chunk in self.chunk.findall(plain):
-                found += get(chunk) or slow(chunk)
+                found += self.memo.get(chunk) or slow(chunk)
         if end:
             found.append(self.end)
         return found
