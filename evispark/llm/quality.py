@@ -112,11 +112,12 @@ def judged(docs: DataFrame, host: str = "source", kept_percent: int = KEPT_PERCE
     stays = lambda x: F.coalesce(~F.array_contains("__lines", line_hash(x)), F.lit(True))
     # without a list, or where no line is on it, the text stays as it is
     cut = F.when(F.col("__lines").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
-    joined = joined.withColumn("__cut", let(F.struct(base(text).alias("base"), cut.alias("text")), lambda x: F.struct(
+    # a filter on __kept is not pushed below a row number, as it would compute __cut a second time there
+    joined = joined.withColumns({"__row": F.monotonically_increasing_id(), "__cut": let(F.struct(base(text).alias("base"), cut.alias("text")), lambda x: F.struct(
         x["base"].alias("base"), x["text"].alias("text"),
         F.when(F.length(x["text"]) == F.length(text), x["base"]["n_words"]).otherwise(F.size(words(x["text"])).cast("long")).alias("left"),
-    )))
-    kept = ~F.col("__cut.base.base_failed") & (F.col("__cut.left") * 100 >= F.col("__cut.base.n_words") * kept_percent)
+    ))})
+    kept = ~F.col("__cut.base.base_failed") & (F.col("__cut.left") * 100 >= F.col("__cut.base.n_words") * kept_percent) & (F.col("__row") >= 0)
     return joined.select(*docs.columns, F.col("__cut.base").alias("__base"), F.col("__cut.left").alias("__left"), kept.alias("__kept"), F.col("__cut.text").alias("__text"))
 
 
