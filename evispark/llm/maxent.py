@@ -100,6 +100,28 @@ def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tup
     return raised, sums
 
 
+def row_sums(rows: np.ndarray, slope: np.ndarray, short: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of weights that tokens use (tokens, FEATURES), ascending, and for each the sum of its tokens' slopes.
+
+    Rows that up to `short` tokens use are summed together, the first token of each, then the second, and so on.
+    """
+    flat = rows.ravel().astype(np.uint16 if BUCKETS <= 1 << 16 else np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat, order = flat[order], order // FEATURES
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    size = np.diff(np.r_[first, len(flat)])
+    total = np.take(slope, order[first], axis=0)
+    some = np.flatnonzero((size > 1) & (size <= short))
+    for k in range(1, short):
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        total[some] += np.take(slope, order[first[some] + k], axis=0)
+    for i in np.flatnonzero(size > short).tolist():
+        total[i] = np.take(slope, order[first[i] : first[i] + size[i]], axis=0).sum(axis=0)
+    return flat[first].astype(np.int64), total
+
+
 class Trainer:
     """Gradient steps of STEP tokens, each row of weights with its own falling rate."""
 
@@ -113,13 +135,10 @@ class Trainer:
             slope, sums = class_scores(self.weights, self.bias, some)
             slope /= sums[:, None]
             slope[np.arange(len(own)), own] -= 1
-            flat = some.ravel()
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-            total = np.add.reduceat(np.take(slope, order // FEATURES, axis=0), first, axis=0)
-            touched = flat[order][first]
+            touched, total = row_sums(some, slope)
             self.seen[touched] += np.einsum("ij,ij->i", total, total) / CLASSES
-            self.weights[touched] -= RATE * total / np.sqrt(self.seen[touched])[:, None]
+            total *= (RATE / np.sqrt(self.seen[touched]))[:, None]
+            self.weights[touched] = np.take(self.weights, touched, axis=0) - total
             self.tokens += len(own)
 
 
