@@ -41,25 +41,18 @@ class Vocabulary:
     singles: dict[bytes, int]
     log_below: np.ndarray
 
-    def class_of(self, word: bytes) -> int:
-        known = self.singles.get(word)
-        return SINGLES + 1 + zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES if known is None else known
-
 
 class Coder(dict):
     """word -> row of its class, hash, log10(count + 0.5) (0 if not frequent) and whether it is frequent; of a fixed size."""
 
     def __init__(self, vocabulary: Vocabulary, size: int = 400_000):
-        self.vocabulary, self.size = vocabulary, size
+        self.vocabulary, self.size, self.new = vocabulary, size, []
         self.classes, self.hashes = np.zeros(size, np.int64), np.zeros(size, np.uint32)
         self.logs, self.known = np.zeros(size), np.zeros(size, bool)
 
     def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        count = self.vocabulary.frequent.get(word)
-        self.classes[i], self.hashes[i] = self.vocabulary.class_of(word), zlib.crc32(word) | 1
-        self.logs[i], self.known[i] = (0.0, False) if count is None else (np.log10(count + 0.5), True)
-        self[word] = i
+        i = self[word] = len(self)
+        self.new.append(word)
         return i
 
     def code(self, found: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -69,9 +62,25 @@ class Coder(dict):
             if len(self) + step > self.size:
                 self.clear()
             i = np.fromiter(map(self.__getitem__, found[at : at + step]), np.int64, min(step, len(found) - at))
+            self.learn()
             out.append((self.classes[i], self.hashes[i], self.logs[i], self.known[i]))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
+    def learn(self) -> None:
+        """Fills the rows of the words met since the last call, which are the last ones."""
+        n, v, words = len(self.new), self.vocabulary, self.new
+        rows = slice(len(self) - n, len(self))
+        classes = np.fromiter((zlib.crc32(w[-SUFFIX_BYTES:]) for w in words), np.int64, n) % SUFFIXES + SINGLES + 1
+        for i, w in enumerate(words):
+            if w in v.singles:
+                classes[i] = v.singles[w]
+        self.classes[rows] = classes
+        self.hashes[rows] = np.fromiter(map(zlib.crc32, words), np.uint32, n) | np.uint32(1)
+        counts = np.fromiter((v.frequent.get(w, -1) for w in words), float, n)
+        self.known[rows] = counts >= 0
+        self.logs[rows] = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 0.5), 0)
+        self.new = []
+
 
 def features(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(tokens, FEATURES) rows of weights: the last word, the last two, the one before the last, the last and third last.
