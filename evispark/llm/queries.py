@@ -32,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
     size = F.coalesce(F.length("__text"), F.lit(0)).alias("kept_chars")
     return found.select("doc_id", *(F.col(f"__{c}").cast("long").alias(f"n_{c}") for c in ("lines", "gone", "fuzzy")), size, F.sha2(F.coalesce("__text", F.lit("")), 256).alias("kept_sha256"))
 
