@@ -90,16 +90,18 @@ class Model:
         self.prefix = bool(normalizer.get(3, 1))
         self.automaton = ahocorasick.Automaton()
         for text in self.ids:
-            self.automaton.add_word(text, len(text))
+            self.automaton.add_word(text, text)
         self.automaton.make_automaton()
         long = [p for p in self.ids if len(p) > 1]
         # Where no piece holds two characters side by side, no merge crosses between them.
         alone = "\n" if not any("\n" in p for p in long) else ""
         spaced = not any(SPACE in p.lstrip(SPACE) for p in long)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + ("|\n" if alone else "")) if spaced else re.compile(".+", re.DOTALL)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.letters = {p for p in self.ids if len(p) == 1}
+        self.memo: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.paired = 0
         self.wholes: dict[str, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.ordered = True
@@ -128,13 +130,23 @@ class Model:
             self.ordered &= all(x >= y for (_, x), (_, y) in itertools.pairwise(known[1:]))
         return known
 
+    def after(self, piece: str) -> dict[str, bool]:
+        """What is known of the pieces that may follow this one."""
+        known = self.pairs.get(piece)
+        if known is None:
+            known = self.pairs[piece] = {}
+        return known
+
     def compatible(self, a: str, b: str) -> bool:
         """Whether a and b side by side merge to themselves: merging both again, no joint piece across the border ever comes first."""
-        known = self.pairs.get((a, b))
+        known = self.after(a).get(b)
         if known is None:
-            if len(self.pairs) >= self.pair_size:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merges_apart(a, b)
+            if self.paired >= self.pair_size:
+                for row in self.pairs.values():
+                    row.clear()
+                self.paired = 0
+            known = self.after(a)[b] = self.merges_apart(a, b)
+            self.paired += 1
         return known
 
     def merges_apart(self, a: str, b: str) -> bool:
@@ -167,39 +179,43 @@ class Model:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a normalized text; characters without a piece stand for themselves."""
-        starts: list[list[int]] = [[] for _ in text]
-        for end, size in self.automaton.iter(text):
-            starts[end - size + 1].append(size)
-        for i, c in enumerate(text):
-            if c not in self.ids:
-                starts[i].insert(0, 1)  # matches come by their end, so a start's are in order of size
-        failed, known = bytearray(len(text) // 8 + 1), self.pairs.get
+        starts: list[list[str]] = [[] for _ in text]
+        for end, piece in self.automaton.iter(text):
+            starts[end - len(piece) + 1].append(piece)
+        if not self.letters.issuperset(text):
+            for i, c in enumerate(text):
+                if c not in self.letters:
+                    starts[i].insert(0, c)  # matches come by their end, so a start's are in order of size
+        failed, some, size = bytearray(len(text) // 8 + 1), False, len(text)
         parts: list[str] = []
-        tried: list[int] = [len(starts[0])] if text else []
-        at = 0
-        while at < len(text):
-            choice = tried[-1] - 1
-            while choice >= 0:
-                end = at + starts[at][choice]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[at:end]
-                    fits = known((parts[-1], piece)) if parts else self.whole(piece)
-                    if self.compatible(parts[-1], piece) if fits is None else fits:
-                        break
+        tried: list[int] = []
+        pairs = self.pairs
+        at, choice, fits = 0, len(starts[0]) if text else 0, self.wholes
+        while at < size:
+            options = starts[at]
+            while choice:
                 choice -= 1
-            if choice >= 0:
-                tried[-1] = choice
-                parts.append(piece)
-                at = end
-                if at < len(text):
-                    tried.append(len(starts[at]))
+                piece = options[choice]
+                if some and failed[(end := at + len(piece)) >> 3] >> (end & 7) & 1:
+                    continue
+                fit = fits.get(piece)
+                if fit is None:
+                    fit = self.compatible(parts[-1], piece) if parts else self.whole(piece)
+                if fit:
+                    parts.append(piece)
+                    tried.append(choice)
+                    at += len(piece)
+                    choice, fits = len(starts[at]) if at < size else 0, pairs.get(piece) or self.after(piece)
+                    break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                tried.pop()
+                some = True
                 at -= len(parts.pop())
+                choice, fits = tried.pop(), self.after(parts[-1]) if parts else self.wholes
         return parts
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+    def chunk_of(self, chunk: str) -> tuple[tuple[int, ...], str, bytes]:
+        """The chunk's ids, the same in decimals joined by a space, and their surfaces."""
         known = self.memo.get(chunk) or self.older.get(chunk)
         if known is None:
             found: list[int] = []
@@ -210,21 +226,24 @@ class Model:
                     found += [self.bytes[b] for b in piece.encode()]
                 else:
                     found.append(self.unknown)
-            known = tuple(found)
+            known = tuple(found), " ".join(map(str, found)), b"".join(map(self.surface.__getitem__, found))
         if len(chunk) <= 64:
             if len(self.memo) >= self.memo_size:  # what is still in use comes back from the older half
                 self.older, self.memo = self.memo, {}
             self.memo[chunk] = known
         return known
 
+    def chunks(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """chunk_of each chunk of a whole text."""
+        if not text:
+            return []
+        plain = ((SPACE if self.prefix else "") + text).replace(" ", SPACE)
+        known, slow = self.memo.get, self.chunk_of
+        return [known(chunk) or slow(chunk) for chunk in self.chunk.findall(plain)]
+
     def encode(self, text: str, end: bool = False) -> list[int]:
         """The ids of a whole text, and the end id if asked for; an empty text has no others."""
-        found: list[int] = []
-        if text:
-            plain = ((SPACE if self.prefix else "") + text).replace(" ", SPACE)
-            slow = self.chunk_ids
-            for chunk in self.chunk.findall(plain):
-                found += self.memo.get(chunk) or slow(chunk)
+        found = list(itertools.chain.from_iterable(ids for ids, _, _ in self.chunks(text)))
         if end:
             found.append(self.end)
         return found
@@ -242,10 +261,19 @@ class Model:
                     runs[-1].append(i)
         raws = [b"".join(map(self.surface.__getitem__, run)) for run in runs]
         lead = next((i for i, run in enumerate(runs) if run), None)
-        if self.prefix and lead is not None and raws[lead][:1] == b" " and runs[lead][0] not in (self.bytes.get(32), self.unknown):
-            raws[lead] = raws[lead][1:]
+        if lead is not None:
+            raws[lead] = self.led(raws[lead], runs[lead][0])
         return "".join(map(readable, raws))
 
+    def led(self, raw: bytes, first: int) -> bytes:
+        """The bytes of ids that begin with `first`, without the space that encoding adds."""
+        return raw[1:] if self.prefix and raw[:1] == b" " and first not in (self.bytes.get(32), self.unknown) else raw
+
+    def decode_chunks(self, chunks: list[tuple[tuple[int, ...], str, bytes]]) -> str:
+        """decode() of the ids of chunks() and the end id, from what is known of each chunk; none of their ids is a control's."""
+        raw = b"".join([surface for _, _, surface in chunks])
+        return readable(self.led(raw, chunks[0][0][0])) if chunks else ""
+
 
 @functools.lru_cache(maxsize=2)
 def model_of(data: bytes) -> Model:
@@ -287,17 +315,16 @@ def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> Da
 
     def run(batches):
         model = model_of(model_bytes.value)
-        digits = [str(i) for i in range(len(model.surface))]
         for batch in batches:
             for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 sizes, digests, decoded, all_ids = [], [], [], []
                 for t in b.column("text"):
-                    ids = model.encode(t.as_py() or "", end=True)
-                    sizes.append(len(ids))
-                    digests.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
+                    chunks = model.chunks(t.as_py() or "")
+                    sizes.append(sum([len(ids) for ids, _, _ in chunks]) + 1)
+                    digests.append(hashlib.sha256(" ".join([*(x for _, x, _ in chunks), str(model.end)]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(model.decode_chunks(chunks).encode()).hexdigest())
                     if with_ids:
-                        all_ids.append(pa.array(ids, pa.int32()))
+                        all_ids.append(pa.array([*itertools.chain.from_iterable(ids for ids, _, _ in chunks), model.end], pa.int32()))
                 cols = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(decoded)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
