@@ -23,7 +23,7 @@ CLASSES = WORD_CLASSES + 1 + SUFFIXES
 #: Features of a token for its class, and for the word within a class of words.
 FEATURES, INNER = 4, 2
 #: Rows of weights that features are hashed to, for each square root of the training tokens, and the bounds of their number.
-ROWS_PER_ROOT, LEAST_ROWS, MOST_ROWS = 4, 1 << 10, 1 << 16
+ROWS_PER_ROOT, LEAST_ROWS, MOST_ROWS = 1.5, 1 << 10, 1 << 16
 #: Gradient updates, each from a share of the training texts; a step is so many times shorter than one feature alone would take; counts that smooth it.
 ROUNDS, DAMPING, PRIOR = 4, 2.0, 16.0
 #: Words whose counts are sent to all executors at most; the others' are joined.
@@ -266,16 +266,18 @@ def grouped(batches: Iterator, size: int = 60_000) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(held), np.array(starts)
 
 
-def train(encoded: DataFrame, vocabulary: Vocabulary, model: Model, salts: int = 8) -> Model:
+def train(encoded: DataFrame, vocabulary: Vocabulary, model: Model) -> Model:
     """The model after ROUNDS gradient updates, each from the training texts of one share (column round): all texts, once over.
 
     In a round each task sums what it has observed and what the model, the same for all tasks, expects; the sums go by
     blocks of weights in two steps, streaming, and give each weight's step: its slope over the logarithmic mean of
     its observed and expected counts, damped. So partitioning changes nothing but rounding. The driver holds one
-    model of at most MOST_ROWS * (CLASSES + WORDS) * 4 bytes (25 MB), which is what is broadcast.
+    model of at most MOST_ROWS * (CLASSES + WORDS) * 4 bytes (25 MB), which is what is broadcast; each task sends twice
+    as much, so a round has two tasks a core at most.
     """
     context = encoded.sparkSession.sparkContext
-    most, each = max(64, 2 * context.defaultParallelism), block_rows(model)
+    most, each = max(8, 2 * context.defaultParallelism), block_rows(model)
+    salts = math.isqrt(most)
     blocks = -(-len(model.weights) // each)
     for turn in range(ROUNDS):
         shared = context.broadcast((model, vocabulary))
