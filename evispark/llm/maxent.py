@@ -71,7 +71,9 @@ class Coder(dict):
     """word -> row of its code, log10(count + 0.5) (0 if not frequent) and whether it is frequent; of a fixed size."""
 
     def __init__(self, vocabulary: Vocabulary, size: int = 400_000):
-        self.vocabulary, self.size, self.new = vocabulary, size, []
+        n = len(vocabulary.rank)
+        self.rank, self.rare, self.size, self.new = vocabulary.rank | {END: n}, n + 1, size, []
+        self.counts = np.r_[vocabulary.counts, vocabulary.ends, 0]
         self.codes, self.logs, self.known = np.zeros(size, np.int32), np.zeros(size), np.zeros(size, bool)
 
     def __missing__(self, word: bytes) -> int:
@@ -92,12 +94,15 @@ class Coder(dict):
 
     def learn(self) -> None:
         """Fills the rows of the words met since the last call, which are the last ones."""
-        v, n = self.vocabulary, len(self.vocabulary.rank)
-        for i, word in enumerate(self.new, len(self) - len(self.new)):
-            code = v.rank.get(word, -1) if word else n
-            count = v.counts[code] if 0 <= code < n else v.ends if word == END else 0
-            self.known[i], self.logs[i] = count > 0, math.log10(count + 0.5) if count else 0
-            self.codes[i] = code if code >= 0 else n + 1 + (suffix_of(word) << 16 | zlib.crc32(word) & 0xFFFF)
+        rows, n = slice(len(self) - len(self.new), len(self)), len(self.new)
+        codes = np.fromiter(map(self.rank.get, self.new, itertools.repeat(-1)), np.int64, n)
+        counts = self.counts[codes]
+        self.known[rows], self.logs[rows] = counts > 0, np.where(counts > 0, np.log10(counts + 0.5), 0)
+        rare = np.flatnonzero(codes < 0)
+        words = [self.new[i] for i in rare.tolist()]
+        suffixes = np.fromiter(map(suffix_of, words), np.int64, len(words))
+        codes[rare] = self.rare + (suffixes << 16 | np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & 0xFFFF)
+        self.codes[rows] = codes
         self.new = []
 
 

@@ -132,7 +132,7 @@ def test_line_dedup(spark, docs, none):
     for d, _, line in occurrences:
         gone[order[d][1], order[d][3]] += group[line] in seen
         seen.add(group[line])
-    got = lines.deduplicated(frame).collect()
+    got = lines.deduplicated(frame, wide=False).collect()
     assert len(got) == len(rows) and all(r["__gone"] == gone[r.doc_id or 0, r.text] for r in got)
     assert lines.cleaned(docs).columns == docs.columns and lines.deduplicated(none).count() == 0
 
