@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    set_already = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_already:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session makes one of its own; a cluster must set it."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evispark-"))
-        set_already = spark.sparkContext.getCheckpointDir()
-    return set_already.rstrip("/")
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,6 +45,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def prefix_of(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with, for columns of our own."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """rows with the columns of docs, their text replaced; n_chars, if there is such a column, follows it."""
+    size = F.length(text)
+    new = {"text": text, "n_chars": size.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*(new[c].alias(c) if c in new else quoted(c) for c in docs.columns))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row: bound as a lambda's variable, which no rule of the optimizer inlines."""
     return F.transform(F.array(value), body)[0]

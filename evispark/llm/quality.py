@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.common import SPACES, let, saved, words
+from evispark.llm.common import SPACES, let, prefix_of, quoted, saved, with_text, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate on a host if more distinct texts than both hold it: so many, and such a percentage of the host's.
-LINE_DOCS, LINE_PERCENT = 20, 1
+#: A line is boilerplate on a host if more distinct texts hold it than both: so many, and the square root of the host's texts.
+LINE_DOCS = 20
 #: A document is depleted if fewer than this percentage of its words remain.
 KEPT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-#: Hosts' line lists of up to so many lines in all are broadcast (8 bytes each); beyond, they are joined by shuffle.
-BROADCAST_LINES = 1_000_000
+#: Hosts' line lists of up to so many lines in all are broadcast (8 bytes each); beyond, lines are joined by shuffle, dealt to SALTS parts each.
+BROADCAST_LINES, SALTS = 1_000_000, 16
 
 
 def dup_lines(text: Column) -> Column:
@@ -80,53 +80,89 @@ def line_hash(line: Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_percent: float = LINE_PERCENT) -> DataFrame:
-    """(host, lines): of each host (a null one too) the hashes of the lines that too many of its distinct texts hold.
+def line_hashes(text: Column) -> Column:
+    return F.array_compact(F.array_distinct(F.transform(F.split(text, "\n"), line_hash)))
 
-    Equal texts of a host count once, as copies say nothing on how common a line is. As a listed line is in line_percent
-    of its host's texts, a list is bounded by 100 / line_percent times the host's mean number of lines. Each (host,
-    line, text) is combined before the shuffle, so a line that all documents share is spread over tasks.
+
+def frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
+    """(host, line), written: the hashes of the lines that too many distinct texts of a host (a null one too) hold.
+
+    Equal texts of a host count once, as copies say nothing on how common a line is. The limit is line_docs texts, or
+    the square root of the host's where that is more: on a host of 100,000 texts 316, of a million 1,000. So a host's
+    list is at most as long as that root times its texts' mean number of lines. Each (host, line, text) is combined before
+    the shuffle, so a line that all documents share is spread over tasks.
     """
     text = F.coalesce("text", F.lit(""))
-    hashes = F.array_distinct(F.transform(F.split(text, "\n"), line_hash))
-    one = F.concat(F.array(F.lit(None).cast("long")), F.array_compact(hashes))  # null stands for the text itself
+    one = F.concat(F.array(F.lit(None).cast("long")), line_hashes(text))  # null stands for the text itself
     rows = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(one).alias("line"))
     counts = saved(rows.distinct().groupBy("host", "line").count().where((F.col("count") > line_docs) | F.col("line").isNull()), "lines")
     totals = counts.where("line is null").select(F.col("host").alias("of"), F.col("count").alias("texts"))
-    over = counts.where("line is not null").join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("count") * 100 > F.col("texts") * line_percent)
-    return saved(over.groupBy("host").agg(F.collect_set("line").alias("lines")), "frequent")
+    over = counts.where("line is not null").join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("count") * F.col("count") > F.col("texts"))
+    return saved(over.select("host", "line"), "frequent")
+
+
+def holds(sorted_lines: Column, line: Column) -> Column:
+    """Whether a sorted array of longs holds a value, by binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_lines).alias("hi"))
+
+    def halve(at, _):
+        mid = F.call_function("shiftright", at["lo"] + at["hi"], F.lit(1))
+        right = F.get(sorted_lines, mid) < line
+        half = F.struct(F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(mid).alias("hi"))
+        return F.when(at["lo"] < at["hi"], half).otherwise(at)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(sorted_lines)))), start, halve, lambda at: at["lo"])
+    return F.coalesce(F.get(sorted_lines, found) == line, F.lit(False))
+
+
+def listed(docs: DataFrame, frequent: DataFrame, host: str, small: bool, column: str) -> DataFrame:
+    """docs with a column of sorted hashes that has the frequent lines of its text, and maybe others of its host: null or empty if none.
+
+    Hosts' lists are broadcast if they are `small`. Else the lines of texts are joined with them, both dealt out by a
+    salt as well, so that neither a host's list nor a hot line's texts meet in one task; then texts take up their lines.
+    """
+    if small:
+        lists = frequent.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias(column)).withColumnRenamed("host", f"{column}_host")
+        return docs.join(F.broadcast(lists), F.col(host).eqNullSafe(F.col(f"{column}_host")), "left").drop(f"{column}_host")
+    text = F.coalesce("text", F.lit(""))
+    key = F.xxhash64(F.col(host), F.col(host).isNull(), text)
+    lines = docs.select(F.col(host).alias("of"), key.alias("text_key"), F.explode(line_hashes(text)).alias("has")).distinct()
+    dealt = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = lines.withColumn("own", F.pmod("text_key", F.lit(SALTS))).join(dealt, (F.col("has") == F.col("line")) & (F.col("own") == F.col("salt")) & F.col("of").eqNullSafe(F.col("host")))
+    lists = met.groupBy("text_key").agg(F.sort_array(F.collect_set("line")).alias(column)).withColumnRenamed("text_key", f"{column}_key")
+    return docs.withColumn(f"{column}_own", key).join(lists, F.col(f"{column}_own") == F.col(f"{column}_key"), "left").drop(f"{column}_own", f"{column}_key")
 
 
-def judged(docs: DataFrame, host: str = "source", kept_percent: int = KEPT_PERCENT, broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", kept_percent: int = KEPT_PERCENT, broadcast_lines: int = BROADCAST_LINES, prefix: str = "__", **limits) -> DataFrame:
     """The rows of docs with __base (see base), __left (words in lines that stay), __kept and __text (the lines that stay).
 
     A document is kept if its base rules hold and at least kept_percent of its words are in lines below the limits of
-    frequent_lines. Repeated rows are judged alike; a null text fails by its word count; no documents give no rows.
-    The hosts' lists are broadcast only if they have at most broadcast_lines lines in all, else joined by host, where
-    adaptive execution splits a hot host.
+    frequent_lines. Repeated rows are judged alike; a null text fails by its word count; texts of any length are read
+    whole; no documents give no rows. Other columns stay as they are; `prefix` names the new ones where docs has such names.
     """
-    lists = frequent_lines(docs, host, **limits).withColumnRenamed("host", "__host").withColumnRenamed("lines", "__lines")
-    small = (lists.agg(F.sum(F.size("__lines"))).first()[0] or 0) <= broadcast_lines
+    own = prefix_of(docs)
+    frequent = frequent_lines(docs, host, **limits)
+    small = frequent.count() <= broadcast_lines
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(F.broadcast(lists) if small else lists, F.col(host).eqNullSafe(F.col("__host")), "left")
-    stays = lambda x: F.coalesce(~F.array_contains("__lines", line_hash(x)), F.lit(True))
+    joined = listed(docs, frequent, host, small, f"{own}lines")
+    lines = F.col(f"{own}lines")
+    stays = lambda x: F.coalesce(~holds(lines, line_hash(x)), F.lit(True))
     # without a list, or where no line is on it, the text stays as it is
-    cut = F.when(F.col("__lines").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
-    # a filter on __kept is not pushed below a row number, as it would compute __cut a second time there
-    joined = joined.withColumns({"__row": F.monotonically_increasing_id(), "__cut": let(F.struct(base(text).alias("base"), cut.alias("text")), lambda x: F.struct(
+    cut = F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+    # a filter on __kept is not pushed below a row number, as it would compute the cut a second time there
+    joined = joined.withColumns({f"{own}row": F.monotonically_increasing_id(), f"{own}cut": let(F.struct(base(text).alias("base"), cut.alias("text")), lambda x: F.struct(
         x["base"].alias("base"), x["text"].alias("text"),
         F.when(F.length(x["text"]) == F.length(text), x["base"]["n_words"]).otherwise(F.size(words(x["text"])).cast("long")).alias("left"),
     ))})
-    kept = ~F.col("__cut.base.base_failed") & (F.col("__cut.left") * 100 >= F.col("__cut.base.n_words") * kept_percent) & (F.col("__row") >= 0)
-    return joined.select(*docs.columns, F.col("__cut.base").alias("__base"), F.col("__cut.left").alias("__left"), kept.alias("__kept"), F.col("__cut.text").alias("__text"))
+    found = F.col(f"{own}cut")
+    kept = ~found["base"]["base_failed"] & (found["left"] * 100 >= found["base"]["n_words"] * kept_percent) & (F.col(f"{own}row") >= 0)
+    return joined.select(*map(quoted, docs.columns), found["base"].alias(f"{prefix}base"), found["left"].alias(f"{prefix}left"), kept.alias(f"{prefix}kept"), found["text"].alias(f"{prefix}text"))
 
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """The documents that judged() keeps, their frequent lines removed; n_chars, if there is such a column, follows the text."""
-    out = judged(docs, **options).where("__kept").withColumn("text", F.col("__text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = prefix_of(docs)
+    return with_text(judged(docs, prefix=own, **options).where(f"{own}kept"), docs, F.col(f"{own}text"))
 
 
 _W = r"[\x20\x09-\x0D]"
@@ -143,7 +179,7 @@ dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM filled GROUP BY r),
 norm AS (SELECT r, host, text, line, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '{_W}', ' ', 'g'), ' ') AS plain FROM filled),
 seen AS (SELECT host, plain, count(DISTINCT text) AS n FROM norm GROUP BY host, plain),
 texts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-often AS (SELECT s.host, s.plain FROM seen s JOIN texts t ON s.host IS NOT DISTINCT FROM t.host WHERE s.n > {LINE_DOCS} AND s.n * 100 > t.n * {LINE_PERCENT}),
+often AS (SELECT s.host, s.plain FROM seen s JOIN texts t ON s.host IS NOT DISTINCT FROM t.host WHERE s.n > {LINE_DOCS} AND s.n * s.n > t.n),
 lost AS (SELECT n.r, sum(len(regexp_extract_all(n.line, '[^\\x20\\x09-\\x0D]+'))) AS n FROM norm n JOIN often o ON n.host IS NOT DISTINCT FROM o.host AND n.plain = o.plain GROUP BY n.r),
 base AS (
   SELECT d.r, d.doc_id, len(w.w) AS n_words, len(regexp_replace(d.text, '{_W}', '', 'g')) AS word_chars,
