@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evispark.llm.common import SPACES, WORD, let, saved, words
+from evispark.llm.common import WORD, let, prefix_of, quoted, saved, with_text, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -38,31 +38,33 @@ def targets(sources: DataFrame, total_share: float = 1.0, weights=WEIGHTS, max_e
     return levels.select("source", "source_size", F.when(F.col("clamped"), F.col("source_size") * F.lit(float(max_epochs))).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, prefix: str = "__") -> DataFrame:
     """The rows of docs with __size, __source_size, __target and __taken: the words that the mix takes of each, repeats counted.
 
     A source with a target of e times its size has each of its documents floor(e) times whole; the rest of the target
     goes to its documents in the order of a seeded digest of doc_id, each once, the last one in part. So a source's words
     miss its target by less than one, no document exceeds max_epochs times its size, and reruns agree (repeated rows of one
     id may swap their shares). Null and empty texts have size 0 and are never taken; a null source is a source; no
-    documents give no rows. The running sums go by 4,096 digest buckets a source, so no task holds a source.
+    documents give no rows; texts of any length count whole. The running sums go by 4,096 digest buckets a source, so no
+    task holds a source. Other columns stay as they are; `prefix` names the new ones where docs has such names.
     """
+    p = prefix_of(docs)
     source = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.withColumns({"__size": F.size(words(F.col("text"))).cast("long"), "__source": source, "__digest": digest, "__bucket": F.substring(digest, 1, 3)})
-    buckets = saved(sized.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words")), "buckets")
-    sources = buckets.groupBy("__source").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("__source") != "0", F.expr("substring(__source, 2)")))
+    sized = docs.withColumns({f"{p}size": F.size(words(F.col("text"))).cast("long"), f"{p}source": source, f"{p}digest": digest, f"{p}bucket": F.substring(digest, 1, 3)})
+    buckets = saved(sized.groupBy(f"{p}source", f"{p}bucket").agg(F.sum(f"{p}size").alias("words")), "buckets")
+    sources = buckets.groupBy(f"{p}source").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col(f"{p}source") != "0", F.expr(f"substring({p}source, 2)")))
     goals = targets(sources.select("source", "source_size"), 1.0, weights, max_epochs)
-    goals = goals.select(F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))).alias("__source"), "source_size", "target")
-    before = F.coalesce(F.sum("words").over(W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    goals = goals.select(F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))).alias(f"{p}source"), "source_size", "target")
+    before = F.coalesce(F.sum("words").over(W.partitionBy(f"{p}source").orderBy(f"{p}bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    extra = F.greatest(F.lit(0), F.floor(F.col("target") - F.col("__whole") * F.col("source_size")))
-    plan = buckets.withColumn("__before", before).join(goals, "__source").withColumn("__whole", whole)
-    plan = plan.select("__source", "__bucket", "__before", "__whole", extra.alias("__extra"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    own = W.partitionBy("__source", "__bucket").orderBy("__digest", "__size").rowsBetween(W.unboundedPreceding, -1)
-    dealt = sized.join(plan, ["__source", "__bucket"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__size").over(own), F.lit(0)))
-    taken = F.col("__whole") * F.col("__size") + F.least(F.col("__size"), F.greatest(F.lit(0), F.col("__extra") - F.col("__at")))
-    return dealt.withColumn("__taken", taken.cast("long")).select(*docs.columns, "__size", "__source_size", "__target", "__taken")
+    extra = F.greatest(F.lit(0), F.floor(F.col("target") - F.col(f"{p}whole") * F.col("source_size")))
+    plan = buckets.withColumn(f"{p}before", before).join(goals, f"{p}source").withColumn(f"{p}whole", whole)
+    plan = plan.select(f"{p}source", f"{p}bucket", f"{p}before", f"{p}whole", extra.alias(f"{p}extra"), F.col("source_size").alias(f"{p}source_size"), F.col("target").alias(f"{p}target"))
+    own = W.partitionBy(f"{p}source", f"{p}bucket").orderBy(f"{p}digest", f"{p}size").rowsBetween(W.unboundedPreceding, -1)
+    dealt = sized.join(plan, [f"{p}source", f"{p}bucket"]).withColumn(f"{p}at", F.col(f"{p}before") + F.coalesce(F.sum(f"{p}size").over(own), F.lit(0)))
+    taken = F.col(f"{p}whole") * F.col(f"{p}size") + F.least(F.col(f"{p}size"), F.greatest(F.lit(0), F.col(f"{p}extra") - F.col(f"{p}at")))
+    return dealt.withColumn(f"{p}taken", taken.cast("long")).select(*map(quoted, docs.columns), *(F.col(f"{p}{c}").alias(f"{prefix}{c}") for c in ("size", "source_size", "target", "taken")))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
@@ -70,16 +72,14 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
     n_chars, if there is such a column, follows the text. Documents that aren't taken, and those without a word, go.
     """
-    mixed = mix(docs, **options).where("__taken > 0")
-    part = (F.col("__taken") % F.col("__size")).cast("int")
+    own = prefix_of(docs)
+    mixed = mix(docs, prefix=own, **options).where(F.col(f"{own}taken") > 0)
+    part = (F.col(f"{own}taken") % F.col(f"{own}size")).cast("int")
     copies = F.concat(
-        F.array_repeat(F.col("text"), F.floor(F.col("__taken") / F.col("__size")).cast("int")),
+        F.array_repeat(F.col("text"), F.floor(F.col(f"{own}taken") / F.col(f"{own}size")).cast("int")),
         F.when(part > 0, F.array(let(words(F.col("text")), lambda w: F.array_join(F.slice(w, 1, part), " ")))).otherwise(F.array().cast("array<string>")),
     )
-    out = mixed.withColumn("__copy", F.explode(copies)).withColumn("text", F.col("__copy"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return with_text(mixed.withColumn(f"{own}copy", F.explode(copies)), docs, F.col(f"{own}copy"))
 
 
 #: The same rows in SQL.

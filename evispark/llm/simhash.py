@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.common import saved, text_key
+from evispark.llm.common import prefix_of, saved, text_key
 from evispark.llm.components import components
 
 SEED = 42
@@ -168,6 +168,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     keys = found.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
     keys = keys.select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"))
-    keyed = docs.withColumn("__key", text_key(F.col("doc_id"), F.col("text")))
-    kept = keyed.join(keys, (keyed["__key"] == keys["keep_key"]) & keyed["doc_id"].eqNullSafe(keys["keep_id"]), "left_semi")
-    return kept.dropDuplicates(["__key", "doc_id"]).drop("__key")
+    own = prefix_of(docs)
+    keyed = docs.withColumn(f"{own}key", text_key(F.col("doc_id"), F.col("text")))
+    keys = keys.withColumnsRenamed({"keep_id": f"{own}keep_id", "keep_key": f"{own}keep_key"})
+    kept = keyed.join(keys, (F.col(f"{own}key") == F.col(f"{own}keep_key")) & F.col("doc_id").eqNullSafe(F.col(f"{own}keep_id")), "left_semi")
+    return kept.dropDuplicates([f"{own}key", "doc_id"]).drop(f"{own}key")
