@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on so many labelled documents of a language at most, chosen by a hash of their id.
-FIT_DOCS = 20_000
-#: Words kept of a language; the longest n-grams for words that aren't kept.
-FIT_WORDS, LONGEST = 40_000, 4
+#: The classifier is fitted on about so many labelled documents at most (whole texts), as many of each language, chosen by a hash of their id.
+FIT_DOCS = 8_000
+#: Words seen so often in them are known; the longest n-grams for other words.
+LEAST_SEEN, LONGEST = 2, 4
 SMOOTH = 0.5
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+#: Runs of letters, where a text has neither marks nor numbers that Python counts as parts of words.
+_PLAIN = re.compile(r"[^\W\d_]+")
+
+
+@functools.cache
+def letters() -> tuple[re.Pattern, re.Pattern]:
+    """A letter of any script and the letters and combining marks that follow it; any mark, or number that isn't a digit."""
+
+    def ranges(kinds: tuple[str, ...]) -> str:
+        found = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith(kinds))
+        runs = [[c for _, c in run] for _, run in itertools.groupby(enumerate(found), lambda x: x[1] - x[0])]
+        return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+    return re.compile(f"[{ranges(('L',))}][{ranges(('L', 'M'))}]*"), re.compile(f"[{ranges(('M', 'No', 'Nl'))}]")
 
 
 def words_of(text: str | None) -> list[str]:
-    """The runs of letters of a text in lower case."""
-    return [w for w in _LETTERS.findall((text or "").lower()) if w.isalpha()]
+    """The runs of letters of a text in lower case, marks included; whatever else stands beside them ends a run."""
+    small = (text or "").lower()
+    whole, odd = letters()
+    return _PLAIN.findall(small) if small.isascii() or not odd.search(small) else whole.findall(small)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -85,14 +105,15 @@ class Scorer(dict):
         return out
 
 
-def fit(rows: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> Model:
-    """The model of labelled rows (doc_id, text, lang): at most fit_words words of each language come to the driver.
+def fit(rows: DataFrame, fit_docs: int = FIT_DOCS, least_seen: int = LEAST_SEEN) -> Model:
+    """The model of labelled rows (doc_id, text, lang): the words seen least_seen times or more in a sample of rows come to the driver.
 
-    At most about fit_docs documents of a language are read for it, those with the lowest hashes of doc_id.
+    The sample holds about fit_docs rows in all, fit_docs / languages (at least one) of each language that has so many,
+    those with the lowest hashes of doc_id.
     """
     totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    some = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1 << 20, (fit_docs << 20) // n)))), F.col("lang")) if totals else F.lit(0)
+    some, each = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)), max(1, fit_docs // max(1, len(totals)))
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1 << 20, -(-(each << 20) // n))))), F.col("lang")) if totals else F.lit(0)
     sample = rows.where(some < share).select("lang", "text")
 
     def run(batches):
@@ -103,10 +124,9 @@ def fit(rows: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(list(zip(*flat, strict=True)) or [[]] * 3, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
-    counts = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = counts.withColumn("rank", rank).where(F.col("rank") <= fit_words).select("lang", "word", "n")
-    return Model(sorted(map(tuple, kept.collect())), totals)
+    counts = sample.mapInArrow(run, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    kept = counts.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n")).where(F.col("n") >= least_seen)
+    return Model(sorted((lang, r["word"], n) for r in kept.select("word", "by").collect() for lang, n in r["by"]), totals)
 
 
 def identify(docs: DataFrame, fold: int = 2, folds: int = 4, **limits) -> DataFrame:
@@ -115,7 +135,8 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, **limits) -> DataFr
     Held out is where crc32(doc_id as text) mod folds is fold. A text's score is the language's posterior over the sum of
     all its words' log frequencies. Null texts and texts without a letter are `und` with score 0, as is everything where
     nothing could be learned; ties go to the first code by code point. Rows with null lang teach nothing; a null
-    doc_id counts as an empty one. Repeated rows repeat; no documents give no rows.
+    doc_id counts as an empty one. Repeated rows repeat; texts of any length count whole; other columns aren't read; no
+    documents give no rows.
     """
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == fold
     base = docs.select("doc_id", "text", "lang", held.alias("held_out"))
