@@ -81,15 +81,33 @@ def text_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, most: int = 1000) -> DataFrame:
+    """rows joined with keyed (one row a key, n: how many of the `total` rows have it) on key; n goes.
+
+    Keys that more than one in `most` rows have, fewer than `most` of them, are broadcast, so that a key which a third of
+    all rows share is not dealt to one task; the others are joined by shuffle.
+    """
+    hot = F.col("n") * most > total
+    often = F.broadcast(keyed.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot).drop("n"), key)
+    return rows.join(often, key).unionByName(rest)
+
+
+#: Ranges that range_bounds() deals out at most, and the keys a range that it reads for that.
+MOST_SHARDS, KEYS_PER_SHARD = 16_384, 25
+
+
 def range_bounds(keys: DataFrame, key: str, shards: int, rows: int) -> list:
-    """Upper-exclusive bounds that deal the non-null keys into about `shards` ranges of like row counts.
+    """Upper-exclusive bounds that deal the non-null keys into about `shards` ranges, MOST_SHARDS at most, of like row counts.
 
-    They come from the keys whose hash falls into a fixed share, about 100 for each shard, so the same rows always
-    give the same bounds, unlike bounds from Spark's sampling. What reaches the driver is bounded by 200 times shards.
+    They come from the keys whose hash falls into a fixed share, about KEYS_PER_SHARD for each range (more for few), so
+    the same rows always give the same bounds, unlike bounds from Spark's sampling. About MOST_SHARDS * KEYS_PER_SHARD
+    (410,000) keys reach the driver at most, whatever the input; beyond that, ranges grow.
     """
     if shards <= 1 or not rows:
         return []
-    every = max(1, rows // (shards * 100))
+    shards = min(shards, MOST_SHARDS)
+    every = max(1, rows // max(10_000, shards * KEYS_PER_SHARD))
     sample = keys.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0))
     counts = sorted((r[0], r[1]) for r in sample.groupBy(key).count().collect())
     total, seen, bounds = sum(n for _, n in counts), 0, []

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evispark.llm.common import range_bounds, shard_of, text_key
 
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     next in one task, which holds two texts at a time. One document is its own next. Null text is empty; null ids
     come last; rows with one id follow each other by text. No documents give no rows. Other columns aren't read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = base.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     bounds = range_bounds(base, "doc_id", max(1, -(-(total[1] or 0) // shard_bytes), min(total[0] // 500, 32)), total[0])
@@ -125,7 +126,7 @@ def fingerprints(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     def batch_of(rows):
         cols = list(zip(*rows, strict=True)) or [[]] * 7
-        ids = pa.array(cols[0], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+        ids = pa.array(cols[0], id_type)
         return pa.record_batch([ids, *(pa.array(x, t) for x, t in zip(cols[1:], types, strict=True))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return ordered.mapInArrow(run, schema)

@@ -18,9 +18,9 @@ from evispark.llm.common import range_bounds, saved, shard_of
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 #: A file is closed by the first record that takes it to this many compressed bytes or over.
-ROLL_BYTES = 64 << 20
-#: Payload bytes for each range of ids, a task's work.
-SHARD_BYTES = 64 << 20
+ROLL_BYTES = 16 << 20
+#: Payload bytes for each range of ids, a task's work: several files, as web pages shrink to a third or a quarter.
+SHARD_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space for URLs (fixed value)
@@ -33,24 +33,26 @@ def b32(digest: bytes) -> str:
 def record(page_id: int | None, copy: int, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
     """One WARC/1.1 record as a gzip member without time stamp: the same input always gives the same bytes.
 
-    A revisit holds the HTTP header alone, with the length of the payload that its response record holds.
+    A revisit holds the HTTP header alone, with the length of the payload that its response record holds, which is the
+    first copy of the payload under the page it refers to.
     """
     digest = hashlib.sha1(payload).digest()
-    name = "" if page_id is None else str(page_id)
+    name = lambda i: "" if i is None else str(i)
+    urn = lambda i, n: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{name(i)}/{n}/{digest.hex()}')}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, f'{name}/{copy}/{digest.hex()}')}>",
+        f"WARC-Record-ID: {urn(page_id, copy)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((uri or '').split())}",
         f"WARC-Block-Digest: {b32(hashlib.sha1(block).digest())}",
         f"WARC-Payload-Digest: {b32(digest)}",
-        f"X-Page-ID: {name}",
+        f"X-Page-ID: {name(page_id)}",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to, 1)}", f"X-Refers-To-Page-ID: {name(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
