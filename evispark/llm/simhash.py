@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.common import prefix_of, saved, text_key
+from evispark.llm import meeting, shingles
+from evispark.llm.common import hot_join, prefix_of, saved, text_key
 from evispark.llm.components import components
 
 SEED = 42
@@ -98,16 +99,22 @@ def run_links(cell: np.ndarray, fps: np.ndarray, max_bits: int, small: int = 48)
     return out
 
 
-def near_links(distinct: DataFrame, max_bits: int = 4, segment_bits: int = 2) -> DataFrame:
+def width_for(fingerprints: int) -> int:
+    """The segment width whose cells suit so many distinct fingerprints; any gives the same links."""
+    return 2 if fingerprints <= 4_000_000 else 1
+
+
+def near_links(distinct: DataFrame, max_bits: int = 4, segment_bits: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all that differ in at most max_bits bits.
 
     A fingerprint's halves of 32 bits are cut into segments; the vectors of segment bit counts of two fingerprints
     are at most as far apart (Manhattan) as their bits. So of two within max_bits, at most 5, one half is within
     2, and a grid point lies within 1 of both: each fingerprint goes to all such points, and only those that meet
     are compared bit by bit. No pair is missed. Narrow segments give more and emptier cells, for larger inputs; the
-    result is the same. In a cell, each member meets only those that no link has reached yet, so a large group of
+    result is the same, and the default goes by the number of fingerprints. In a cell, each member meets only those that no link has reached yet, so a large group of
     near copies costs and returns about one link for each member, not all its pairs.
     """
+    segment_bits = segment_bits or width_for(distinct.count())
     if not 0 <= max_bits <= 5 or segment_bits not in (1, 2, 4, 8):
         raise ValueError("max_bits: 0 to 5; segment_bits: 1, 2, 4 or 8")
 
@@ -137,7 +144,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4, segment_bits: int = 2) ->
     return distinct.select("fp").mapInArrow(embed, "cell long, fp long").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, segment_bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, segment_bits: int | None = None) -> DataFrame:
     """doc_id, text_key, fp, root, component_id: the smallest doc_id among documents reachable by links of at most max_bits bits.
 
     root is the component's smallest fingerprint that a link led to.
@@ -146,19 +153,28 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, segment_
     component_id is null where the component has no other. No documents give no rows. Other columns aren't read.
     """
     fps = saved(fingerprints(docs, width), "fingerprints")
-    least = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    least = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(least, max_bits, segment_bits), "a", "b").select(F.col("node").alias("fp"), "root")
     tops = least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("top"))
     tops = roots.join(tops, "root").select("fp", "root", "top")
     linked = F.col("root").isNotNull()
-    classes = least.join(tops, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(linked, F.col("top")).otherwise(F.col("least")).alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    classes = least.join(tops, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(linked, F.col("top")).otherwise(F.col("least")).alias("component_id"))
+    return hot_join(fps, saved(classes, "classes"), "fp", fps.count()).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def kept_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of docs that are (doc_id, text_key) of firsts, each once."""
+    own = prefix_of(docs)
+    keys = firsts.select(F.col("doc_id").alias(f"{own}keep_id"), F.col("text_key").alias(f"{own}keep_key"))
+    keyed = docs.withColumn(f"{own}key", text_key(F.col("doc_id"), F.col("text")))
+    kept = keyed.join(keys, (F.col(f"{own}key") == F.col(f"{own}keep_key")) & F.col("doc_id").eqNullSafe(F.col(f"{own}keep_id")), "left_semi")
+    return kept.dropDuplicates([f"{own}key", "doc_id"]).drop(f"{own}key")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which near_duplicates keeps one for each component: that with the smallest doc_id.
 
@@ -166,10 +182,31 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    keys = found.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
-    keys = keys.select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"))
-    own = prefix_of(docs)
-    keyed = docs.withColumn(f"{own}key", text_key(F.col("doc_id"), F.col("text")))
-    keys = keys.withColumnsRenamed({"keep_id": f"{own}keep_id", "keep_key": f"{own}keep_key"})
-    kept = keyed.join(keys, (F.col(f"{own}key") == F.col(f"{own}keep_key")) & F.col("doc_id").eqNullSafe(F.col(f"{own}keep_id")), "left_semi")
-    return kept.dropDuplicates([f"{own}key", "doc_id"]).drop(f"{own}key")
+    return kept_rows(docs, found.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key"))
+
+
+def keep_one_similar(docs: DataFrame, max_bits: int = 4) -> DataFrame:
+    """The rows of docs of which one stays for each component of documents whose five-word shingles are alike by 0.8: that with the smallest doc_id.
+
+    Candidates are what the SimHashes of the shingles link, at max_bits; as texts that are just 0.8 alike differ in 10
+    of 64 bits on average, beyond what a grid of bit counts can find, texts that meet in a min-hash table are candidates
+    too. Every link is verified on the shingles. Null ids come last, ties go to the smaller text key, and of wholly
+    repeated rows one stays. Texts of the same words are one, those without a word too. Columns are those of docs.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    found = saved(shingles.bodies(docs), "bodies").groupBy("body", "fp").agg(F.min(order).alias("first"), F.any_value("cells").alias("cells"))
+    distinct = saved(found, "distinct-bodies")
+    fps = saved(distinct.groupBy("fp").agg(F.min("body").alias("body"), F.count("*").alias("n")), "distinct")
+    links = near_links(fps, max_bits)
+    group = lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 2).bitwiseOR(F.lit(meeting.GROUP))
+    ends = links.join(fps.select(F.col("fp").alias("a"), F.col("body").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("body").alias("y")), "b")
+    pairs = ends.select(group("a", "b").alias("cell"), F.explode(F.array("x", "y")).alias("body"))
+    same = distinct.join(fps.where("n > 1").select("fp"), "fp").select(group("fp", "fp").alias("cell"), "body")
+    met = meeting.groups(distinct.select(F.explode("cells").alias("cell"), F.col("body").alias("key"))).select("cell", F.col("key").alias("body"))
+    members = saved(met.union(pairs).union(same), "document-cells").groupBy("body").agg(F.collect_set("cell").alias("cells"))
+    members = members.join(distinct.select("body", "first.text_key"), "body")
+    keyed = docs.select(text_key(F.col("doc_id"), F.col("text")).alias("text_key"), "text")
+    texts = keyed.join(members, "text_key").dropDuplicates(["text_key"]).select(F.explode("cells").alias("cell"), "body", "text")
+    roots = components(shingles.links(texts), "a", "b", "document-links").select(F.col("node").alias("body"), "root")
+    tops = distinct.select("body", "first").join(roots, "body", "left").groupBy(F.coalesce("root", "body").alias("root")).agg(F.min("first").alias("first"))
+    return kept_rows(docs, tops.select("first.doc_id", "first.text_key"))
