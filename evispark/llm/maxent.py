@@ -28,7 +28,7 @@ ROWS_PER_ROOT, LEAST_ROWS, MOST_ROWS = 1.5, 1 << 10, 1 << 16
 ROUNDS, DAMPING, PRIOR = 4, 2.0, 16.0
 #: Words whose counts are sent to all executors at most; the others' are joined.
 FREQUENT = 100_000
-STEP = 4096
+STEP = 2048
 #: A text's end as a token; no word is empty.
 END = b""
 _NONE = -80.0
