@@ -102,7 +102,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_
 
 
 def holds(sorted_lines: Column, line: Column) -> Column:
-    """Whether a sorted array of longs holds a value, by binary search."""
+    """Whether a sorted array of longs holds a value, by binary search, whose steps each evaluate it."""
     start = F.struct(F.lit(0).alias("lo"), F.size(sorted_lines).alias("hi"))
 
     def halve(at, _):
@@ -146,7 +146,7 @@ def judged(docs: DataFrame, host: str = "source", kept_percent: int = KEPT_PERCE
     text = F.coalesce("text", F.lit(""))
     joined = listed(docs, frequent, host, small, f"{own}lines")
     lines = F.col(f"{own}lines")
-    stays = lambda x: F.coalesce(~holds(lines, line_hash(x)), F.lit(True))
+    stays = lambda x: let(line_hash(x), lambda h: ~holds(lines, h))
     # without a list, or where no line is on it, the text stays as it is
     cut = F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
     # a filter on __kept is not pushed below a row number, as it would compute the cut a second time there
