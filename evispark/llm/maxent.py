@@ -145,15 +145,18 @@ def inner_features(back: list[np.ndarray], classes: np.ndarray, rows: int) -> np
     return np.stack([hashed(last ^ of, rows), hashed((last ^ back[1] * b) + of, rows)], axis=1)
 
 
-def raised(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp(scores), their sums by token); bias: a row for all or one for each token."""
+def raised(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, level: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(exp(scores), their sums by token); bias: a row for all or one for each token. Where a batch would overflow or vanish, tokens are levelled."""
     scores = np.take(weights, rows[:, 0], axis=0)
     for j in range(1, rows.shape[1]):
         scores += np.take(weights, rows[:, j], axis=0)
     scores += bias
-    scores -= scores.max(axis=1, keepdims=True)
+    level = level or scores.max() > 80
+    if level:
+        scores -= scores.max(axis=1, keepdims=True)
     np.exp(scores, out=scores)
-    return scores, scores @ np.ones(scores.shape[1], scores.dtype)
+    sums = scores @ np.ones(scores.shape[1], scores.dtype)
+    return (scores, sums) if level or sums.min() > 1e-30 else raised(weights, bias, rows, True)
 
 
 def row_sums(rows: np.ndarray, values: np.ndarray, short: int = 16) -> tuple[np.ndarray, np.ndarray]:
