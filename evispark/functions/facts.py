@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evispark.functions.text import has_any, normalize, squeeze, strip
+from evispark.functions.text import has_any, let, normalize, squeeze, strip
 
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 UNITS = "千元|万元|亿元|元/股|元|人"
@@ -41,6 +41,7 @@ FACTS = (
     Fact("dividend_per_10", ("每10股", "每 10 股"), r"每\s*10\s*股派发(?:现金)?(?:分红|红利)?", "元", "dividend", ("董事会审议的报告期利润分配预案", "年度报告 第一节 重要提示")),
     Fact("revenue", ("营业收入",), "营业收入", markers=_KEY),
 )
+#: Qualifiers that narrow a fact (fixed values).
 REGIONS = ("海外", "境外", "欧洲", "北美")
 ATTRIBUTES = ("女性", "博士", "硕士")
 SEGMENTS = ("储能电池系统", "动力电池系统", "智慧教育业务", "智慧医疗业务", "新能源汽车业务", "主业产品及服务", "智能家居业务")
@@ -75,49 +76,59 @@ def _pattern(fact: Fact) -> str:
 def extract(passage: Column, name: Column) -> Column:
     """A struct of value_text, numeric_value, unit, quote, or null: the first match of the fact's pattern.
 
-    The pattern is a column, so that there is one copy of the expression and not one a fact; Spark compiles it anew only
-    where it changes from one row to the next.
+    The pattern is a value computed once a row, so there is one copy of what follows and not one a fact; Spark compiles
+    it anew only where it changes from one row to the next.
     """
-    text = normalize(passage)
-    pattern, default = by_fact(name, lambda f: F.lit(_pattern(f))), by_fact(name, lambda f: F.lit(f.unit))
-    group = lambda i: F.call_function("regexp_extract", text, pattern, F.lit(i))
-    start, whole, after = F.regexp_instr(text, pattern), group(0), group(3)
-    end = start + F.length(whole)
-    before = F.regexp_extract_all(F.substring(text, F.lit(1), start - 1), F.lit(r"(?U)单位[：:]?\s*(千元|万元|亿元|元)"), F.lit(1))
-    unit = F.coalesce(F.when(after != "", after), F.nullif(group(1), F.lit("")), default, F.try_element_at(before, F.lit(-1)), F.lit("元"))
-    taxed = (name == "dividend_per_10") & (F.substring(text, end, F.lit(20)).contains("含税") | whole.contains("含税"))
-    first = F.greatest(F.lit(1), start - 45)
-    return F.when(
-        start > 0,
-        F.struct(
-            F.concat(group(2), unit, F.when(taxed, "（含税）").otherwise("")).alias("value_text"),
-            F.regexp_replace(group(2), ",", "").try_cast("decimal(28,4)").alias("numeric_value"),
+
+    def matched(x: Column) -> Column:
+        group = lambda i: F.call_function("regexp_extract", x["text"], x["pattern"], F.lit(i))
+        start = F.regexp_instr(x["text"], x["pattern"])
+        return F.struct(x["text"].alias("text"), x["unit"].alias("unit"), start.alias("start"), *(group(i).alias(f"g{i}") for i in range(4)))
+
+    def value(m: Column) -> Column:
+        text, start, end = m["text"], m["start"], m["start"] + F.length(m["g0"])
+        before = F.regexp_extract_all(F.substring(text, F.lit(1), start - 1), F.lit(r"(?U)单位[：:]?\s*(千元|万元|亿元|元)"), F.lit(1))
+        unit = F.coalesce(F.when(m["g3"] != "", m["g3"]), F.nullif(m["g1"], F.lit("")), m["unit"], F.try_element_at(before, F.lit(-1)), F.lit("元"))
+        taxed = (name == "dividend_per_10") & (F.substring(text, end, F.lit(20)).contains("含税") | m["g0"].contains("含税"))
+        first = F.greatest(F.lit(1), start - 45)
+        found = F.struct(
+            F.concat(m["g2"], unit, F.when(taxed, "（含税）").otherwise("")).alias("value_text"),
+            F.regexp_replace(m["g2"], ",", "").try_cast("decimal(28,4)").alias("numeric_value"),
             unit.alias("unit"),
             strip(F.substring(text, first, end + 80 - first)).alias("quote"),
-        ),
-    )
+        )
+        return F.when(start > 0, found)
+
+    given = F.struct(normalize(passage).alias("text"), by_fact(name, lambda f: F.lit(_pattern(f))).alias("pattern"), by_fact(name, lambda f: F.lit(f.unit)).alias("unit"))
+    return let(given, lambda x: let(matched(x), value))
 
 
 def marker_hits(passage: Column, name: Column) -> Column:
-    text = normalize(passage)
-    return F.coalesce(by_fact(name, lambda f: sum((text.contains(m).cast("int") for m in f.markers), F.lit(0))), F.lit(0))
+    """How many of the fact's markers the passage holds."""
+    markers = F.coalesce(by_fact(name, lambda f: F.array(*map(F.lit, f.markers)).cast("array<string>")), F.array().cast("array<string>"))
+    return let(normalize(passage), lambda text: F.size(F.filter(markers, lambda m: text.contains(m))))
+
+
+def constraints_of(query: Column, name: Column) -> Column:
+    """The qualifiers that the question names, in order, each with the widest gap to the fact's label (term, width)."""
+    plain = squeeze(query)
+    staff = name.isin("technical_employees", "rnd_staff")
+    terms = [(t, 40, F.lit(True)) for t in REGIONS] + [(t, 8, staff) for t in ATTRIBUTES] + [(t, 12, F.lit(True)) for t in SEGMENTS]
+    return F.array_compact(F.array(*(F.when(plain.contains(t) & fits & name.isNotNull(), F.struct(F.lit(t).alias("term"), F.lit(width).alias("width"))) for t, width, fits in terms)))
 
 
 def entails(passage: Column, query: Column, name: Column) -> Column:
     """Whether the passage holds, near the fact's label, every qualifier that the question names."""
-    text, plain = normalize(passage), squeeze(query)
+    label = by_fact(name, lambda f: F.lit(f.label))
 
-    def one(fact: Fact) -> Column:
-        ok = F.lit(True)
-        near = [(t, 40) for t in REGIONS] + [(t, 8) for t in ATTRIBUTES if fact.name in ("technical_employees", "rnd_staff")] + [(t, 12) for t in SEGMENTS]
-        for term, width in near:
-            ok = ok & (~plain.contains(term) | text.rlike(f"(?U){term}.{{0,{width}}}{fact.label}|{fact.label}.{{0,{width}}}{term}"))
-        return ok
+    def holds(text: Column) -> Column:
+        gap = lambda c: F.concat(F.lit(".{0,"), c["width"].cast("string"), F.lit("}"))
+        near = lambda c: F.concat(F.lit("(?U)"), c["term"], gap(c), label, F.lit("|"), label, gap(c), c["term"])
+        return F.forall(constraints_of(query, name), lambda c: F.call_function("regexp_like", text, near(c)))
 
-    return F.coalesce(by_fact(name, one), F.lit(True))
+    return F.coalesce(let(normalize(passage), holds), F.lit(True))
 
 
 def constrained(query: Column, name: Column) -> Column:
     """Whether the question names a qualifier."""
-    plain = squeeze(query)
-    return has_any(plain, REGIONS + SEGMENTS) | (name.isin("technical_employees", "rnd_staff") & has_any(plain, ATTRIBUTES))
+    return F.size(constraints_of(query, name)) > 0

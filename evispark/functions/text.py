@@ -16,8 +16,12 @@ WHOLE_RUN = 8
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-case tokens in text order; a Chinese run gives its characters, then its bigrams, then itself if short."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){LATIN}|{NUMBER_TOKEN}|{CHINESE}"), F.lit(0))
+    """Lower-case tokens in text order; a Chinese run gives its characters, then its bigrams, then itself if short.
+
+    Texts without Chinese, told by one scan, have nothing to expand.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(f"(?U){LATIN}|{NUMBER_TOKEN}|{CHINESE}"), F.lit(0))
 
     def expand(raw: Column) -> Column:
         token, n = F.lower(raw), F.length(raw)
@@ -26,12 +30,13 @@ def tokenize(text: Column) -> Column:
         whole = F.when(n <= WHOLE_RUN, F.array(token)).otherwise(F.array().cast("array<string>"))
         return F.when(raw.rlike(f"^{CHINESE}$"), F.concat(chars, pairs, whole)).otherwise(F.array(token))
 
-    return F.flatten(F.transform(found, expand))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(f"(?U){LATIN}|{NUMBER_TOKEN}"), F.lit(0)), F.lower)
+    return F.when(text.rlike("[一-鿿]"), F.flatten(F.transform(found, expand))).otherwise(plain)
 
 
-def word_tokens(text: Column) -> Column:
-    """The same for text known to hold no Chinese: nothing to expand."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{LATIN}|{NUMBER_TOKEN}"), F.lit(0))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: bound as a lambda's variable, which no rule of the optimizer inlines."""
+    return F.transform(F.array(value), body)[0]
 
 
 def squeeze(text: Column) -> Column:

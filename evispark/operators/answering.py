@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evispark.functions.facts import by_fact, constrained, entails, extract, fact_of, marker_hits
 from evispark.functions.text import has_any, last_position, normalize, rejoin_chinese
 
+#: Headings that tell quarterly from annual figures (fixed values).
 QUARTER_QUERY = ("季度", "第一季度", "第二季度", "第三季度", "第四季度", "Q1", "Q2", "Q3", "Q4")
 QUARTER = ("分季度主要财务指标", "第一季度", "第二季度", "第三季度", "第四季度")
 ANNUAL = ("主要会计数据和财务指标", "合并利润表", "合并现金流量表", "本年发生额")
@@ -19,11 +20,22 @@ def change(old: Column, new: Column) -> tuple[Column, Column]:
     return new - old, F.when(old != 0, (new - old) / F.abs(old) * 100)
 
 
-def format_decimal(value: Column, places: int | None = None) -> Column:
-    """With thousands' commas, the last digit rounded half to even; the sign of values between -1 and 0 is lost, as int() loses it."""
-    text = F.bround(value, places).cast(f"decimal(38,{places})").cast("string") if places is not None else F.regexp_replace(value.cast("string"), r"\.?0+$", "")
+def format_decimal(value: Column, places: int | None = None, digits: Column | None = None) -> Column:
+    """With thousands' commas and as many decimals as the type has, or as `digits` says, or rounded to `places`, half to even.
+
+    The sign of values between -1 and 0 is lost, as int() loses it.
+    """
+    text = value.cast("string") if places is None else F.bround(value, places).cast(f"decimal(38,{places})").cast("string")
     whole = F.format_number(F.substring_index(text, ".", 1).cast("decimal(38,0)"), 0)
-    return F.when(text.contains("."), F.concat(whole, F.lit("."), F.substring_index(text, ".", -1))).otherwise(whole)
+    decimals = F.when(text.contains("."), F.substring_index(text, ".", -1)).otherwise("")
+    if digits is not None:
+        decimals = F.substring(F.rpad(decimals, 38, "0"), F.lit(1), digits)
+    return F.when(decimals != "", F.concat(whole, F.lit("."), decimals)).otherwise(whole)
+
+
+def decimals_of(value_text: Column) -> Column:
+    """How many decimals a number as written has."""
+    return F.length(F.regexp_extract(value_text, r"^-?[\d,]*\.(\d+)", 1))
 
 
 def evidence(routed: DataFrame, hits: DataFrame, minimum: float = 0.0, enforce: bool = True) -> DataFrame:
@@ -44,8 +56,17 @@ def evidence(routed: DataFrame, hits: DataFrame, minimum: float = 0.0, enforce:
     return best.select("query_id", "fact", "chunk_id", "document_id", "company", "year", "page", "section", "text", "value.*")
 
 
+#: What a refusal says, by its reason (fixed values); those of questions out of scope come from the route.
+REFUSALS = {
+    "unsupported_fact": "当前受控回答器尚不支持该问题所需的财务字段。",
+    "incomplete": "没有找到同时满足公司、年份、字段和页码要求的完整证据，因此拒绝作答。",
+    "insufficient_evidence": "没有找到可核验的字段数值与页码证据，因此拒绝作答。",
+    "incompatible_units": "证据中的单位不一致，无法进行可靠计算。",
+}
+
+
 def answers(routed: DataFrame, found: DataFrame) -> DataFrame:
-    """routed with status, answer, reason, citations, calculation; found comes from evidence()."""
+    """routed with status, answer (of a refusal, its message), reason, citations, calculation; found comes from evidence()."""
     one = F.struct("year", "value_text", "numeric_value", "unit", "chunk_id", "document_id", "company", "page", "quote")
     by = found.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("values"))
     rows = routed.join(by, "query_id", "left").withColumn("fact", fact_of(F.col("query")))
@@ -60,11 +81,13 @@ def answers(routed: DataFrame, found: DataFrame) -> DataFrame:
     listed = F.when(several, F.array_join(F.transform("values", lambda v: F.concat(v["year"].cast("string"), F.lit("年"), v["value_text"])), "；")).otherwise(first["value_text"])
     difference, percent = change(first["numeric_value"], last["numeric_value"])
     rate = F.coalesce(format_decimal(percent, 2), F.lit("无法计算"))
-    worked = F.when(calculate, F.concat(last["year"].cast("string"), F.lit("年-"), first["year"].cast("string"), F.lit("年："), last["value_text"], F.lit("-"), first["value_text"], F.lit("="), format_decimal(difference), first["unit"], F.lit("，变化率="), rate, F.lit("%")))
+    worked = F.when(calculate, F.concat(last["year"].cast("string"), F.lit("年-"), first["year"].cast("string"), F.lit("年："), last["value_text"], F.lit("-"), first["value_text"], F.lit("="), format_decimal(difference, digits=F.greatest(decimals_of(first["value_text"]), decimals_of(last["value_text"]))), first["unit"], F.lit("，变化率="), rate, F.lit("%")))
+    told = F.when(F.col("should_refuse"), F.col("message")).when(missing & (F.col("reason") == "insufficient_evidence"), REFUSALS["incomplete"])
+    message = told.when(F.col("reason") == "unsupported_fact", REFUSALS["unsupported_fact"]).when(F.col("reason") == "incompatible_units", REFUSALS["incompatible_units"]).otherwise(REFUSALS["insufficient_evidence"])
     rows = rows.withColumn("reason", reason).withColumn("calculation", F.when(F.col("reason").isNull(), worked))
     return (
         rows.withColumn("status", F.when(F.col("reason").isNull(), "answered").otherwise("refused"))
-        .withColumn("answer", F.when(F.col("reason").isNull(), F.concat_ws("；", listed, "calculation")))
+        .withColumn("answer", F.when(F.col("reason").isNull(), F.concat_ws("；", listed, "calculation")).otherwise(message))
         .withColumn("citations", F.when(F.col("reason").isNull(), F.transform("values", lambda v: F.struct(v["chunk_id"].alias("chunk_id"), v["document_id"].alias("document_id"), v["company"].alias("company"), v["year"].alias("year"), v["page"].alias("page"), v["quote"].alias("quote")))))
         .drop("values")
     )
@@ -89,10 +112,12 @@ def cites_quarter(section: Column, text: Column, quote: Column, fact: Column) ->
 
 
 def verify(answered: DataFrame, found: DataFrame, round_index: Column, confirm: int = 2) -> DataFrame:
-    """answered with assessment (status), reasons and confidence of a round."""
+    """answered with assessment (status), reasons, confidence and selected_chunk_ids (those cited, none of a refusal) of a round."""
+    if confirm < 1:
+        raise ValueError("confirm must be positive")
     cited = found.groupBy("query_id").agg(
         F.collect_set("company").alias("__companies"), F.collect_set(F.col("year").cast("int")).alias("__years"),
-        F.max(cites_quarter(F.col("section"), F.col("text"), F.col("quote"), F.col("fact"))).alias("__quarter"),
+        F.max(cites_quarter(F.col("section"), F.col("text"), F.col("quote"), F.col("fact"))).alias("__quarter"), F.array_sort(F.collect_set("chunk_id")).alias("__chunks"),
     )
     rows = answered.join(cited, "query_id", "left")
     refused, empty = F.col("status") == "refused", F.array().cast("array<string>")
@@ -112,7 +137,8 @@ def verify(answered: DataFrame, found: DataFrame, round_index: Column, confirm:
     )
     status = F.when(terminal | confirmed, "terminal_refusal").when(refused | (F.size(lacks) > 0), "insufficient").otherwise("sufficient")
     confidence = F.when(terminal, 1.0).when(confirmed, 0.9).when(refused, 0.2).when(F.size(lacks) > 0, 0.1).otherwise(1.0)
-    return rows.withColumns({"assessment": status, "reasons": reasons, "confidence": confidence}).drop("__companies", "__years", "__quarter")
+    selected = F.when(refused, empty).otherwise(F.coalesce("__chunks", empty))
+    return rows.withColumns({"assessment": status, "reasons": reasons, "confidence": confidence, "selected_chunk_ids": selected}).drop("__companies", "__years", "__quarter", "__chunks")
 
 
 def escalated(hits: DataFrame, routed: DataFrame) -> DataFrame:
@@ -123,14 +149,22 @@ def escalated(hits: DataFrame, routed: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).select(*hits.columns)
 
 
+#: The policies: one round, all rounds, as many as the evidence needs (fixed values).
+STATIC, ALWAYS, ADAPTIVE = "static_rag", "always_agentic", "adaptive_budget_aware"
+
+
 def decide(assessment: Column, policy: Column, round_index: Column, max_rounds: Column) -> Column:
-    """A struct of action and reason."""
+    """A struct of action and reason; an unknown policy or a budget without a round is an error."""
     step = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
-    return (
+    chosen = (
         F.when(assessment == "terminal_refusal", step("stop", "terminal_refusal"))
         .when(round_index >= max_rounds, step("stop", "round_budget_exhausted"))
-        .when(policy == "static", step("stop", "static_single_round_policy"))
-        .when(policy == "always_agentic", step("retrieve_more", "always_agentic_forced_escalation"))
+        .when(policy == STATIC, step("stop", "static_single_round_policy"))
+        .when(policy == ALWAYS, step("retrieve_more", "always_agentic_forced_escalation"))
         .when(assessment == "insufficient", step("retrieve_more", "evidence_insufficient"))
         .otherwise(step("stop", "adaptive_evidence_sufficient"))
     )
+    known = F.coalesce(policy.isin(STATIC, ALWAYS, ADAPTIVE), F.lit(False))
+    kind = "struct<action: string, reason: string>"
+    error = F.when(~known, F.raise_error(F.concat(F.lit("unknown policy "), F.coalesce(policy, F.lit("null"))))).otherwise(F.raise_error(F.lit("max_rounds must be positive")))
+    return F.when(known & (max_rounds >= 1), chosen).otherwise(error.cast(kind))

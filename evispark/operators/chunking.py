@@ -11,12 +11,15 @@ from evispark.functions.text import strip
 PAGE = r"(?iU)^\s*<!--\s*page\s*:\s*(\d+)\s*-->\s*$"
 HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*$"
 START = "文档开头"
+#: What ends a line: all that Unicode counts as line ends, and the separators of files, groups and records.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def split_long(text: Column, size: int, overlap: int) -> Column:
     """Pieces of at most `size` characters, cut after the last line or sentence end in a window's second half, each overlapping the next.
 
-    A fold over as many steps as the text can have pieces; the state is where the next piece starts.
+    A fold over as many steps as the text can have pieces; the state is where the next piece starts. Each step moves on
+    by half a window less the overlap at least, or by one character.
     """
     steps = F.ceil(F.length(text) / F.lit(max(1, size // 2 + 1 - overlap))).cast("int") + 1
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
@@ -43,9 +46,7 @@ def chunk(documents: DataFrame, max_chars: int = 900, overlap_chars: int = 120,
     """
     if max_chars <= 0 or not 0 <= overlap_chars < max_chars:
         raise ValueError("max_chars must be positive and overlap_chars in [0, max_chars)")
-    if overlap_chars >= max_chars // 2 + 1:
-        raise ValueError("an overlap of over half of max_chars is not supported")
-    lines = documents.select("document_id", "company", "year", F.posexplode(F.split("markdown", r"\r\n|[\n\r]")).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
+    lines = documents.select("document_id", "company", "year", F.posexplode(F.split("markdown", LINE_END)).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
     order = W.partitionBy("document_id", "company", "year").orderBy("pos")
     page = F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("int")
     heading = F.nullif(F.regexp_extract("line", HEADING, 2), F.lit(""))

@@ -8,38 +8,21 @@ from pyspark.sql import functions as F
 from evispark.functions.text import has_any
 
 
-def pack(hits: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """(query_id, chunks_before, chunks_after, tokens_before, tokens_after, kept) of hits (query_id, rank, chunk_id, text), in characters as tokens.
+#: Words that make a question hard, by reason (fixed values).
+PERIODS, SUMS, GRANULARITY = ("跨年", "分别", "相比", "变化"), ("计算", "变化率", "增长率", "减少", "增加"), ("季度", "半年度", "年度", "全年")
 
-    In rank order each block (header and text) is taken whole, or cut to what is left, or skipped where not even its
-    header fits: what is skipped changes what fits later, so it is a fold. A query's hits are a top-k list.
-    """
-    if max_tokens is not None and max_tokens <= 0:
-        raise ValueError("max_tokens must be positive")
-    limit = F.lit(max_tokens if max_tokens is not None else (1 << 31) - 1)
-    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", (F.length("chunk_id") + 12).alias("head"), F.length("text").alias("body")))).alias("blocks"))
-    zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<chunk_id:string,body:int>>").alias("kept"))
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(F.size(s["kept"]) > 0, 2).otherwise(0)
-        left = limit - s["used"] - gap - x["head"]
-        body = F.least(x["body"], left)
-        return F.when((s["used"] >= limit) | (body <= 0), s).otherwise(
-            F.struct((s["used"] + gap + x["head"] + body).alias("used"), F.concat(s["kept"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), body.alias("body")))).alias("kept"))
-        )
-
-    before = F.aggregate("blocks", F.lit(0), lambda s, x: s + x["head"] + x["body"]) + 2 * (F.size("blocks") - 1)
-    packed = rows.withColumn("p", F.aggregate("blocks", zero, step))
-    return packed.select("query_id", F.size("blocks").alias("chunks_before"), F.size("p.kept").alias("chunks_after"), before.alias("tokens_before"), F.col("p.used").alias("tokens_after"), F.transform("p.kept", lambda k: k["chunk_id"]).alias("kept"))
-
-
-def choose_model(query: Column, rounds: Column, evidence: Column) -> Column:
-    """A struct of model, reason and score: two points or more ask for the large model."""
-    years = F.size(F.array_distinct(F.regexp_extract_all(query, F.lit(r"(20\d{2})"), F.lit(1))))
+def choose_model(query: Column, rounds: Column, evidence: Column, policy: str = "adaptive") -> Column:
+    """A struct of model, reason and score: two points or more ask for the large model; the policy always_large asks for it always."""
+    if policy not in ("adaptive", "always_large"):
+        raise ValueError(f"unknown policy {policy}")
+    if policy == "always_large":
+        return F.struct(F.lit("large").alias("model"), F.lit("baseline_always_large").alias("reason"), F.lit(0).alias("score"))
+    years = F.size(F.array_distinct(F.regexp_extract_all(query, F.lit(r"(?U)(20\d{2})"), F.lit(1))))
     tests = (
-        ((years >= 2) | has_any(query, ("跨年", "分别", "相比", "变化")), 2, "multi_period"),
-        (has_any(query, ("计算", "变化率", "增长率", "减少", "增加")), 2, "calculation"),
-        (has_any(query, ("季度", "半年度", "年度", "全年")), 1, "time_granularity"),
+        ((years >= 2) | has_any(query, PERIODS), 2, "multi_period"),
+        (has_any(query, SUMS), 2, "calculation"),
+        (has_any(query, GRANULARITY), 1, "time_granularity"),
         (rounds > 1, 2, "retrieval_escalated"),
         (evidence > 10, 1, "many_evidence_chunks"),
     )
@@ -49,16 +32,28 @@ def choose_model(query: Column, rounds: Column, evidence: Column) -> Column:
     return F.struct(F.when(large, "large").otherwise("small").alias("model"), F.when(large, reason).otherwise("single_fact_sufficient_evidence").alias("reason"), score.alias("score"))
 
 
+def checked(usage: DataFrame) -> DataFrame:
+    """The usage rows; a negative count or cost, or more cached than input tokens, is an error."""
+    counts = [c for c in usage.columns if c.endswith("_tokens") or c in ("calls", "cost")]
+    wrong = F.lit(False)
+    for c in counts:
+        wrong = wrong | F.coalesce(F.col(c) < 0, F.lit(False))
+    wrong = wrong | F.coalesce(F.col("cached_tokens") > F.col("input_tokens"), F.lit(False))
+    return usage.withColumn("input_tokens", F.when(wrong, F.raise_error(F.lit("token usage is negative, or more is cached than was put in"))).otherwise(F.col("input_tokens")))
+
+
 def cost(inputs: Column, outputs: Column, cached: Column, rate_in: Column, rate_cached: Column, rate_out: Column) -> Column:
-    """US dollars by rates for a million tokens; null without an input and an output rate. Cached tokens count up to the input."""
+    """US dollars by rates for a million tokens; null without an input and an output rate. Cached tokens count up to the input; negative counts are an error."""
     reused = F.least(cached, inputs)
-    return ((inputs - reused) * rate_in + reused * F.coalesce(rate_cached, rate_in) + outputs * rate_out) / 1_000_000
+    return F.when(F.least(inputs, outputs, cached) < 0, F.raise_error(F.lit("token counts cannot be negative")).cast("double")).otherwise((inputs - reused) * rate_in + reused * F.coalesce(rate_cached, rate_in) + outputs * rate_out) / 1_000_000
 
 
 def totals(usage: DataFrame, by: str | None = None) -> DataFrame:
-    """Sums of a ledger (input_tokens, output_tokens, cached_tokens, cost); the cost is null if any entry has none."""
+    """Sums of a ledger (input_tokens, output_tokens, cached_tokens, cost, and calls if it has them, else one each); the cost is null if any entry has none."""
+    calls = F.sum("calls") if "calls" in usage.columns else F.count("*")
     return (usage.groupBy(by) if by else usage.groupBy()).agg(
-        F.count("*").alias("entries"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cached_tokens").alias("cached_tokens"),
+        F.count("*").alias("entries"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), F.sum("cached_tokens").alias("cached_tokens"), calls.alias("calls"),
         F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost"),
         F.coalesce(F.try_divide(F.count("cost").cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("price_coverage"),
     )

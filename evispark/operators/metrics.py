@@ -49,28 +49,139 @@ def sweep(outcomes: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def budget(trajectory: DataFrame, by: str = "policy") -> DataFrame:
-    """Rounds, escalation and latency (exact interpolated percentiles) of a trajectory (by, query_id, round_index, passages, wall_ms, correct)."""
-    tasks = trajectory.groupBy(by, "query_id").agg(F.count("*").alias("rounds"), F.sum("passages").alias("passages"), F.sum("wall_ms").alias("ms"), F.max(F.col("correct").cast("int")).alias("correct"))
+    """Rounds, escalation, latency (exact interpolated percentiles) and cost of a trajectory (by, query_id, round_index, passages, wall_ms, correct, and cost_usd if it has it)."""
+    cost = F.col("cost_usd") if "cost_usd" in trajectory.columns else F.lit(0.0)
+    tasks = trajectory.groupBy(by, "query_id").agg(F.count("*").alias("rounds"), F.sum("passages").alias("passages"), F.sum("wall_ms").alias("ms"), F.max(F.col("correct").cast("int")).alias("correct"), F.sum(cost).alias("usd"))
     at = lambda q: F.round(F.percentile("ms", F.lit(q)), 6)
+    each = lambda c: F.round(ratio(F.sum(c), F.sum("correct")), 6)
     return tasks.groupBy(by).agg(
-        F.count("*").alias("tasks"), F.round(F.avg("rounds"), 9).alias("mean_rounds"), F.round(F.avg((F.col("rounds") > 1).cast("double")), 9).alias("escalation_rate"),
+        F.count("*").alias("tasks"), F.sum("correct").cast("long").alias("correct_tasks"), F.round(F.avg("rounds"), 9).alias("mean_rounds"), F.round(F.avg((F.col("rounds") > 1).cast("double")), 9).alias("escalation_rate"),
         F.sum("passages").alias("passages"), F.round(F.avg("ms"), 6).alias("mean_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"),
-        F.round(ratio(F.sum("passages"), F.sum("correct")), 9).alias("passages_per_correct"),
+        each("passages").alias("passages_per_correct"), each("ms").alias("ms_per_correct"), each("usd").alias("usd_per_correct"),
     )
 
 
-def routing(outcomes: DataFrame) -> DataFrame:
-    """policy, unnecessary and missed escalations against the static policy: outcomes (policy, query_id, rounds, correct)."""
-    static = outcomes.where("policy = 'static'").select("query_id", F.col("correct").alias("static_correct"))
-    rows = outcomes.where("policy <> 'static'").join(static, "query_id")
+def routing(outcomes: DataFrame, static: str = "static_rag") -> DataFrame:
+    """policy, its escalations against the static policy's outcomes: outcomes (policy, query_id, rounds, correct, and canary if some questions are known failures).
+
+    Unnecessary are rounds beyond the first where the static policy is right, of all such questions; missed are single
+    rounds where it is wrong. Canaries count apart: those that it gets wrong, and how many of them the policy gets right.
+    """
+    canary = F.col("canary") if "canary" in outcomes.columns else F.lit(False)
+    rows = outcomes.withColumn("__canary", canary)
+    base = rows.where(F.col("policy") == static).select("query_id", F.col("correct").alias("static_correct"))
+    rows = rows.join(base, "query_id")
+    plain = ~F.col("__canary")
+    share = lambda hit, of: ratio(F.count_if(hit & of), F.count_if(of))
+    lost = F.col("__canary") & ~F.col("static_correct")
     return rows.groupBy("policy").agg(
-        ratio(F.count_if(F.expr("rounds > 1 and static_correct")), F.count_if(F.expr("rounds > 1"))).alias("unnecessary_escalation"),
-        ratio(F.count_if(F.expr("rounds = 1 and not static_correct")), F.count_if(F.expr("not static_correct"))).alias("missed_escalation"),
-        F.count_if(F.expr("correct and not static_correct")).alias("recovered"),
-    )
+        share(F.col("rounds") > 1, plain & F.col("static_correct")).alias("unnecessary_escalation"), share(F.col("rounds") == 1, plain & ~F.col("static_correct")).alias("missed_escalation"),
+        F.count_if(lost & F.col("correct")).alias("recovered"), F.count_if(lost).alias("recoverable"), share(F.col("correct"), lost).alias("canary_recovery"),
+    )
+
+
+def beats(metrics: DataFrame, metric: str, lower: str, higher: str, by: str = "policy") -> DataFrame:
+    """One row (metric, lower, higher, passed): whether a metric of one policy is below that of another."""
+    at = lambda name: F.max(F.when(F.col(by) == name, F.col(metric).cast("double")))
+    rows = metrics.agg(at(lower).alias("lower"), at(higher).alias("higher"))
+    return rows.select(F.lit(metric).alias("metric"), "lower", "higher", (F.col("lower") < F.col("higher")).alias("passed"))
 
 
 def gates(metrics: DataFrame, least: dict[str, float]) -> DataFrame:
     """metric, value, minimum, passed for one row of metrics."""
     rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(x)).alias("minimum")) for m, x in least.items())))
     return metrics.select(rows.alias("g")).select("g.*", (F.col("g.value") >= F.col("g.minimum")).alias("passed"))
+
+
+def quality(details: DataFrame, by: str | None = "policy") -> DataFrame:
+    """Answer quality of loop.details(): shares over the answerable questions, citation precision over all citations, refusals of the others."""
+    answerable, hard = F.col("group") == "answerable_dev", F.col("group") == "hard_no_answer_dev"
+    over = lambda c: ratio(F.count_if(answerable & F.col(c)), F.count_if(answerable))
+    return (details.groupBy(by) if by else details.groupBy()).agg(
+        F.count_if(answerable).alias("answerable_questions"), over("exact").alias("exact_answer_accuracy"), over("gold_found").alias("all_gold_evidence_recall"),
+        ratio(F.sum(F.when(answerable, F.col("correct_citations"))), F.sum(F.when(answerable, F.col("citations")))).alias("citation_chunk_precision"),
+        over("pages_match").alias("citation_page_set_accuracy"), F.count_if(hard).alias("hard_no_answer_questions"),
+        ratio(F.count_if(hard & F.col("refusal_correct")), F.count_if(hard)).alias("hard_no_answer_refusal_accuracy"),
+    )
+
+
+def predictions(details: DataFrame, no_answer: DataFrame) -> DataFrame:
+    """One row of rates of an answering run over all its questions, and of the refusals among those without an answer (column status)."""
+    rate = lambda test: ratio(F.count_if(test), F.count("*"))
+    rows = details.agg(
+        F.count("*").alias("questions"), rate(F.col("status") == "answered").alias("answer_rate"), rate(F.col("exact")).alias("exact_answer_accuracy"), rate(F.col("gold_found")).alias("all_gold_evidence_recall"),
+        ratio(F.sum("correct_citations"), F.sum("citations")).alias("citation_chunk_precision"), rate(F.col("pages_match")).alias("citation_page_set_accuracy"),
+    )
+    refused = no_answer.agg(F.count("*").alias("no_answer_questions"), rate(F.col("status") == "refused").alias("no_answer_refusal_accuracy"))
+    return rows.crossJoin(refused)  # one row each
+
+
+def categories(details: DataFrame, by: str = "category") -> DataFrame:
+    """(category, questions, correct, accuracy): an answerable question is correct if exact, another if refused."""
+    correct = F.when(F.col("group") == "answerable_dev", F.col("exact")).otherwise(F.col("refusal_correct"))
+    return details.groupBy(by).agg(F.count("*").alias("questions"), F.count_if(correct).alias("correct"), ratio(F.count_if(correct), F.count("*")).alias("accuracy"))
+
+
+def scope_guard(routed: DataFrame) -> DataFrame:
+    """One row on routed questions with a split ('dev' or 'no_answer') and the expected reason: rates, and the ids that went wrong."""
+    dev, hard, refused = F.col("split") == "dev", F.col("split") == "no_answer", F.col("should_refuse")
+    right = refused == hard
+    wrong = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("query_id"))))
+    return routed.agg(
+        F.count_if(dev).alias("dev"), F.count_if(hard).alias("no_answer"), ratio(F.count_if(dev & ~refused), F.count_if(dev)).alias("dev_accept_rate"),
+        ratio(F.count_if(hard & refused), F.count_if(hard)).alias("no_answer_refusal_accuracy"),
+        ratio(F.count_if(hard & F.col("refusal_reason").eqNullSafe(F.col("expected_reason"))), F.count_if(hard)).alias("no_answer_reason_accuracy"),
+        ratio(F.count_if(right), F.count("*")).alias("overall_decision_accuracy"), wrong(dev & refused).alias("false_refusals"), wrong(hard & ~refused).alias("missed_refusals"),
+    )
+
+
+def route_counts(routed: DataFrame) -> DataFrame:
+    return routed.groupBy("task_type").agg(F.count("*").alias("questions"))
+
+
+def reason_accuracy(routed: DataFrame) -> DataFrame:
+    """(expected_reason, accuracy) of the questions that are to be refused."""
+    hit = F.col("refusal_reason").eqNullSafe(F.col("expected_reason"))
+    return routed.where("split = 'no_answer' and expected_reason is not null").groupBy("expected_reason").agg(ratio(F.count_if(hit), F.count("*")).alias("accuracy"))
+
+
+def first_ranks(queries: DataFrame, qrels: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, before, after, missed) of two rankings: the first relevant rank in each, null if none, and how many relevant chunks the later one misses.
+
+    Rankings of unlike sets of questions are an error.
+    """
+    only = lambda a, b: a.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id", "left_anti")
+    unlike = only(before, after).union(only(after, before)).agg((F.count("*") > 0).alias("__unlike"))
+    gold = qrels.select("query_id", "chunk_id").distinct()
+    at = lambda hits, name: gold.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias(name), F.count_if(F.col("rank").isNull()).alias(f"__{name}"))
+    rows = queries.select("query_id").join(at(before, "before"), "query_id", "left").join(at(after, "after"), "query_id", "left").crossJoin(F.broadcast(unlike))  # one row
+    checked = F.when(F.col("__unlike"), F.raise_error(F.lit("the two rankings are of unlike questions")).cast("long")).otherwise(F.coalesce("__after", F.lit(0)))
+    return rows.select("query_id", "before", "after", checked.alias("missed"))
+
+
+def deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, delta) of two rows of metrics with the same columns."""
+    flat = lambda row, name: row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in row.columns))).alias("m")).select("m.*")
+    return flat(before, "before").join(flat(after, "after"), "metric").withColumn("delta", F.col("after") - F.col("before"))
+
+
+def failures(details: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, value, n, correct) after a frozen run: statuses, reasons of refusals, facts with their exact answers, facts that `known` (fact_key) lacks, questions whose evidence was missed."""
+    n, right = F.count("*").alias("n"), F.count_if("exact").alias("correct")
+    part = lambda kind, rows, c: rows.groupBy(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")).agg(n, right)
+    parts = [
+        part("status", details, "status"), part("refusal", details.where("status = 'refused'"), "reason"), part("fact", details, "fact_key"),
+        part("test_only_fact", details.join(known.select("fact_key").distinct(), "fact_key", "left_anti"), "fact_key"), part("retrieval_miss", details.where("not gold_found"), "query_id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def no_drop(metrics: DataFrame, baseline: str, allowed: dict[str, float], by: str = "profile") -> DataFrame:
+    """(profile, metric, value, minimum, passed) for each profile but the baseline: no metric may fall below the baseline's by more than is allowed."""
+    flat = lambda rows: rows.select(by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(d)).alias("drop")) for m, d in allowed.items()))).alias("m")).select(by, "m.*")
+    base = flat(metrics.where(F.col(by) == baseline)).select("metric", (F.col("value") - F.col("drop")).alias("minimum"))
+    rows = flat(metrics.where(F.col(by) != baseline)).join(base, "metric")
+    return rows.select(by, "metric", "value", "minimum", (F.col("value") >= F.col("minimum")).alias("passed"))

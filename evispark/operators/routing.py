@@ -20,6 +20,7 @@ SECTION_ANCHORS = (
     (("员工总数", "在职员工", "技术人员", "生产人员", "硕士研究生"), "公司员工情况 员工数量 专业构成 教育程度"),
     (("现金分红", "现金红利", "每10股", "每 10 股"), "利润分配预案 现金分红"),
 )
+#: Section names that go with a fact, and what later rounds add to a question (fixed values).
 FIELD_ANCHORS = {
     "revenue": "营业收入 主要会计数据和财务指标 合并利润表",
     "net_profit": "归属于上市公司股东的净利润 主要会计数据和财务指标 合并利润表",
@@ -39,14 +40,15 @@ ANNUAL_WORDS, MISMATCH_WORDS, STATEMENT_WORDS = "年度 全年 报告期 年度
 
 
 def scope(chunks: DataFrame) -> DataFrame:
-    """One row: the sorted companies and years of the corpus. An empty corpus has empty lists."""
-    return chunks.agg(F.array_sort(F.collect_set("company")).alias("companies"), F.array_sort(F.collect_set("year")).alias("scope_years"))
+    """One row: the sorted companies and years of the corpus; an empty corpus is an error."""
+    known = lambda c: F.when(F.count("*") > 0, F.array_sort(F.collect_set(c))).otherwise(F.raise_error(F.lit("the corpus is empty")))
+    return chunks.agg(known("company").alias("companies"), known("year").alias("scope_years"))
 
 
 def route(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """queries with companies (in scope order), years, task_type, requires_calculation, should_refuse, refusal_reason, requested_company, message.
 
-    corpus is the one row of scope().
+    corpus is the one row of scope(): names and years, which a corpus has few of next to its passages.
     """
     plain = squeeze(F.col("query"))
     rows = queries.crossJoin(F.broadcast(corpus.select(F.col("companies").alias("__known"), F.col("scope_years").alias("__covered"))))
@@ -71,18 +73,22 @@ def route(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def allowed(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, document_id) that a question's companies (as written) and years (digits around allowed) leave; all documents if none are left or named.
+    """(query_id, document_id) that a question's companies (as written) and years (digits around allowed) leave.
 
-    documents: one row (document_id, company, year) each.
+    A question that names neither, or to which no document is left, has one row with a null document_id: all are allowed.
+    documents: one row (document_id, company, year) each. Companies are few next to documents; Spark's size check
+    decides how the names are looked for, and documents are joined by company and by year.
     """
     years = F.transform(F.regexp_extract_all("query", F.lit(r"((?:19|20)\d{2})"), F.lit(1)), lambda y: y.cast("int"))
-    asked = queries.select("query_id", "query", years.alias("__years"))
-    pairs = asked.join(F.broadcast(documents.select("company").distinct()), F.col("query").contains(F.col("company")) & (F.col("company") != ""), "left")  # one row a company
-    named = pairs.groupBy("query_id", "__years").agg(F.collect_set("company").alias("__companies"))
-    fits = ((F.size("__companies") == 0) | F.array_contains("__companies", F.col("company"))) & ((F.size("__years") == 0) | F.array_contains("__years", F.col("year").cast("int")))
-    kept = named.join(documents, fits).select("query_id", "document_id")
-    unlimited = named.join(kept, "query_id", "left_anti").select("query_id").crossJoin(documents.select("document_id"))
-    return kept.union(unlimited)
+    asked = queries.select("query_id", "query", F.array_distinct(years).alias("__years"))
+    named = asked.join(documents.select("company").where("company <> ''").distinct(), F.col("query").contains(F.col("company"))).select("query_id", "__years", "company")
+    dated = F.size("__years") > 0
+    in_year = F.array_contains("__years", F.col("year").cast("int"))
+    by_company = named.join(documents, "company").where(~dated | in_year).select("query_id", "document_id")
+    unnamed = asked.where(dated).join(named.select("query_id"), "query_id", "left_anti").select("query_id", F.explode("__years").alias("__year"))
+    by_year = unnamed.join(documents.withColumn("__year", F.col("year").cast("int")), "__year").select("query_id", "document_id")
+    kept = by_company.union(by_year).distinct()
+    return kept.union(queries.join(kept, "query_id", "left_anti").select("query_id", F.lit(None).cast(documents.schema["document_id"].dataType)))
 
 
 def expand(query: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evispark.functions.text import strip
+from evispark.functions.text import let, strip
 
 CHUNK_ID = r"^(.+):(\d+)$"
 
@@ -48,7 +48,7 @@ def triples(negatives: DataFrame, gold: DataFrame) -> DataFrame:
     positives = gold.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("positives"))
     rows = negatives.join(positives, "query_id")
     positive = F.element_at("positives", ((F.col("n") - 1) % F.size("positives") + 1).cast("int"))
-    return rows.select(F.concat("query_id", F.lit("-hn-"), F.lpad(F.col("n").cast("string"), 2, "0")).alias("triple_id"), "query_id", positive.alias("positive"), F.col("chunk_id").alias("negative"))
+    return rows.select(F.concat("query_id", F.lit("-hn-"), F.when(F.col("n") < 10, F.concat(F.lit("0"), F.col("n").cast("string"))).otherwise(F.col("n").cast("string"))).alias("triple_id"), "query_id", positive.alias("positive"), F.col("chunk_id").alias("negative"))
 
 
 def repeated_texts(rows: DataFrame, key: str) -> DataFrame:
@@ -57,16 +57,62 @@ def repeated_texts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.md5(plain).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
 
 
+_BREAKS = r"[ \t\n\x0b\f\r]+"
+#: Words of a passage's inside that texts are looked up by.
+INSIDE = 5
+
+
 def leaks(rows: DataFrame, passages: DataFrame) -> DataFrame:
-    """(item_id, documents): for each passage, how many texts hold it. Whole-passage containment is a join without a key: passages are a fixed list, left to Spark's size check."""
-    found = passages.join(rows, F.col("text").contains(F.col("passage")) & (F.col("passage") != ""), "left")
-    return found.groupBy("item_id").agg(F.count("text").alias("documents"))
+    """(item_id, documents): for each passage, how many texts hold it.
+
+    A text that holds a passage holds its words but the first and last whole, one after the other. So texts and passages
+    meet by the hash of the passage's first INSIDE inner words, or of its first inner word where there are fewer, and only what meets is
+    compared. Passages of one or two words are compared with all texts: a join without a key, of those alone.
+    """
+    inner = F.slice(F.split("passage", _BREAKS), 2, F.greatest(F.size(F.split("passage", _BREAKS)) - 2, F.lit(0)))
+    known = passages.where("passage <> ''").withColumn("__inner", inner).withColumn("__width", F.when(F.size("__inner") >= INSIDE, INSIDE).when(F.size("__inner") > 0, 1).otherwise(0))
+    keyed = known.where("__width > 0").select("item_id", "passage", F.xxhash64("__width", F.slice("__inner", 1, F.col("__width"))).alias("__key"))
+    windows = lambda words, w: F.when(F.size(words) >= w, F.transform(F.sequence(F.lit(1), F.size(words) - w + 1), lambda i: F.xxhash64(F.lit(w), F.slice(words, i, w)))).otherwise(F.array().cast("array<long>"))
+    keys = let(F.split("text", _BREAKS), lambda words: F.array_distinct(F.concat(*(windows(words, w) for w in (INSIDE, 1)))))
+    texts = rows.select("text", F.xxhash64(F.monotonically_increasing_id()).alias("__row"))
+    met = texts.select("text", "__row", F.explode(keys).alias("__key")).join(keyed, "__key").where(F.col("text").contains(F.col("passage"))).select("item_id", "__row").distinct()
+    short = texts.join(known.where("__width = 0").select("item_id", "passage"), F.col("text").contains(F.col("passage"))).select("item_id", "__row")
+    return passages.select("item_id").join(met.union(short), "item_id", "left").groupBy("item_id").agg(F.count("__row").alias("documents"))
+
+
+def positions(rows: DataFrame, key: str) -> DataFrame:
+    """rows with n, their 1-based place in the order of a whole-number key without repeats.
+
+    Keys are counted by blocks of 4,096 and of 16 million: a row's place is the blocks' before its own, and its place in it. No task
+    orders more than 4,096 rows or as many blocks.
+    """
+    block, chapter = F.floor(F.col(key) / 4096).cast("long"), F.floor(F.col(key) / (4096 * 4096)).cast("long")
+    counts = rows.groupBy(block.alias("__block"), chapter.alias("__chapter")).agg(F.count("*").alias("__n"))
+    before = lambda window: F.coalesce(F.sum("__n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chapters = counts.groupBy("__chapter").agg(F.sum("__n").alias("__n")).select("__chapter", before(W.partitionBy(F.lit(0)).orderBy("__chapter")).alias("__start"))
+    starts = counts.withColumn("__in", before(W.partitionBy("__chapter").orderBy("__block"))).join(chapters, "__chapter").select("__block", (F.col("__start") + F.col("__in")).alias("__before"))
+    placed = rows.withColumn("__block", block).join(starts, "__block").withColumn("n", F.col("__before") + F.row_number().over(W.partitionBy("__block").orderBy(key)))
+    return placed.select(*rows.columns, "n")
 
 
 def manifest(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, rows, sha256): the digest of a group's sorted row digests, so that any change shows."""
+    """(group, rows, sha256): a digest of a group's rows, so that any change shows: of its buckets' digests, each of the bucket's sorted row digests.
+
+    A row's bucket is the first four digits of its digest: 65,536 buckets a group, so no row of the result gathers a group's rows.
+    """
     digests = rows.select(group, F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (order, "text"))), 256).alias("d"))
-    return digests.groupBy(group).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("sha256"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    buckets = digests.groupBy(group, F.substring("d", 1, 4).alias("b")).agg(F.count("*").alias("n"), joined("d").alias("d"))
+    of = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256)
+    return buckets.groupBy(group).agg(F.sum("n").alias("rows"), of.alias("sha256"))
+
+
+def exact_quota(negatives: DataFrame, queries: DataFrame, quota: int = 24) -> DataFrame:
+    """The negatives; a question with fewer than `quota` is an error."""
+    counts = queries.select("query_id").join(negatives.groupBy("query_id").agg(F.count("*").alias("__n")), "query_id", "left")
+    short = F.coalesce("__n", F.lit(0)) < quota
+    told = F.raise_error(F.concat(F.lit("too few negatives for "), F.col("query_id").cast("string"))).cast("boolean")
+    return negatives.join(counts.where(F.when(short, told).otherwise(F.lit(True))).select("query_id"), "query_id")
 
 
 def changed(known: DataFrame, now: DataFrame, key: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import facts, text
-from evispark.operators import answering, chunking, ledger, metrics, retrieval, routing, training
+from evispark.operators import answering, chunking, context, datasets, ledger, loop, metrics, retrieval, routing, training
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-W = text.word_tokens
+W = text.tokenize
 TOP = 10
 
 
@@ -30,15 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores where their files are fewer: what follows costs more than moving them once."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"))
 
 
 def asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z]+(?:[-_.][A-Za-z0-9]+)*|\d+(?:\.\d+)?')"
+#: Tokens of a text: Chinese runs give their characters, bigrams and, if short, themselves.
+_TOKENS = r"""flatten(list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z]+(?:[-_.][A-Za-z0-9]+)*|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[一-鿿]+'),
+ lambda t: CASE WHEN regexp_matches(t, '^[一-鿿]') THEN list_concat(list_transform(range(1, len(t) + 1), lambda i: substr(t, i, 1)), list_transform(range(1, len(t)), lambda i: substr(t, i, 2)),
+ CASE WHEN len(t) <= 8 THEN [t] ELSE []::VARCHAR[] END) ELSE [lower(t)] END))"""
 _POSTINGS = f"""tok AS (SELECT doc_id AS chunk_id, lang, {_TOKENS.format("text")} AS t FROM documents),
 size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 post AS (SELECT chunk_id, lang, term, dl, count(*) AS tf FROM (SELECT chunk_id, lang, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY chunk_id, lang, term, dl),
@@ -71,9 +80,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS} " + _top("bm", "lang = 'en'"))
 def bm25_filtered_topk(spark, sf_dir):
-    found = chunks(spark, sf_dir)
-    pairs = found.where("lang = 'en'").select("chunk_id").crossJoin(F.broadcast(asked(spark, sf_dir).select("query_id")))  # the fixed list of questions
-    return retrieval.bm25(found, asked(spark, sf_dir), TOP, W, allowed=pairs).select("query_id", "chunk_id", "score", "rank")
+    return retrieval.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), TOP, W, where=F.col("lang").eqNullSafe("en")).select("query_id", "chunk_id", "score", "rank")
 
 
 _TEXTS = ("营业收入", "RAG 2025 16.12", "研", "甲公司2024年研发投入", "归属于上市公司股东的净利润")
@@ -88,17 +95,16 @@ def cjk_tokenize(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label", (F.col("label") % 2).alias("group"))
 
 
 def _vector_queries(spark, sf_dir):
     rows = _vectors(spark, sf_dir).where("chunk_id % 50 = 0")
-    return rows.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
+    return rows.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"), "group")
 
 
 def _dense(spark, sf_dir, same_parity=False, k=TOP):
-    keep = F.col("chunk_id") != F.col("query_id")
-    return retrieval.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k, keep & (F.col("label") % 2 == F.col("query_label") % 2) if same_parity else keep)
+    return retrieval.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k, not_self=True, group=same_parity)
 
 
 _DENSE = """dn AS (
@@ -200,105 +206,207 @@ def chunk_stats(spark, sf_dir):
 
 
 CHUNK_SCHEMA = "chunk_id string, document_id string, company string, year int, section string, page int, text string"
-#: A small corpus of made-up reports.
-SAMPLE = (
-    ("a-2023:0000", "a-2023", "甲公司", 2023, "主要会计数据", 9, "主要会计数据和财务指标 单位：千元 营业收入 335,149,051 基本每股收益（元/股） 1.20"),
-    ("a-2024:0000", "a-2024", "甲公司", 2024, "主要会计数据", 10, "主要会计数据和财务指标 单位：千元 营业收入 362,012,554 基本每股收益（元/股） 1.35"),
-    ("a-2024:0001", "a-2024", "甲公司", 2024, "分季度", 7, "分季度主要财务指标 第一季度 营业收入 80,000,000"),
-    ("a-2024:0002", "a-2024", "甲公司", 2024, "利润分配", 2, "董事会审议的报告期利润分配预案 每10股派发现金红利39.74元（含税）"),
-    ("b-2024:0000", "b-2024", "乙公司", 2024, "员工", 30, "公司员工情况 技术人员 1,234 境外 营业收入 5,000"),
-)
-QUESTIONS = (
-    ("q1", "甲公司2024年营业收入是多少？"),
-    ("q2", "甲公司2023年和2024年营业收入变化是多少？"),
-    ("q3", "甲公司2019年营业收入是多少？"),
-    ("q4", "丙公司2024年营业收入是多少？"),
-    ("q5", "甲公司2024年每10股分红多少？"),
-    ("q6", "乙公司2024年海外营业收入是多少？"),
-    ("q7", "乙公司2024年技术人员有多少？"),
-    ("q8", "甲公司2024年的审计机构是谁？"),
-    ("q9", "甲公司和乙公司2024年营业收入"),
-)
-
-
-def _sample(spark):
-    return spark.createDataFrame(SAMPLE, CHUNK_SCHEMA), spark.createDataFrame(QUESTIONS, "query_id string, query string")
-
-
-def _routed(spark):
-    found, questions = _sample(spark)
-    return routing.route(questions, routing.scope(found))
-
-
-def _answered(spark):
-    found, _ = _sample(spark)
-    hits = found.crossJoin(F.broadcast(_sample(spark)[1].select("query_id"))).withColumns({"score": F.lit(1.0), "rank": F.col("page"), "source": F.lit("reranker")})  # the sample's lists
-    routed = _routed(spark)
+#: Reports made of the orders of each nation's customers by year: a passage with the year's figures and one with a quarter's.
+_CORPUS = """corp AS (
+  SELECT c_nationkey AS k, n_regionkey AS r, '第' || c_nationkey || '公司' AS company, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(floor(sum(CAST(o_totalprice AS DECIMAL(28, 2)))) AS BIGINT) AS v, count(*) AS staff
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+known AS (SELECT list(DISTINCT company ORDER BY company) AS companies, list(DISTINCT y ORDER BY y) AS years FROM corp),
+pair AS (SELECT a.k, a.r, a.company, a.y, a.v, b.v AS w FROM corp a JOIN corp b ON a.k = b.k AND b.y = a.y + 1),
+asked AS (
+  SELECT 'a' || k || '-' || y AS query_id, company || y || '年营业收入是多少？' AS query, company, y, 'revenue' AS fact, format('{:,}', v) || '千元' AS answer, NULL AS reason, 'single_fact' AS kind, [y] AS years FROM corp
+  UNION ALL SELECT 'b' || k || '-' || y, company || y || '年和' || (y + 1) || '年营业收入变化是多少？', company, y, 'revenue',
+    y || '年' || format('{:,}', v) || '千元；' || (y + 1) || '年' || format('{:,}', w) || '千元；' || (y + 1) || '年-' || y || '年：' || format('{:,}', w) || '千元-' || format('{:,}', v) || '千元=' || format('{:,}', w - v) || '千元，变化率='
+    || replace(format('{:,.2f}', round_even((w - v) / CAST(abs(v) AS DOUBLE) * 100, 2)), '-0.', '0.') || '%', NULL, 'cross_year', [y, y + 1] FROM pair
+  UNION ALL SELECT DISTINCT 'c' || k, company || '1987年营业收入是多少？', company, 0, 'revenue', '当前年报语料只覆盖 ' || list_aggregate(known.years, 'string_agg', '、') || ' 年，未覆盖 1987 年，因此无法基于现有资料可靠回答。', 'period_not_covered', 'out_of_scope', [1987] FROM corp, known
+  UNION ALL SELECT DISTINCT 'd' || y, '请问远方集团' || y || '年营业收入是多少？', NULL, y, 'revenue', '当前年报语料只覆盖 ' || list_aggregate(known.companies, 'string_agg', '、') || '，未收录 远方集团，因此无法基于现有资料可靠回答。', 'company_not_covered', 'out_of_scope', [y] FROM corp, known
+  UNION ALL SELECT 'e' || k || '-' || y, company || y || '年海外营业收入是多少？', company, y, 'revenue', '没有找到同时满足公司、年份、字段和页码要求的完整证据，因此拒绝作答。', 'insufficient_evidence', 'single_fact', [y] FROM corp
+  UNION ALL SELECT 'f' || k || '-' || y, company || y || '年的审计机构是谁？', company, y, NULL, '当前受控回答器尚不支持该问题所需的财务字段。', 'unsupported_fact', 'single_fact', [y] FROM corp
+  UNION ALL SELECT 't' || k || '-' || y, company || y || '年技术人员有多少？', company, y, 'technical_employees', format('{:,}', staff) || '人', NULL, 'single_fact', [y] FROM corp)"""
+
+
+def _figures(spark, sf_dir):
+    orders, customers, nations = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    sums = rows.groupBy(F.col("c_nationkey").alias("k"), F.col("n_regionkey").alias("r"), F.year("o_orderdate").alias("y")).agg(F.floor(F.sum(F.col("o_totalprice").cast("decimal(28,2)"))).cast("long").alias("v"), F.count("*").alias("staff"))
+    return sums.withColumn("company", F.concat(F.lit("第"), F.col("k").cast("string"), F.lit("公司")))
+
+
+def _plain(c):
+    return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
+
+
+def _reports(spark, sf_dir):
+    rows = _figures(spark, sf_dir).withColumn("document_id", F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string")))
+    annual = F.concat(F.lit("主要会计数据和财务指标 单位：千元 营业收入 "), _plain("v"), F.lit(" 公司员工情况 技术人员 "), _plain("staff"))
+    quarter = F.concat(F.lit("分季度主要财务指标 第一季度 营业收入 "), _plain(F.floor(F.col("v") / 4)))
+    passages = F.array(F.struct(F.lit(":0000").alias("n"), F.lit("主要会计数据").alias("section"), (F.col("k") + 10).alias("page"), annual.alias("text")), F.struct(F.lit(":0001").alias("n"), F.lit("分季度").alias("section"), (F.col("k") * 0 + 5).alias("page"), quarter.alias("text")))
+    rows = rows.withColumn("p", F.explode(passages))
+    return rows.select(F.concat("document_id", "p.n").alias("chunk_id"), "document_id", "company", F.col("y").cast("int").alias("year"), "p.section", F.col("p.page").cast("int").alias("page"), "p.text", "r", "k")
+
+
+def _asked_of_reports(spark, sf_dir):
+    """(query_id, query, k, r, y), questions of seven kinds on every report; those of unknown companies have no k."""
+    rows, text = _figures(spark, sf_dir), lambda *parts: F.concat(*(F.lit(p) if p[:1] not in "~" else F.col(p[1:]).cast("string") for p in parts))
+    kind = lambda df, letter, *parts: df.select(text(letter, "~k", "-", "~y").alias("query_id"), text(*parts).alias("query"), "k", "r", "y")
+    pairs = rows.join(rows.select("k", (F.col("y") - 1).alias("y"), F.col("y").alias("z")), ["k", "y"])
+    old = rows.select("k", "r", "company", F.lit(0).alias("y")).distinct().select(text("c", "~k").alias("query_id"), text("~company", "1987年营业收入是多少？").alias("query"), "k", "r", "y")
+    strange = rows.select("y").distinct().select(text("d", "~y").alias("query_id"), text("请问远方集团", "~y", "年营业收入是多少？").alias("query"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("r"), "y")
+    parts = [kind(rows, "a", "~company", "~y", "年营业收入是多少？"), kind(pairs, "b", "~company", "~y", "年和", "~z", "年营业收入变化是多少？"), old, strange, kind(rows, "e", "~company", "~y", "年海外营业收入是多少？"), kind(rows, "f", "~company", "~y", "年的审计机构是谁？"), kind(rows, "t", "~company", "~y", "年技术人员有多少？")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _routed(spark, sf_dir):
+    return routing.route(_asked_of_reports(spark, sf_dir).select("query_id", "query"), routing.scope(_reports(spark, sf_dir)))
+
+
+def _answered(spark, sf_dir):
+    """Each question with all passages of its region as evidence, in the order of their ids."""
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("chunk_id"))
+    hits = _asked_of_reports(spark, sf_dir).select("query_id", "r").join(_reports(spark, sf_dir).drop("k"), "r").withColumns({"score": F.lit(1.0), "rank": rank, "source": F.lit("reranker")}).drop("r")
+    routed = _routed(spark, sf_dir)
     chosen = answering.evidence(routed, hits)
     return routed, chosen, answering.answers(routed, chosen)
 
 
-@query("SELECT ['乙公司', '甲公司'] AS companies, [2023, 2024] AS scope_years")
+@query(f"WITH {_CORPUS} SELECT companies, years AS scope_years FROM known")
 def scope_summary(spark, sf_dir):
-    return routing.scope(_sample(spark)[0])
+    return routing.scope(_reports(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('q1', ['甲公司'], [2024], 'single_fact', NULL), ('q2', ['甲公司'], [2023, 2024], 'cross_year', NULL), ('q3', ['甲公司'], [2019], 'out_of_scope', 'period_not_covered'),
- ('q4', [], [2024], 'out_of_scope', 'company_not_covered'), ('q5', ['甲公司'], [2024], 'single_fact', NULL), ('q6', ['乙公司'], [2024], 'single_fact', NULL), ('q7', ['乙公司'], [2024], 'single_fact', NULL),
- ('q8', ['甲公司'], [2024], 'single_fact', NULL), ('q9', ['乙公司', '甲公司'], [2024], 'cross_company', NULL)) t(query_id, companies, years, task_type, refusal_reason)""")
+@query(f"WITH {_CORPUS} SELECT query_id, CASE WHEN company IS NULL THEN []::VARCHAR[] ELSE [company] END AS companies, years, kind AS task_type, CASE WHEN kind = 'out_of_scope' THEN reason END AS refusal_reason, CASE WHEN kind = 'out_of_scope' THEN answer END AS message FROM asked")
 def route_queries(spark, sf_dir):
-    return _routed(spark).select("query_id", "companies", "years", "task_type", "refusal_reason")
+    return _routed(spark, sf_dir).select("query_id", "companies", "years", "task_type", "refusal_reason", "message")
 
 
-@query("""SELECT * FROM (VALUES ('q1', '甲公司2024年营业收入是多少？ 主要会计数据 财务指标'), ('q7', '乙公司2024年技术人员有多少？ 公司员工情况 员工数量 专业构成 教育程度'), ('q8', '甲公司2024年的审计机构是谁？')) t(query_id, expanded)""")
+@query(f"""WITH {_CORPUS} SELECT query_id, query || CASE WHEN fact = 'revenue' THEN ' 主要会计数据 财务指标' WHEN fact = 'technical_employees' THEN ' 公司员工情况 员工数量 专业构成 教育程度' ELSE '' END AS expanded FROM asked""")
 def expand_queries(spark, sf_dir):
-    return _sample(spark)[1].where("query_id in ('q1', 'q7', 'q8')").select("query_id", routing.expand(F.col("query")).alias("expanded"))
+    return _asked_of_reports(spark, sf_dir).select("query_id", routing.expand(F.col("query")).alias("expanded"))
 
 
-@query("""SELECT * FROM (VALUES (1, '甲公司2024年营业收入是多少？'), (2, '甲公司2024年营业收入是多少？ 营业收入 主要会计数据和财务指标 合并利润表 年度 全年 报告期 年度报告全文 非分季度'),
- (3, '甲公司2024年营业收入是多少？ 营业收入 主要会计数据和财务指标 合并利润表 年度 全年 报告期 年度报告全文 非分季度 合并财务报表 本期金额 审计报告附表')) t(round_index, rewritten)""")
+@query(f"""WITH {_CORPUS} SELECT query_id, round_index, query || CASE WHEN round_index = 1 THEN '' ELSE CASE fact WHEN 'revenue' THEN ' 营业收入 主要会计数据和财务指标 合并利润表' WHEN 'technical_employees' THEN ' 技术人员 公司员工情况 专业构成' ELSE ' 年度报告' END
+  || ' 年度 全年 报告期 年度报告全文 非分季度' || CASE WHEN starts_with(query_id, 'e') THEN ' 年度主要会计数据 本年数 全年数据' ELSE '' END || CASE WHEN round_index = 3 THEN ' 合并财务报表 本期金额 审计报告附表' ELSE '' END END AS rewritten
+FROM asked, (SELECT unnest([1, 2, 3]) AS round_index)""")
 def rewrite_rounds(spark, sf_dir):
-    rows = _routed(spark).where("query_id = 'q1'").withColumn("round_index", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
-    return rows.select("round_index", routing.rewrite(F.col("query"), F.col("years"), F.col("round_index")).alias("rewritten"))
+    rows = _routed(spark, sf_dir).withColumn("round_index", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    return rows.select("query_id", "round_index", routing.rewrite(F.col("query"), F.col("years"), F.col("round_index"), F.col("query_id").startswith("e")).alias("rewritten"))
 
 
-@query("SELECT * FROM (VALUES ('q1', 'a-2024'), ('q2', 'a-2023'), ('q2', 'a-2024'), ('q4', 'a-2024'), ('q4', 'b-2024'), ('q3', 'a-2023'), ('q3', 'a-2024'), ('q3', 'b-2024')) t(query_id, document_id)")
+@query(f"""WITH {_CORPUS} SELECT DISTINCT a.query_id, CASE WHEN c.k IS NOT NULL THEN 'r' || c.k || '-' || c.y END AS document_id
+FROM asked a LEFT JOIN corp c ON (c.company = a.company OR a.company IS NULL) AND list_contains(a.years, c.y)""")
 def metadata_filter(spark, sf_dir):
-    found, questions = _sample(spark)
-    return routing.allowed(questions.where("query_id in ('q1', 'q2', 'q3', 'q4')"), found.select("document_id", "company", "year").distinct())
+    return routing.allowed(_asked_of_reports(spark, sf_dir), _reports(spark, sf_dir).select("document_id", "company", "year").distinct())
 
 
-@query("""SELECT * FROM (VALUES ('q1', 'revenue'), ('q2', 'revenue'), ('q3', 'revenue'), ('q4', 'revenue'), ('q5', 'dividend_per_10'), ('q6', 'revenue'), ('q7', 'technical_employees'), ('q8', NULL), ('q9', 'revenue')) t(query_id, fact)""")
+@query(f"WITH {_CORPUS} SELECT query_id, fact FROM asked")
 def fact_spec_match(spark, sf_dir):
-    return _sample(spark)[1].select("query_id", facts.fact_of(F.col("query")).alias("fact"))
+    return _asked_of_reports(spark, sf_dir).select("query_id", facts.fact_of(F.col("query")).alias("fact"))
 
 
-@query("""SELECT * FROM (VALUES ('a-2023:0000', '335,149,051千元', '千元'), ('a-2024:0000', '362,012,554千元', '千元'), ('a-2024:0001', '80,000,000元', '元'), ('b-2024:0000', '5,000元', '元')) t(chunk_id, value_text, unit)""")
+@query(f"""WITH {_CORPUS} SELECT 'r' || k || '-' || y || ':0000' AS chunk_id, format('{{:,}}', v) || '千元' AS value_text, '千元' AS unit, CAST(v AS DOUBLE) AS number FROM corp
+UNION ALL SELECT 'r' || k || '-' || y || ':0001', format('{{:,}}', v // 4) || '元', '元', CAST(v // 4 AS DOUBLE) FROM corp""")
 def extract_values(spark, sf_dir):
-    value = facts.extract(F.col("text"), F.lit("revenue"))
-    return _sample(spark)[0].withColumn("v", value).where("v is not null").select("chunk_id", "v.value_text", "v.unit")
+    rows = _reports(spark, sf_dir).withColumn("v", facts.extract(F.col("text"), F.lit("revenue"))).where("v is not null")
+    return rows.select("chunk_id", "v.value_text", "v.unit", F.col("v.numeric_value").cast("double").alias("number"))
 
 
-@query("""SELECT * FROM (VALUES ('q1', 'answered', '362,012,554千元', NULL),
- ('q2', 'answered', '2023年335,149,051千元；2024年362,012,554千元；2024年-2023年：362,012,554千元-335,149,051千元=26,863,503千元，变化率=8.02%', NULL),
- ('q3', 'refused', NULL, 'period_not_covered'), ('q4', 'refused', NULL, 'company_not_covered'), ('q5', 'answered', '39.74元（含税）', NULL), ('q6', 'refused', NULL, 'insufficient_evidence'),
- ('q7', 'answered', '1,234人', NULL), ('q8', 'refused', NULL, 'unsupported_fact'), ('q9', 'answered', '362,012,554千元', NULL)) t(query_id, status, answer, reason)""")
+@query(f"WITH {_CORPUS} SELECT query_id, CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS status, answer, reason FROM asked")
 def answer_questions(spark, sf_dir):
-    return _answered(spark)[2].select("query_id", "status", "answer", "reason")
+    return _answered(spark, sf_dir)[2].select("query_id", "status", "answer", "reason")
 
 
-@query("""SELECT * FROM (VALUES ('q1', 'sufficient', 'answer_supported_by_complete_evidence'), ('q2', 'sufficient', 'answer_supported_by_complete_evidence'), ('q3', 'terminal_refusal', 'period_not_covered'),
- ('q4', 'terminal_refusal', 'company_not_covered'), ('q5', 'sufficient', 'answer_supported_by_complete_evidence'), ('q6', 'terminal_refusal', 'constraint_not_disclosed_after_confirmation'),
- ('q7', 'sufficient', 'answer_supported_by_complete_evidence'), ('q8', 'terminal_refusal', 'unsupported_fact'), ('q9', 'insufficient', 'missing_company_coverage')) t(query_id, assessment, reasons)""")
+@query(f"""WITH {_CORPUS} SELECT query_id, CASE WHEN reason IS NULL THEN 'sufficient' ELSE 'terminal_refusal' END AS assessment,
+  CASE WHEN reason IS NULL THEN 'answer_supported_by_complete_evidence' WHEN reason = 'insufficient_evidence' THEN 'constraint_not_disclosed_after_confirmation' ELSE reason END AS reasons,
+  CASE WHEN reason = 'insufficient_evidence' THEN 0.9::DOUBLE ELSE 1.0 END AS confidence,
+  CASE WHEN reason IS NOT NULL THEN '' ELSE list_aggregate(list_transform(years, lambda x: 'r' || replace(replace(company, '第', ''), '公司', '') || '-' || x || ':0000'), 'string_agg', ',') END AS selected FROM asked""")
 def verify_evidence(spark, sf_dir):
-    _, chosen, answered = _answered(spark)
-    return answering.verify(answered, chosen, F.lit(2)).select("query_id", "assessment", F.array_join("reasons", ",").alias("reasons"))
+    _, chosen, answered = _answered(spark, sf_dir)
+    judged = answering.verify(answered, chosen, F.lit(2))
+    return judged.select("query_id", "assessment", F.array_join("reasons", ",").alias("reasons"), F.col("confidence").cast("double").alias("confidence"), F.array_join("selected_chunk_ids", ",").alias("selected"))
+
+
+def _loop(spark, sf_dir):
+    """The questions for a year's revenue, abroad or not, under the three policies. Nations of an even number find only the quarter's passage at first."""
+    asked_ = _asked_of_reports(spark, sf_dir).where("query_id like 'a%' or query_id like 'e%'")
+    reports = _reports(spark, sf_dir)
+    own = asked_.join(reports.withColumnRenamed("year", "y").drop("r"), ["k", "y"]).withColumnRenamed("y", "year")
+    first = F.when((F.col("k") % 2 == 0) == F.col("chunk_id").endswith(":0001"), 1).otherwise(2)
+    rounds = own.select("query_id", "chunk_id", "document_id", "company", F.col("year").cast("int").alias("year"), "section", "page", "text", F.lit(1.0).alias("score"), F.lit("reranker").alias("source"), F.lit(1).alias("rank"), first.alias("round_index"))
+    policies = ((answering.STATIC, 1), (answering.ALWAYS, 3), (answering.ADAPTIVE, 3))
+    found, steps, evidence = loop.run_rounds(asked_.select("query_id", "query"), routing.scope(reports), rounds, policies)
+    label = asked_.join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"])
+    answerable = F.col("query_id").startswith("a")
+    gold = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"), F.lit(":0000"))
+    labels = label.select(
+        "query_id", F.when(answerable, "answerable_dev").otherwise("hard_no_answer_dev").alias("group"), F.when(answerable, F.concat(_plain("v"), F.lit("千元"))).alias("expected"),
+        F.when(answerable, F.array(gold)).otherwise(F.array().cast("array<string>")).alias("gold"), F.when(answerable, F.array((F.col("k") + 10).cast("int"))).otherwise(F.array().cast("array<int>")).alias("pages"),
+    )
+    return found, steps, loop.details(found, evidence, labels)
+
+
+_LOOP = f"""{_CORPUS}, policies(policy, most) AS (VALUES ('static_rag', 1), ('always_agentic', 3), ('adaptive_budget_aware', 3)),
+runs AS (
+  SELECT policy, 'a' || k || '-' || y AS query_id, k, v, CASE WHEN policy = 'adaptive_budget_aware' THEN CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END ELSE most END AS rounds,
+         CASE WHEN k % 2 = 0 AND policy = 'static_rag' THEN format('{{:,}}', v // 4) || '元' ELSE format('{{:,}}', v) || '千元' END AS answer FROM corp, policies
+  UNION ALL SELECT policy, 'e' || k || '-' || y, k, v, least(most, 2), '没有找到同时满足公司、年份、字段和页码要求的完整证据，因此拒绝作答。' FROM corp, policies)"""
+
+
+@query(f"WITH {_LOOP} SELECT policy, query_id, rounds, answer FROM runs")
+def policy_rounds(spark, sf_dir):
+    found, _, _ = _loop(spark, sf_dir)
+    return found.select("policy", "query_id", F.col("round_index").alias("rounds"), "answer")
+
+
+@query(f"""WITH {_LOOP}, s AS (SELECT *, unnest(range(1, rounds + 1)) AS round_index FROM runs)
+SELECT policy, query_id, CAST(round_index AS INTEGER) AS round_index, CASE WHEN round_index < rounds THEN 'retrieve_more' ELSE 'stop' END AS action,
+  CASE WHEN starts_with(query_id, 'e') AND round_index = 2 THEN 'terminal_refusal' WHEN round_index = CASE policy WHEN 'static_rag' THEN 1 ELSE 3 END THEN 'round_budget_exhausted'
+       WHEN policy = 'always_agentic' THEN 'always_agentic_forced_escalation' WHEN round_index < rounds THEN 'evidence_insufficient' ELSE 'adaptive_evidence_sufficient' END AS action_reason FROM s""")
+def trajectory_steps(spark, sf_dir):
+    return _loop(spark, sf_dir)[1].select("policy", "query_id", "round_index", "action", "action_reason")
+
+
+@query(f"""WITH {_LOOP} SELECT policy, rounds, CAST(rounds * 10 AS BIGINT) AS passages_reranked, CAST(rounds AS BIGINT) AS reranker_calls, rounds * 4.0::DOUBLE AS wall_ms, count(*) AS tasks FROM runs GROUP BY ALL""")
+def trajectory_usage(spark, sf_dir):
+    cost = {c: F.lit(1) for c in loop.COUNTERS} | {"passages_reranked": F.lit(10), "cost_usd": F.lit(0.0)} | {c: F.lit(1.0) for c in loop.TIMES}
+    usage = loop.summarize_usage(_loop(spark, sf_dir)[1].withColumns(cost))
+    return usage.groupBy("policy", F.col("rounds").cast("int").alias("rounds"), F.col("passages_reranked").cast("long").alias("passages_reranked"), F.col("reranker_calls").cast("long").alias("reranker_calls"), "wall_ms").agg(F.count("*").alias("tasks"))
+
+
+@query(f"""WITH {_LOOP}, d AS (SELECT policy, starts_with(query_id, 'a') AS open, (k % 2 = 1 OR policy <> 'static_rag') AS good FROM runs),
+g AS (SELECT policy, count(*) FILTER (WHERE open) AS n, count(*) FILTER (WHERE open AND good) AS ok, count(*) FILTER (WHERE NOT open) AS m FROM d GROUP BY policy)
+SELECT policy, n AS answerable_questions, ok / n::DOUBLE AS exact_answer_accuracy, ok / n::DOUBLE AS all_gold_evidence_recall, ok / n::DOUBLE AS citation_chunk_precision, ok / n::DOUBLE AS citation_page_set_accuracy, m AS hard_no_answer_questions, 1.0::DOUBLE AS hard_no_answer_refusal_accuracy FROM g""")
+def quality_metrics(spark, sf_dir):
+    return metrics.quality(_loop(spark, sf_dir)[2])
+
+
+@query(f"""WITH {_CORPUS}, s AS (SELECT query_id, kind = 'out_of_scope' AS refused FROM asked)
+SELECT count(*) FILTER (WHERE NOT refused) AS dev, count(*) FILTER (WHERE refused) AS no_answer, 1.0::DOUBLE AS dev_accept_rate, 1.0::DOUBLE AS no_answer_refusal_accuracy,
+  count(*) FILTER (WHERE starts_with(query_id, 'c')) / count(*) FILTER (WHERE refused)::DOUBLE AS no_answer_reason_accuracy, 1.0::DOUBLE AS overall_decision_accuracy, []::VARCHAR[] AS false_refusals, []::VARCHAR[] AS missed_refusals FROM s""")
+def scope_guard(spark, sf_dir):
+    strange = F.col("query_id").rlike("^[cd]")
+    return metrics.scope_guard(_routed(spark, sf_dir).withColumns({"split": F.when(strange, "no_answer").otherwise("dev"), "expected_reason": F.when(strange, "period_not_covered")}))
+
 
+@query(f"WITH {_CORPUS} SELECT kind AS task_type, count(*) AS questions FROM asked GROUP BY kind")
+def route_histogram(spark, sf_dir):
+    return metrics.route_counts(_routed(spark, sf_dir))
 
-@query("""SELECT policy, assessment, round_index, CASE WHEN assessment = 'terminal_refusal' OR round_index >= max_rounds OR policy = 'static' OR (policy = 'adaptive' AND assessment <> 'insufficient') THEN 'stop' ELSE 'retrieve_more' END AS action
-FROM (VALUES ('static', 1), ('always_agentic', 3), ('adaptive', 3)) p(policy, max_rounds), (VALUES ('sufficient'), ('insufficient'), ('terminal_refusal')) a(assessment), (VALUES (1), (2), (3)) r(round_index)""")
+
+@query(f"""WITH {_CORPUS} SELECT query_id, CASE WHEN reason IS NULL AND starts_with(query_id, 't') THEN '主要会计数据和财务指标' || chr(10) || '单位：千元' || chr(10) ELSE '' END AS span_start, 'r' || c.k || '-' || c.y || ':0000' AS kept
+FROM asked a JOIN corp c ON c.company = a.company AND c.y = a.y WHERE starts_with(query_id, 't')""")
+def evidence_spans(spark, sf_dir):
+    asked_ = _asked_of_reports(spark, sf_dir).where("query_id like 't%'")
+    hits = asked_.join(_reports(spark, sf_dir).where("chunk_id like '%:0000'").withColumnRenamed("year", "y").drop("r"), ["k", "y"]).withColumnRenamed("y", "year").withColumn("rank", F.lit(1))
+    packed = context.build(hits.drop("query"), asked_, spans=True)
+    return packed.select("query_id", F.substring(F.col("bodies")[0], 1, 18).alias("span_start"), F.col("kept")[0].alias("kept"))
+
+
+@query("""SELECT policy, assessment, round_index, CASE WHEN assessment = 'terminal_refusal' OR round_index >= max_rounds OR policy = 'static_rag' OR (policy = 'adaptive_budget_aware' AND assessment <> 'insufficient') THEN 'stop' ELSE 'retrieve_more' END AS action
+FROM (VALUES ('static_rag', 1), ('always_agentic', 3), ('adaptive_budget_aware', 3)) p(policy, max_rounds), (VALUES ('sufficient'), ('insufficient'), ('terminal_refusal')) a(assessment), (VALUES (1), (2), (3)) r(round_index)""")
 def policy_decisions(spark, sf_dir):
-    rows = spark.createDataFrame([(p, m, a, r) for p, m in (("static", 1), ("always_agentic", 3), ("adaptive", 3)) for a in ("sufficient", "insufficient", "terminal_refusal") for r in (1, 2, 3)], "policy string, max_rounds int, assessment string, round_index int")
+    rows = spark.createDataFrame([(p, m, a, r) for p, m in (("static_rag", 1), ("always_agentic", 3), ("adaptive_budget_aware", 3)) for a in ("sufficient", "insufficient", "terminal_refusal") for r in (1, 2, 3)], "policy string, max_rounds int, assessment string, round_index int")
     return rows.select("policy", "assessment", "round_index", answering.decide(F.col("assessment"), F.col("policy"), F.col("round_index"), F.col("max_rounds"))["action"].alias("action"))
 
 
@@ -306,13 +414,10 @@ def policy_decisions(spark, sf_dir):
 p AS (SELECT year, revenue, lag(revenue) OVER (ORDER BY year) AS old FROM y)
 SELECT year, CAST(revenue - old AS DOUBLE) AS difference, round(CAST(revenue - old AS DOUBLE) / CAST(abs(old) AS DOUBLE) * 100, 6) AS percent FROM p WHERE old IS NOT NULL""")
 def yoy_change(spark, sf_dir):
-    from pyspark.sql import Window
-
     sums = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(28,2)")).cast("decimal(28,2)").alias("revenue"))
     rows = sums.withColumn("old", F.lag("revenue").over(Window.orderBy("year"))).where("old is not null")  # one row a year
-    difference, _ = answering.change(F.col("old"), F.col("revenue"))
-    _, percent = answering.change(F.col("old").cast("double"), F.col("revenue").cast("double"))
-    return rows.select(F.col("year").cast("long").alias("year"), difference.cast("double").alias("difference"), F.round(F.when(F.col("old") != 0, difference.cast("double") / F.abs(F.col("old")).cast("double") * 100), 6).alias("percent"))
+    difference, percent = answering.change(F.col("old"), F.col("revenue"))
+    return rows.select(F.col("year").cast("long").alias("year"), difference.cast("double").alias("difference"), F.round(percent.cast("double"), 6).alias("percent"))
 
 
 def _trajectory(spark, sf_dir):
@@ -321,17 +426,18 @@ def _trajectory(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT event_type AS policy, user_id, count(*) AS rounds, count(*) * 10 AS passages, sum(coalesce(value, 0)) AS ms, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS correct FROM events GROUP BY ALL)
-SELECT policy, count(*) AS tasks, round(avg(rounds), 9) AS mean_rounds, round(avg(CASE WHEN rounds > 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS escalation_rate, CAST(sum(passages) AS BIGINT) AS passages,
-       round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, round(coalesce(sum(passages) / nullif(sum(correct), 0), 0), 9) AS passages_per_correct FROM t GROUP BY policy""")
+SELECT policy, count(*) AS tasks, CAST(sum(correct) AS BIGINT) AS correct_tasks, round(avg(rounds), 9) AS mean_rounds, round(avg(CASE WHEN rounds > 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS escalation_rate, CAST(sum(passages) AS BIGINT) AS passages,
+       round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, round(coalesce(sum(passages) / nullif(sum(correct), 0), 0), 6) AS passages_per_correct,
+       round(coalesce(sum(ms) / nullif(sum(correct), 0), 0), 6) AS ms_per_correct, 0.0::DOUBLE AS usd_per_correct FROM t GROUP BY policy""")
 def budget_metrics(spark, sf_dir):
     return metrics.budget(_trajectory(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT lang, event_id, CASE WHEN event_id % 4 <> 0 THEN 0 END AS x FROM (SELECT event_type AS lang, event_id FROM events))
-SELECT lang AS event_type, count(*) AS entries, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 7) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cached_tokens, NULL::DOUBLE AS cost, count(x) / count(*)::DOUBLE AS price_coverage FROM l GROUP BY lang""")
+SELECT lang AS event_type, count(*) AS entries, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 7) AS BIGINT) AS output_tokens, CAST(sum(event_id % 100 + event_id % 7) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS cached_tokens, count(*) AS calls, NULL::DOUBLE AS cost, count(x) / count(*)::DOUBLE AS price_coverage FROM l GROUP BY lang""")
 def token_ledger(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 7).alias("output_tokens"), F.lit(0).cast("long").alias("cached_tokens"), F.when(F.col("event_id") % 4 != 0, 0.0).alias("cost"))
-    return ledger.totals(rows, "event_type")
+    return ledger.totals(ledger.checked(rows), "event_type")
 
 
 @query("SELECT * FROM (VALUES (1, 2.5::DOUBLE), (2, NULL), (3, 2.0)) t(id, usd)")
@@ -340,24 +446,36 @@ def cost_usd(spark, sf_dir):
     return rows.select("id", ledger.cost(*(F.col(x) for x in ("i", "o", "c", "ri", "rc", "ro"))).alias("usd"))
 
 
-@query("SELECT * FROM (VALUES ('q1', 'small', 0), ('q2', 'large', 2), ('q3', 'small', 0), ('q4', 'small', 0), ('q5', 'small', 0), ('q6', 'small', 0), ('q7', 'small', 0), ('q8', 'small', 0), ('q9', 'small', 0)) t(query_id, model, score)")
+@query(f"WITH {_CORPUS} SELECT query_id, CASE WHEN starts_with(query_id, 'b') THEN 'large' ELSE 'small' END AS model, CASE WHEN starts_with(query_id, 'b') THEN 'multi_period' ELSE 'single_fact_sufficient_evidence' END AS reason FROM asked")
 def choose_model(spark, sf_dir):
     chosen = ledger.choose_model(F.col("query"), F.lit(1), F.lit(0))
-    return _sample(spark)[1].select("query_id", chosen["model"].alias("model"), chosen["score"].alias("score"))
+    return _asked_of_reports(spark, sf_dir).select("query_id", chosen["model"].alias("model"), chosen["reason"].alias("reason"))
 
 
-@query()
+_PACK = f"""b AS ({_top("bm")}),
+h AS (SELECT b.query_id, b.rank, CAST(b.chunk_id AS VARCHAR) AS chunk_id, len('[chunk_id=' || b.chunk_id || ';company=' || coalesce(d.source, 'None') || ';year=2024;page=None;section=' || coalesce(d.lang, 'None') || ']') + 1 AS head, len(d.text) AS body
+  FROM b JOIN documents d ON d.doc_id = b.chunk_id),
+p AS (
+  SELECT DISTINCT query_id, 0 AS rank, 0 AS used, []::VARCHAR[] AS kept FROM h
+  UNION ALL
+  SELECT query_id, rank, CASE WHEN shown IS NULL THEN used ELSE used + gap + head + shown END, CASE WHEN shown IS NULL THEN kept ELSE list_append(kept, chunk_id) END FROM (
+    SELECT h.query_id, h.rank, used, gap, head, kept, chunk_id, CASE WHEN used >= 4000 THEN NULL WHEN head + body <= 4000 - used - gap THEN body WHEN least(body, 4000 - used - gap - head) > 0 THEN least(body, 4000 - used - gap - head) END AS shown
+    FROM (SELECT *, CASE WHEN len(kept) > 0 THEN 2 ELSE 0 END AS gap FROM p) p JOIN h ON h.query_id = p.query_id AND h.rank = p.rank + 1))"""
+
+
+@query(f"""WITH RECURSIVE {_POSTINGS}, {_PACK}, t AS (SELECT query_id, count(*) AS n, sum(head + body) + 2 * (count(*) - 1) AS before FROM h GROUP BY query_id)
+SELECT p.query_id, CAST(n AS INTEGER) AS chunks_before, CAST(len(kept) AS INTEGER) AS chunks_after, CAST(before AS BIGINT) AS tokens_before, CAST(used AS BIGINT) AS tokens_after, kept, used < before AS truncated, used / before::DOUBLE AS compression
+FROM p JOIN t ON t.query_id = p.query_id WHERE p.rank = t.n""")
 def context_pack(spark, sf_dir):
     found = chunks(spark, sf_dir)
-    hits = retrieval.bm25(found, asked(spark, sf_dir), TOP, W).join(found.select("chunk_id", "text"), "chunk_id").withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    return ledger.pack(hits, 4000)
+    hits = retrieval.bm25(found, asked(spark, sf_dir), TOP, W).drop("source").join(found, "chunk_id").select("query_id", "rank", "chunk_id", F.col("source").alias("company"), F.lit(2024).alias("year"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = context.build(hits, asked(spark, sf_dir), top_k=TOP, max_tokens=4000)
+    return packed.select("query_id", "chunks_before", "chunks_after", "tokens_before", "tokens_after", "kept", "truncated", "compression")
 
 
-@query("SELECT doc_id, CASE WHEN n % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id < 1000)")
+@query("SELECT doc_id, CASE WHEN n % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
 def stride_split(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "documents").where("doc_id < 1000").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("n"))  # a question list of bounded size
+    rows = training.positions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     return rows.select("doc_id", training.stride_split(F.col("n")).alias("split"))
 
 
@@ -382,7 +500,9 @@ def benchmark_leakage(spark, sf_dir):
     return training.leaks(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
-@query("""SELECT source, count(*) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS sha256 FROM (SELECT source, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || coalesce(text, '')) AS d FROM documents) GROUP BY source""")
+@query("""WITH d AS (SELECT source, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || coalesce(text, '')) AS d FROM documents),
+b AS (SELECT source, substr(d, 1, 4) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM d GROUP BY ALL)
+SELECT source, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY b)) AS sha256 FROM b GROUP BY source""")
 def sha_manifest(spark, sf_dir):
     return training.manifest(table(spark, sf_dir, "documents"), "source", "doc_id")
 
@@ -397,13 +517,124 @@ def quality_gates(spark, sf_dir):
     return metrics.gates(recall_mrr_ndcg(spark, sf_dir), {"recall_at_5": 0.01, "mrr": 0.99})
 
 
-@query("""WITH o AS (SELECT event_type AS policy, user_id, count(*) AS rounds, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) = 1 AS correct FROM events GROUP BY ALL),
-t AS (SELECT CASE WHEN policy = (SELECT min(event_type) FROM events) THEN 'static' ELSE policy END AS policy, user_id, rounds, correct FROM o),
-j AS (SELECT t.*, s.correct AS sc FROM t JOIN t s ON s.policy = 'static' AND s.user_id = t.user_id WHERE t.policy <> 'static')
-SELECT policy, coalesce(count(*) FILTER (WHERE rounds > 1 AND sc) / nullif(count(*) FILTER (WHERE rounds > 1), 0)::DOUBLE, 0) AS unnecessary_escalation,
-       coalesce(count(*) FILTER (WHERE rounds = 1 AND NOT sc) / nullif(count(*) FILTER (WHERE NOT sc), 0)::DOUBLE, 0) AS missed_escalation, count(*) FILTER (WHERE correct AND NOT sc) AS recovered FROM j GROUP BY policy""")
-def comparative_routing(spark, sf_dir):
+_OUTCOMES = """o AS (SELECT event_type AS policy, user_id, count(*) AS rounds, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) = 1 AS correct, user_id % 7 = 0 AS canary FROM events GROUP BY ALL),
+t AS (SELECT CASE WHEN policy = (SELECT min(event_type) FROM events) THEN 'static_rag' ELSE policy END AS policy, user_id, rounds, correct, canary FROM o),
+j AS (SELECT t.*, s.correct AS sc FROM t JOIN t s ON s.policy = 'static_rag' AND s.user_id = t.user_id)"""
+
+
+def _outcomes(spark, sf_dir):
     rows = _trajectory(spark, sf_dir)
     first = F.broadcast(rows.agg(F.min("policy").alias("first")))  # one row
-    outcomes = rows.groupBy("policy", "query_id").agg(F.count("*").alias("rounds"), F.max("correct").alias("correct")).crossJoin(first)
-    return metrics.routing(outcomes.withColumn("policy", F.when(F.col("policy") == F.col("first"), "static").otherwise(F.col("policy"))))
+    outcomes = rows.groupBy("policy", "query_id").agg(F.count("*").alias("rounds"), F.max("correct").alias("correct")).withColumn("canary", F.col("query_id") % 7 == 0).crossJoin(first)
+    return outcomes.withColumn("policy", F.when(F.col("policy") == F.col("first"), "static_rag").otherwise(F.col("policy")))
+
+
+@query(f"""WITH {_OUTCOMES}
+SELECT policy, coalesce(count(*) FILTER (WHERE rounds > 1 AND sc AND NOT canary) / nullif(count(*) FILTER (WHERE sc AND NOT canary), 0)::DOUBLE, 0) AS unnecessary_escalation,
+       coalesce(count(*) FILTER (WHERE rounds = 1 AND NOT sc AND NOT canary) / nullif(count(*) FILTER (WHERE NOT sc AND NOT canary), 0)::DOUBLE, 0) AS missed_escalation, count(*) FILTER (WHERE correct AND NOT sc AND canary) AS recovered,
+       count(*) FILTER (WHERE NOT sc AND canary) AS recoverable, coalesce(count(*) FILTER (WHERE correct AND NOT sc AND canary) / nullif(count(*) FILTER (WHERE NOT sc AND canary), 0)::DOUBLE, 0) AS canary_recovery FROM j GROUP BY policy""")
+def comparative_routing(spark, sf_dir):
+    return metrics.routing(_outcomes(spark, sf_dir))
+
+
+def _labelled(spark, sf_dir):
+    """Documents as answered questions: of good quality answerable, toxic ones wrong."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    good = F.col("quality") == 1
+    return rows.select(
+        F.col("doc_id").alias("query_id"), "source", F.col("lang").alias("category"), F.col("lang").alias("fact_key"), F.when(good, "answerable_dev").otherwise("hard_no_answer_dev").alias("group"), F.when(good, "answered").otherwise("refused").alias("status"),
+        F.when(~good, F.col("source")).alias("reason"), F.coalesce(F.col("toxic") == 0, F.lit(False)).alias("exact"), (~good & (F.col("toxic") == 0)).alias("refusal_correct"), (F.col("n_chars") % 3 > 0).alias("gold_found"),
+        (F.col("n_chars") % 4).alias("citations"), (F.col("n_chars") % 4 / 2).cast("int").alias("correct_citations"), (F.col("n_chars") % 2 == 0).alias("pages_match"),
+    ).where("status is not null")
+
+
+_LABELLED = """l AS (SELECT d.doc_id AS query_id, source, lang, quality = 1 AS good, coalesce(toxic = 0, false) AS exact, n_chars FROM documents d JOIN labels USING (doc_id)),
+det AS (SELECT *, NOT coalesce(good, false) AND exact AS refusal_correct, n_chars % 3 > 0 AS gold_found, n_chars % 4 AS citations, n_chars % 4 // 2 AS correct_citations, n_chars % 2 = 0 AS pages_match FROM l)"""
+
+
+@query(f"WITH {_LABELLED} SELECT lang AS category, count(*) AS questions, count(*) FILTER (WHERE CASE WHEN good THEN exact ELSE refusal_correct END) AS correct, count(*) FILTER (WHERE CASE WHEN good THEN exact ELSE refusal_correct END) / count(*)::DOUBLE AS accuracy FROM det GROUP BY lang")
+def category_metrics(spark, sf_dir):
+    return metrics.categories(_labelled(spark, sf_dir))
+
+
+@query(f"""WITH {_LABELLED} SELECT count(*) FILTER (WHERE good) AS questions, 1.0::DOUBLE AS answer_rate, count(*) FILTER (WHERE good AND exact) / count(*) FILTER (WHERE good)::DOUBLE AS exact_answer_accuracy,
+ count(*) FILTER (WHERE good AND gold_found) / count(*) FILTER (WHERE good)::DOUBLE AS all_gold_evidence_recall, sum(correct_citations) FILTER (WHERE good) / sum(citations) FILTER (WHERE good)::DOUBLE AS citation_chunk_precision,
+ count(*) FILTER (WHERE good AND pages_match) / count(*) FILTER (WHERE good)::DOUBLE AS citation_page_set_accuracy, count(*) FILTER (WHERE NOT good) AS no_answer_questions, 1.0::DOUBLE AS no_answer_refusal_accuracy FROM det""")
+def evaluate_predictions(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return metrics.predictions(rows.where("status = 'answered'"), rows.where("status = 'refused'"))
+
+
+@query(f"""WITH {_LABELLED}, d AS (SELECT *, CASE WHEN good THEN 'answered' ELSE 'refused' END AS status FROM det),
+parts AS (SELECT 'status' AS kind, status AS value, exact FROM d UNION ALL SELECT 'refusal', source, exact FROM d WHERE status = 'refused' UNION ALL SELECT 'fact', lang, exact FROM d
+ UNION ALL SELECT 'test_only_fact', lang, exact FROM d WHERE lang <> 'en' UNION ALL SELECT 'retrieval_miss', CAST(query_id AS VARCHAR), exact FROM d WHERE NOT gold_found)
+SELECT kind, value, count(*) AS n, count(*) FILTER (WHERE exact) AS correct FROM parts GROUP BY ALL""")
+def failure_analysis(spark, sf_dir):
+    return metrics.failures(_labelled(spark, sf_dir).where("fact_key is not null"), spark.createDataFrame([("en",)], "fact_key string"))
+
+
+@query(f"""WITH {_DENSE}, a AS ({_top("dn")}), b AS ({_top("dn", "label % 2 = query_label % 2")}), rel AS (SELECT query_id, chunk_id FROM dn WHERE label = query_label)
+SELECT r.query_id, min(a.rank) AS "before", min(b.rank) AS "after", count(*) FILTER (WHERE b.rank IS NULL) AS missed FROM rel r LEFT JOIN a USING (query_id, chunk_id) LEFT JOIN b USING (query_id, chunk_id) GROUP BY r.query_id""")
+def before_after(spark, sf_dir):
+    questions, gold = _relevance(spark, sf_dir)
+    return metrics.first_ranks(gold.select("query_id").distinct(), gold, _dense(spark, sf_dir), _dense(spark, sf_dir, True))
+
+
+@query("""WITH s AS (SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+l AS (SELECT user_id, max(n) AS last FROM s GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS query_id, event_type AS chunk_id, CAST(max(n) AS DOUBLE) AS score, CAST(1 AS INTEGER) AS rank FROM s JOIN l USING (user_id) WHERE n = last GROUP BY ALL""")
+def reconstruct_results(spark, sf_dir):
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("query_id"), order.alias("round_index"), F.array("event_type").alias("evidence_chunk_ids"), F.array(order.cast("double")).alias("evidence_scores"))
+    known = table(spark, sf_dir, "events").select(F.col("event_type").alias("chunk_id")).distinct()
+    whole = known.select("chunk_id", F.lit("d").alias("document_id"), F.lit("c").alias("company"), F.lit(2024).alias("year"), F.lit(1).alias("page"), F.lit("s").alias("section"), F.lit("t").alias("text"))
+    return loop.reconstruct(steps, whole).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {_CORPUS} SELECT company || y || '年营业收入是多少？' AS query, 'single' AS question_type, format('{{:,}}', v) || '千元' AS answer FROM corp
+UNION ALL SELECT company || y || '年和' || (y + 1) || '年的营业收入分别是多少？', 'cross_year', y || '年' || format('{{:,}}', v) || '千元；' || (y + 1) || '年' || format('{{:,}}', w) || '千元' FROM pair""")
+def build_questions(spark, sf_dir):
+    facts_ = _figures(spark, sf_dir).select("company", "y", F.concat(_plain("v"), F.lit("千元")).alias("answer"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("chunk_id"), F.lit(1).alias("page"), F.lit("revenue").alias("fact_key")).withColumnRenamed("y", "year")
+    templates = spark.createDataFrame([("revenue", "{company}{year}年营业收入是多少？", "single")], "fact_key string, template string, question_type string")
+    labels = spark.createDataFrame([("revenue", "营业收入")], "fact_key string, label string")
+    return datasets.single_facts(facts_, templates).unionByName(datasets.cross_years(facts_, labels)).select("query", "question_type", "answer")
+
+
+@query(f"""WITH {_CORPUS} SELECT 'a' || k || '-' || y AS query_id, 'answer token ' || format('{{:,}}', v) || ' absent from evidence' AS issue FROM corp WHERE k % 3 = 0
+UNION ALL SELECT 'a' || k || '-' || y, 'source pages do not match chunks' FROM corp WHERE k % 3 IN (0, 1) UNION ALL SELECT 'c' || k, 'no-answer row has evidence' FROM (SELECT DISTINCT k FROM corp) UNION ALL SELECT 'a' || k || '-' || y, 'missing chunk r' || k || '-' || y || ':0009' FROM corp WHERE k % 3 = 1""")
+def audit_questions(spark, sf_dir):
+    reports = _reports(spark, sf_dir)
+    rows = _asked_of_reports(spark, sf_dir).where("query_id like 'a%' or query_id like 'c%'").join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"], "left")
+    of = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"))
+    third = F.col("k") % 3  # 0: the quarter's passage; 1: a passage that is not there, too; 2: the right one
+    ids = F.when(third == 0, F.array(F.concat(of, F.lit(":0001")))).when(third == 1, F.array(F.concat(of, F.lit(":0000")), F.concat(of, F.lit(":0009")))).otherwise(F.array(F.concat(of, F.lit(":0000"))))
+    none = F.col("query_id").startswith("c")
+    pages = F.when(third == 1, F.array(F.lit(99))).otherwise(F.array((F.col("k") + 10).cast("int")))
+    rows = rows.select("query_id", "query", none.alias("no_answer"), ids.alias("relevant_chunk_ids"), F.when(none, "refuse").alias("expected_action"), F.when(~none, F.concat(_plain("v"), F.lit("千元"))).alias("answer"), pages.alias("source_pages"))
+    return datasets.audit_questions(rows, reports)
+
+
+@query(f"""WITH {_CORPUS} SELECT query_id, 'query is not inside corpus scope' AS issue FROM asked WHERE starts_with(query_id, 'c') UNION ALL SELECT query_id, 'no evidence constraint inferred' FROM asked WHERE starts_with(query_id, 'c')""")
+def audit_hard_no_answers(spark, sf_dir):
+    rows = _routed(spark, sf_dir).where("query_id like 'c%' or query_id like 'e%'")
+    rows = rows.select("*", F.col("companies")[0].alias("company"), F.lit("refuse").alias("expected_action"), F.array().cast("array<string>").alias("relevant_chunk_ids"))
+    return datasets.audit_hard_no_answers(rows, _reports(spark, sf_dir))
+
+
+@query(f"""WITH {_CORPUS} SELECT 'a' || k || '-' || y AS query_id, 'r' || k || '-' || x AS negative FROM corp, (SELECT DISTINCT k AS k2, y AS x, v AS v2 FROM corp) n WHERE k = k2 AND y <> x AND v <> v2""")
+def leak_free_negatives(spark, sf_dir):
+    asked_ = _asked_of_reports(spark, sf_dir).where("query_id like 'a%'").join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"]).withColumn("answer", F.concat(_plain("v"), F.lit("千元")))
+    reports = _reports(spark, sf_dir).where("chunk_id like '%:0000'")
+    pairs = asked_.select("query_id", "k").join(reports.select("chunk_id", "k"), "k").select("query_id", "chunk_id")
+    return datasets.drop_answers(pairs, asked_, reports).select("query_id", F.substring_index("chunk_id", ":", 1).alias("negative"))
+
+
+@query(f"""WITH {_CORPUS}, p(profile, model) AS (VALUES ('baseline', 'large'), ('routed', 'routed')),
+t AS (SELECT profile, query_id, answer, CASE WHEN profile = 'baseline' OR starts_with(query_id, 'b') THEN 'large' ELSE 'small' END AS model, len(query) AS n FROM asked, p)
+SELECT profile, count(*) AS tasks, count(*) FILTER (WHERE model = 'small') AS small, CAST(sum(n) AS BIGINT) AS input_tokens, round(sum(n * CASE WHEN model = 'small' THEN 0.25::DOUBLE ELSE 1.0 END), 6) AS normalized FROM t GROUP BY profile""")
+def replay_profiles(spark, sf_dir):
+    rows = _asked_of_reports(spark, sf_dir)
+    parts = [rows.withColumn("profile", F.lit(name)).withColumn("model", ledger.choose_model(F.col("query"), F.lit(1), F.lit(0), policy)["model"]) for name, policy in (("baseline", "always_large"), ("routed", "adaptive"))]
+    tasks = parts[0].unionByName(parts[1]).withColumns({"input_tokens": F.length("query"), "output_tokens": F.lit(0)})
+    out = loop.profiles(tasks, {"small": 0.25, "large": 1.0}, 1.0, 1.0)
+    return out.select("profile", "tasks", "small", "input_tokens", F.round("normalized", 6).alias("normalized"))
