@@ -131,7 +131,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, roll_bytes: i
                     name = f"part-{row['shard']:06d}-{parts:04d}.warc.gz"
                     here = f"_temporary/{uuid.uuid4().hex}-{name}"
                     store.create_dir(f"{root}/_temporary", recursive=True)
-                    out, size, count, whole = store.open_output_stream(f"{root}/{here}"), 0, 0, hashlib.sha1()
+                    out, size, count, whole = store.open_output_stream(f"{root}/{here}", compression=None), 0, 0, hashlib.sha1()
                     parts += 1
                 out.write(member)
                 whole.update(member)
@@ -176,7 +176,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(path)
         for name, expected in ((r["file"], r["records"]) for b in batches for r in b.to_pylist()):
             rows, weight, count = [], 0, 0
-            with store.open_input_stream(f"{root}/{name}") as file:
+            with store.open_input_stream(f"{root}/{name}", compression=None) as file:
                 for named, block in records(iter(lambda: file.read(1 << 20), b"")):
                     head, _, body = block.partition(b"\r\n\r\n")
                     size = int(head.rpartition(b"Content-Length: ")[2])
