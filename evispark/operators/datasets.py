@@ -151,6 +151,43 @@ def audit_triples(triples: DataFrame, train: DataFrame, validation: DataFrame, c
     return _union(parts).distinct()
 
 
+#: The heading of a table of quarterly figures (fixed value).
+QUARTER_TABLE = "分季度主要财务"
+
+
+def audit_holdout(rows: DataFrame, chunks: DataFrame, prior: DataFrame, categories: dict[str, int], reach: int = 1) -> DataFrame:
+    """A frozen set (query_id, query, category, answerable, companies, years, relevant_chunk_ids, source_pages, document_ids, gold_values, distractor_chunk_ids) against its corpus and a prior one (column company).
+
+    No company in both; as many questions a category as stated; gold passages with the stated document, page, company, year
+    and value; distractors within `reach` pages of a quarterly table's heading; unanswerable questions without a
+    passage that entails them. Problems of the set as a whole have a null query_id.
+    """
+    say = lambda df, text: df.select("query_id", F.lit(text).alias("issue"))
+    whole = lambda df, text: df.select(F.lit(None).cast("string").alias("query_id"), text.alias("issue"))
+    shared = chunks.select("company").intersect(prior.select("company"))
+    wanted = rows.sparkSession.createDataFrame(list(categories.items()), "category string, n long")
+    counted = rows.groupBy("category").agg(F.count("*").alias("found")).join(wanted, "category", "full_outer").where(~F.col("found").eqNullSafe(F.col("n")))
+    open_, none = rows.where("answerable"), rows.where("not answerable").withColumn("fact", fact_of(F.col("query")))
+    even = F.size("relevant_chunk_ids") == F.size("source_pages")
+    gold = open_.where(even).select("query_id", "companies", "years", F.explode(F.arrays_zip("relevant_chunk_ids", "source_pages", "document_ids", "gold_values")).alias("g")).select("query_id", "companies", "years", F.col("g.relevant_chunk_ids").alias("chunk_id"), F.col("g.source_pages").alias("of_page"), F.col("g.document_ids").alias("of_document"), F.col("g.gold_values").alias("value"))
+    cited = gold.join(chunks.select("chunk_id", "document_id", "company", F.col("year").cast("int").alias("year"), "page", "text", F.lit(True).alias("there")), "chunk_id", "left")
+    there, number = cited.where("there"), F.regexp_extract(F.coalesce("value", F.lit("")), NUMBER, 0)
+    headings = chunks.where(F.col("text").contains(QUARTER_TABLE)).select(F.col("document_id").alias("d"), F.col("page").alias("p"))
+    decoys = open_.select("query_id", F.explode("distractor_chunk_ids").alias("chunk_id"))
+    placed = decoys.join(chunks.select("chunk_id", "document_id", "page"), "chunk_id")
+    far = placed.join(headings, (F.col("document_id") == F.col("d")) & (F.abs(F.col("page") - F.col("p")) <= reach), "left_anti")
+    asked = none.where("fact is not null").select("query_id", "query", "fact", F.explode("companies").alias("company"), "years").select("query_id", "query", "fact", "company", F.explode("years").alias("year"))
+    entailed = asked.join(chunks.select("company", F.col("year").cast("int").alias("year"), "text"), ["company", "year"]).where(entails(F.col("text"), F.col("query"), F.col("fact")))
+    return _union([
+        whole(shared, F.concat(F.lit("company in the prior corpus: "), "company")), whole(counted, F.concat(F.lit("unexpected count of category "), "category")),
+        _repeats(rows, squeeze(F.col("query")), "duplicate normalized query text"), say(open_.where(~even), "gold chunk/page count mismatch"), say(cited.where("there is null"), "missing gold chunk"),
+        say(there.where(~(F.col("document_id").eqNullSafe(F.col("of_document")) & F.col("page").eqNullSafe(F.col("of_page").cast("int")))), "gold metadata/page mismatch"),
+        say(there.where(~(F.array_contains("companies", F.col("company")) & F.array_contains(F.transform("years", lambda y: y.cast("int")), F.col("year")))), "gold company/year mismatch"),
+        say(there.where((number == "") | ~F.col("text").contains(number)), "value absent from gold chunk"), say(decoys.join(chunks.select("chunk_id"), "chunk_id", "left_anti"), "missing distractor"),
+        say(far, "invalid quarterly distractor"), say(none.where("fact is null"), "unsupported no-answer fact"), say(entailed, "constrained evidence unexpectedly found"),
+    ]).distinct()
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0].select(F.col("query_id").cast("string").alias("query_id"), "issue")
     for p in parts[1:]:

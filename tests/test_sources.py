@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.sources import jsonl
+from evispark.operators import datasets
+from evispark.sources import jsonl, reports
 from evispark.streaming import ledger
 
 
@@ -27,3 +28,60 @@ def test_streamed_ledger(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.tokens for r in spark.table("ledger").collect()) == 45
+
+
+def test_reports_are_parsed(spark):
+    known = spark.createDataFrame([("d1", "甲", 2024), ("d2", "乙", 2023), ("d3", "丙", 2022)], "document_id string, company string, year int")
+    pages = spark.createDataFrame([("d1", 2, " 研发 " + "长" * 90), ("d1", 1, "# 概览\n" + "文" * 90), ("d1", 3, None), ("d2", 1, "短")], "document_id string, page int, text string")
+    chunks, told, skipped = reports.parse(known, pages)
+    assert [(r.chunk_id, r.section, r.page) for r in chunks.collect()] == [("d1:0000", "概览", 1), ("d1:0001", "概览", 2)]
+    assert {(r.document_id, r.pages, r.empty_pages, r.chunks) for r in told.collect()} == {("d1", 3, 1, 2), ("d2", 1, 0, 0)} and [r.document_id for r in skipped.collect()] == ["d3"]
+    with pytest.raises(ValueError, match="parsed"):
+        reports.parse(known, pages, only=["d2"])
+
+
+def test_vector_cache(spark, tmp_path):
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, vector array<double>")
+    reports.write_vectors(vectors, f"{tmp_path}/v", "m", 768)
+    ids = vectors.select("chunk_id")
+    assert reports.read_vectors(spark, f"{tmp_path}/v", ids, "m", 768).count() == 2
+    for of, model, size in ((ids, "n", 768), (ids, "m", 1), (ids.limit(1), "m", 768), (ids.union(ids), "m", 768)):
+        with pytest.raises(ValueError):
+            reports.read_vectors(spark, f"{tmp_path}/v", of, model, size)
+
+
+def test_frozen_runs(spark, tmp_path):
+    files = [tmp_path / "a.json", tmp_path / "b.json"]
+    for f in files:
+        f.write_text("{}")
+    now = lambda: reports.digests(spark, map(str, files))
+    reports.lock(now(), f"{tmp_path}/lock")
+    assert reports.run_once(spark, f"{tmp_path}/lock", now(), lambda: spark.range(3).toDF("x"), f"{tmp_path}/out").count() == 3
+    with pytest.raises(FileExistsError):
+        reports.run_once(spark, f"{tmp_path}/lock", now(), lambda: spark.range(3), f"{tmp_path}/out")
+    files[0].write_text("{ }")
+    with pytest.raises(ValueError, match="changed"):
+        reports.check_lock(spark, f"{tmp_path}/lock", now())
+    with pytest.raises(ValueError, match="missing"):
+        reports.check_lock(spark, f"{tmp_path}/lock", now().limit(0))
+    reports.lock(now(), f"{tmp_path}/draft", "draft")
+    with pytest.raises(ValueError, match="not locked"):
+        reports.check_lock(spark, f"{tmp_path}/draft", now())
+    assert {r.name for r in reports.environment(spark).collect()} >= {"python", "spark"} and reports.config('{"a": 1}') == {"a": 1}
+
+
+def test_holdouts_are_audited(spark):
+    chunks = spark.createDataFrame(
+        [("n-1:0", "n-1", "新公司", 2024, 5, "营业收入 1,000"), ("n-1:1", "n-1", "新公司", 2024, 7, "分季度主要财务指标"), ("n-1:2", "n-1", "新公司", 2024, 8, "第一季度 200"), ("n-1:3", "n-1", "新公司", 2024, 20, "境外 营业收入 9")],
+        "chunk_id string, document_id string, company string, year int, page int, text string",
+    )
+    schema = "query_id string, query string, category string, answerable boolean, companies array<string>, years array<int>, relevant_chunk_ids array<string>, source_pages array<int>, document_ids array<string>, gold_values array<string>, distractor_chunk_ids array<string>"
+    good = ("q1", "新公司2024年营业收入", "single", True, ["新公司"], [2024], ["n-1:0"], [5], ["n-1"], ["1,000元"], ["n-1:2"])
+    none = ("q2", "新公司2024年欧洲营业收入", "none", False, ["新公司"], [2024], [], [], [], [], [])
+    prior = spark.createDataFrame([("旧公司",)], "company string")
+    audit = lambda rows, before=prior, counts=None: {(r.query_id, r.issue) for r in datasets.audit_holdout(spark.createDataFrame(rows, schema), chunks, before, counts or {"single": 1, "none": 1}).collect()}
+    assert audit([good, none]) == set()
+    assert audit([good, none], chunks.select("company")) == {(None, "company in the prior corpus: 新公司")}
+    assert audit([good, none], counts={"single": 2, "none": 1, "more": 1}) == {(None, "unexpected count of category single"), (None, "unexpected count of category more")}
+    bad = [("q1", "x", "single", True, ["别"], [2023], ["n-1:0"], [6], ["n-1"], ["7"], ["n-1:3", "n-9"]), ("q2", "新公司2024年境外营业收入", "none", False, ["新公司"], [2024], [], [], [], [], [])]
+    assert {i for _, i in audit(bad)} == {"gold metadata/page mismatch", "gold company/year mismatch", "value absent from gold chunk", "invalid quarterly distractor", "missing distractor", "constrained evidence unexpectedly found"}
