@@ -79,7 +79,8 @@ def fingerprints(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     doc_id; the first follows the last. Rows are dealt into ranges of doc_id with bounds that depend on the rows
     alone, and sorted within; each range's first row goes to the range before it as well, so that every row meets its
     next in one task, which holds two texts at a time. One document is its own next. Null text is empty; null ids
-    come last; rows with one id follow each other by text. No documents give no rows. Other columns aren't read.
+    come last; rows with one id follow each other by text, in one task, which streams them. Ids of any type that sorts.
+    No documents give no rows. Other columns aren't read.
     """
     kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -95,7 +95,8 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, roll_bytes: i
 
     Null html is an empty payload, null ids sort first. Of equal payloads of `least` bytes or more, the one with the
     largest page_id is the response and the others are revisits; of rows with the same id and payload, the first is.
-    No rows give no files. Other columns aren't read.
+    Rows without an id, or of one id, are written by one task, which streams them. No rows give no files. Other columns
+    aren't read.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     total = base.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
