@@ -192,7 +192,8 @@ def threshold_sweep(spark, sf_dir):
 
 
 def _markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("company"), F.lit(2024).alias("year"), F.coalesce("text", F.lit("")).alias("markdown"))
+    rows = table(spark, sf_dir, "documents")
+    return spread(rows.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("company"), F.lit(2024).alias("year"), F.coalesce("text", F.lit("")).alias("markdown")))
 
 
 @query()
@@ -497,7 +498,7 @@ def dup_normalized_text(spark, sf_dir):
 
 @query("SELECT b.item_id, count(d.text) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) AND b.text <> '' GROUP BY b.item_id")
 def benchmark_leakage(spark, sf_dir):
-    return training.leaks(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+    return training.leaks(spread(table(spark, sf_dir, "documents").select("text")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 @query("""WITH d AS (SELECT source, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || coalesce(text, '')) AS d FROM documents),
