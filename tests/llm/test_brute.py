@@ -400,3 +400,25 @@ def test_each_stage_of_the_pipeline_is_the_plain_one(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_links_of_a_large_group_connect_what_is_similar(spark):
+    rng, found = random.Random(9), []
+    for base in ([rng.choice(VOCABULARY) + str(i) for i in range(24)] for _ in range(3)):
+        for share in (0, 1, 2, 3, 4, 5, 6, 8, 10):
+            for _ in range(4):
+                words = list(base)
+                for _ in range(share):
+                    k = rng.randrange(len(words))
+                    words[k : k + 1] = rng.choice([[], ["new"], ["ab", "cd"], [words[k] + "x"]])
+                found.append(" ".join(words))
+    found = list(dict.fromkeys(found))
+    schema = "line long, simhash long, plain string, cells array<long>"
+    frame = spark.createDataFrame([(i, 0, x, [lines.meeting.GROUP | 5]) for i, x in enumerate(found)], schema)
+    near = lambda i, j: 1 - distance(found[i], found[j]) / max(len(found[i]), len(found[j])) >= 0.8 - 1e-12
+    top = groups(len(found), near)
+    for few in (0, 1000):
+        links = [(r.a, r.b) for r in lines.verified_links(frame, lines.Blocks(5), few).collect()]
+        assert all(near(a, b) for a, b in links)
+        linked = {frozenset(p) for p in links}
+        assert groups(len(found), lambda i, j, linked=linked: frozenset((i, j)) in linked) == top and len(set(top)) > 3
