@@ -14,6 +14,8 @@ LINE_DOCS = 20
 #: A document is depleted if fewer than this percentage of its words remain.
 KEPT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
+#: Lists up to this long are scanned.
+SHORT_LIST = 32
 #: Hosts' line lists of up to so many lines in all are broadcast (8 bytes each); beyond, lines are joined by shuffle, dealt to SALTS parts each.
 BROADCAST_LINES, SALTS = 1_000_000, 16
 
@@ -102,7 +104,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_
 
 
 def holds(sorted_lines: Column, line: Column) -> Column:
-    """Whether a sorted array of longs holds a value, by binary search, whose steps each evaluate it."""
+    """Whether a sorted array of longs holds a value (not null): by a scan if it is short, else by binary search, whose steps each evaluate the value."""
     start = F.struct(F.lit(0).alias("lo"), F.size(sorted_lines).alias("hi"))
 
     def halve(at, _):
@@ -112,7 +114,8 @@ def holds(sorted_lines: Column, line: Column) -> Column:
         return F.when(at["lo"] < at["hi"], half).otherwise(at)
 
     found = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(sorted_lines)))), start, halve, lambda at: at["lo"])
-    return F.coalesce(F.get(sorted_lines, found) == line, F.lit(False))
+    short = F.size(sorted_lines) <= SHORT_LIST
+    return F.coalesce(F.when(short, F.array_contains(sorted_lines, line)).otherwise(F.get(sorted_lines, found) == line), F.lit(False))
 
 
 def listed(docs: DataFrame, frequent: DataFrame, host: str, small: bool, column: str) -> DataFrame:
