@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.common import saved, scratch_path
+from evispark.llm.common import saved
 
 #: Classes of WORDS words each, by rank; then the end's; then classes of all other words by their last bytes.
 WORD_CLASSES, WORDS, SUFFIXES, SUFFIX_BYTES = 47, 32, 16, 3
@@ -368,8 +368,8 @@ def build(counts: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary, Mode
     return vocabulary, model, below, total, distinct
 
 
-def encode(texts: DataFrame, vocabulary: Vocabulary, path: str) -> DataFrame:
-    """Each row of texts (doc_id, text, held_out, round) with a row number, its tokens' codes and counts, and its words that aren't frequent; written to path by round."""
+def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each row of texts (doc_id, text, held_out, round) with a row number, its tokens' codes and counts, and its words that aren't frequent."""
     kind = texts.schema["doc_id"].dataType.simpleString()
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -401,9 +401,7 @@ def encode(texts: DataFrame, vocabulary: Vocabulary, path: str) -> DataFrame:
                 row, at = row + i - at, i
 
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, codes binary, rare array<struct<word: string, n: long>>, round int"
-    out = texts.mapInArrow(run, schema)
-    out.write.partitionBy("round").parquet(path)
-    return texts.sparkSession.read.schema(out.schema).parquet(path)
+    return texts.mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame, fold: int = 1, folds: int = 5, frequent: int = FREQUENT) -> DataFrame:
@@ -425,7 +423,7 @@ def scores(docs: DataFrame, fold: int = 1, folds: int = 5, frequent: int = FREQU
     base = docs.select("doc_id", "text", held.alias("held_out"), turn.alias("round"))
     counts = saved(count_words(base.where("not held_out")), "word-counts")
     vocabulary, model, below, total, distinct = build(counts, frequent)
-    encoded = encode(base, vocabulary, scratch_path(docs.sparkSession, "codes"))
+    encoded = saved(encode(base, vocabulary), "codes")
     if total:
         model = train(encoded, vocabulary, model)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model, below))
