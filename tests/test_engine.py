@@ -6,7 +6,7 @@ from evispark.operators import answering, chunking, context, datasets, ledger, l
 from evispark.plans import catalog
 
 #: What has SQL and takes long is left to the correctness run.
-SLOW = {"bm25_filtered_topk", "rerank_topk", "rrf_fusion", "hard_negatives", "quality_gates", "dense_filtered_topk", "term_stats"}
+SLOW = {"trajectory_usage", "trajectory_steps", "bm25_filtered_topk", "rerank_topk", "rrf_fusion", "hard_negatives", "quality_gates", "dense_filtered_topk", "term_stats"}
 QUICK = sorted(set(catalog.ORACLE_SQL) - SLOW)
 
 
