@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import bpe, hosts, langid, lines, maxent, mixing, omh, quality, simhash, warc
+from evispark.llm import bpe, divergence, exact, hosts, langid, lines, maxent, mixing, omh, phrases, quality, simhash, warc
 from evispark.llm.common import scratch_path, table
 
 
@@ -63,5 +63,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_line_dedup, op5_simhash, op6_language_id, op7_order_minhash, op8_lm_scores, op9_mix, op10_url_filters)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sentencepiece, op4_line_dedup, op5_simhash, op6_language_id, op7_order_minhash, op8_lm_scores, op9_mix, op10_url_filters, op11_source_divergence, op12_exact_dedup, op13_collocations)}
 ORACLE_SQL = {"op1_warc": warc.WARC_SQL, "op2_quality_rules": quality.QUALITY_SQL, "op9_mix": mixing.MIX_SQL, "op10_url_filters": hosts.HOSTS_SQL}
+ORACLE_SQL |= {"op11_source_divergence": divergence.DIVERGENCE_SQL, "op12_exact_dedup": exact.EXACT_SQL, "op13_collocations": phrases.PHRASES_SQL}
