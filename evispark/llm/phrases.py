@@ -178,7 +178,7 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share:
 
     Null and empty texts hold no words, a null lang is `und` (as is a lang of that name), repeated rows count each, a text
     without white space is one word, ties go by phrase; languages without a phrase, and no documents, give no rows.
-    Other columns are not read. Tasks hold a shard of 16 MB of text, or one text, and two sieves of 32 MB at most.
+    Other columns are not read. Tasks hold a shard of 6 MB of text, or one text, and two sieves of 32 MB at most.
     """
     words, phrases = counts(docs, depth, least, digest)
     best = saved(scored(phrases, depth).join(subsumed(phrases, share), "key", "left_anti"), "scored")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held at once, or one text.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -37,15 +37,15 @@ def shards(batches: Iterable[pa.RecordBatch], limit: int = SHARD_BYTES) -> Itera
     """The rows of batches dealt anew: as many as hold `limit` bytes in their column text, one at least; null texts are empty."""
     held, size = [], 0
     for b in batches:
-        b = pa.Table.from_batches([b])
-        b = b.set_column(b.column_names.index("text"), "text", b["text"].cast(pa.large_string()).fill_null(""))
-        ends = np.cumsum(pc.binary_length(b["text"]).to_numpy())
+        place = b.schema.get_field_index("text")
+        ends = np.cumsum(pc.binary_length(b.column(place)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(b):
             before = int(ends[at - 1]) if at else 0
             to = max(at + (not held), int(np.searchsorted(ends, before + limit - size, "right")))
             if to > at:
-                held.append(b.slice(at, to - at))
+                part = pa.Table.from_batches([b.slice(at, to - at)])
+                held.append(part.set_column(place, "text", part["text"].cast(pa.large_string()).fill_null("")))
                 size += int(ends[to - 1]) - before
                 at = to
             if at < len(b) or size >= limit:
