@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions.text import let, tokenize
-from evispark.operators.retrieval import DIGITS, K1, B, only, ranked
+from evispark.operators.retrieval import DIGITS, K1, B, key_of, only, ranked
 from evispark.sources import shared
 
 #: Chunks of a range, and ranges at most; beyond that ranges grow.
@@ -111,8 +111,7 @@ def search(index: Index, queries: DataFrame, top_k: int = 5, tokens: Callable[[C
         if where is not None:
             found = found.where(where)
         if allowed is not None:
-            key = next(c for c in allowed.columns if c != "query_id")
-            found = only(found, allowed, key)
+            found = only(found, allowed, key_of(allowed))
         return found.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * gain(F.col("tf"), F.col("dl"), index.avgdl, k1, b)).alias("score")).where("score > 0")
 
     if index.ranges <= first or top_k <= 0:

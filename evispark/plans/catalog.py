@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import facts, text
-from evispark.operators import answering, chunking, context, datasets, index, ledger, loop, metrics, retrieval, routing, training
+from evispark.operators import answering, chunking, context, datasets, index, ledger, loop, metrics, retrieval, routing, training, vectors
 from evispark.sources import shared
 
 QUERIES: dict = {}
@@ -128,6 +128,37 @@ def dense_filtered_topk(spark, sf_dir):
     return _dense(spark, sf_dir, True).select("query_id", "chunk_id", "score", "rank")
 
 
+def _allowed_labels(spark, sf_dir):
+    """Which labels a question may find: its own and the two after it; every third question's are all."""
+    asked_ = _vector_queries(spark, sf_dir)
+    label = F.explode(F.when(F.col("query_id") % 3 == 0, F.array(F.lit(None).cast("long"))).otherwise(F.transform(F.array(*map(F.lit, range(3))), lambda i: ((F.col("query_label") + i) % 10).cast("long"))))
+    return asked_.select("query_id", label.alias("label"))
+
+
+_LABELS_ALLOWED = "query_id % 3 = 0 OR (label - query_label + 10) % 10 < 3"
+
+
+@query(f"WITH {_DENSE} " + _top("dn", _LABELS_ALLOWED))
+def dense_allowed_topk(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
+    return retrieval.dense(rows, _vector_queries(spark, sf_dir), TOP, True, allowed=_allowed_labels(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+
+
+def _vector_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.of(rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("label")), shared.version(rows), ("label",))
+
+
+@query(f"WITH {_DENSE} " + _top("dn"))
+def dense_blocks_topk(spark, sf_dir):
+    return vectors.search(_vector_blocks(spark, sf_dir), _vector_queries(spark, sf_dir), TOP, True).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {_DENSE} " + _top("dn", _LABELS_ALLOWED))
+def dense_blocks_allowed(spark, sf_dir):
+    return vectors.search(_vector_blocks(spark, sf_dir), _vector_queries(spark, sf_dir), TOP, True, _allowed_labels(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+
+
 _FUSED = f"""a AS ({_top("dn", k=30)}), b AS ({_top("dn", "label % 2 = query_label % 2", 30)}),
 parts AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a UNION ALL SELECT query_id, chunk_id, {{weight}}::DOUBLE / (60 + rank) FROM b),
 fu AS (SELECT query_id, chunk_id, round(sum(part), 12) AS score FROM parts GROUP BY ALL)"""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.operators import index, retrieval
+from evispark.operators import index, retrieval, vectors
 from evispark.sources import shared
 
 random.seed(5)
@@ -91,3 +91,78 @@ def test_made_once_survives_a_failed_and_a_parallel_maker(spark, tmp_path):
 
     shared.made_once(spark, path, overtaken)
     assert spark.read.parquet(path).count() == 5
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    """Four far clusters, one of them a third of all and all alike, with keys."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        centre = 10.0 * (i % 3)
+        rows.append((i, [centre + rng.gauss(0, 1) for _ in range(6)] if i % 3 else [1.0] * 6, i % 7))
+    return spark.createDataFrame(rows, "chunk_id int, vector array<float>, label int").repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def pointed(spark):
+    rng = random.Random(4)
+    return spark.createDataFrame([(10 * i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(30)], "query_id int, query_vector array<float>")
+
+
+@pytest.mark.parametrize("pairs", [10_000, 3])
+def test_blocks_find_what_a_full_search_finds(spark, cloud, pointed, tmp_path, monkeypatch, pairs):
+    monkeypatch.setattr(vectors, "PAIRS", pairs)
+    vectors.write(cloud, f"{tmp_path}/v", ("label",), per_block=16)
+    blocks = vectors.read(spark, f"{tmp_path}/v")
+    assert blocks.rows.select(F.explode("ids").alias("i")).distinct().count() == 900 and blocks.rows.select(F.max(F.size("ids"))).first()[0] <= 80
+    free = F.when(F.col("query_id") % 40 == 0, F.array(F.lit(None).cast("int"))).otherwise(F.array((F.col("query_id") % 7).cast("int"), ((F.col("query_id") + 3) % 7).cast("int")))
+    by_label = pointed.where("query_id % 50 <> 0").select("query_id", F.explode(free).alias("label"))
+    by_chunk = by_label.join(cloud.select("label", "chunk_id"), "label", "left").select("query_id", "chunk_id")
+    scores = {(q.query_id, c.chunk_id): sum(a * b for a, b in zip(q.query_vector, c.vector, strict=True)) for q in pointed.collect() for c in cloud.collect()}
+    may = {(r.query_id, r.label) for r in by_label.collect()}
+    label = {r.chunk_id: r.label for r in cloud.collect()}
+
+    def plain(top_k, limited):
+        out = []
+        for q in {x for x, _ in scores}:
+            open_ = [(-round(s, 6), c) for (x, c), s in scores.items() if x == q and c != q and (not limited or (q, None) in may or (q, label[c]) in may)]
+            out += [(q, c, round(-s, 5), i) for i, (s, c) in enumerate(sorted(open_)[:top_k], 1)]
+        return sorted(out)
+
+    assert rows_of(vectors.search(blocks, pointed, 5, True)) == rows_of(retrieval.dense(cloud, pointed, 5, True)) == plain(5, False)
+    for allowed in (by_label, by_chunk):
+        assert rows_of(retrieval.dense(cloud, pointed, 5, True, allowed=allowed)) == plain(5, True)
+        assert rows_of(vectors.search(blocks, pointed, 5, True, allowed)) == plain(5, True)
+    assert vectors.search(blocks, pointed.limit(0)).collect() == []
+
+
+def test_blocks_out_of_reach_are_not_read(spark, cloud, pointed, tmp_path):
+    vectors.write(cloud, f"{tmp_path}/v", per_block=16)
+    blocks = vectors.read(spark, f"{tmp_path}/v")
+    asked = pointed.limit(1).select("query_id", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.lit(1.0).cast("float")).alias("query_vector"))
+    seen = spark.sparkContext.accumulator(0)
+    one = F.udf(lambda b: seen.add(1) or b, "string").asNondeterministic()
+    hits = vectors.search(blocks._replace(rows=blocks.rows.join(F.broadcast(blocks.heads.select("part", "block")), ["part", "block"]).withColumn("ids", F.when(one("block").isNotNull(), F.col("ids")))), asked, 3).collect()
+    assert len(hits) == 3 and all(h.chunk_id % 3 == 2 for h in hits)
+    heads = blocks.heads.toArrow().combine_chunks().to_batches()[0]
+    from evispark.operators.retrieval import asked_passes
+
+    (held,) = asked_passes(asked, __import__("pyarrow").int32())
+    most = vectors.bounds(heads, held)[:, 0]
+    assert (most >= hits[-1].score).sum() < len(most) / 2
+
+
+def test_bounds_hold(spark, cloud, pointed, tmp_path):
+    from evispark.operators.retrieval import asked_passes, matrix_of
+
+    vectors.write(cloud, f"{tmp_path}/v", per_block=16)
+    rows = spark.read.parquet(f"{tmp_path}/v/blocks").toArrow().combine_chunks().to_batches()[0]
+    (held,) = asked_passes(pointed, __import__("pyarrow").int32())
+    most = vectors.bounds(rows, held)
+    for i in range(rows.num_rows):
+        x = rows.column("vectors")[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, 6)
+        assert (x @ held.vectors.T <= most[i]).all()
+    assert matrix_of(rows.column("centre"), 6).shape == (rows.num_rows, 6)
+    with pytest.raises(ValueError):
+        vectors.write(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "chunk_id int, vector array<double>"), f"{tmp_path}/w")
