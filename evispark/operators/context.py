@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.functions.counters import Counter
 from evispark.functions.facts import extract, fact_of
 from evispark.functions.text import let, strip
 
@@ -63,14 +65,15 @@ def header() -> Column:
 
 def build(
     hits: DataFrame, queries: DataFrame, spans: bool = False, top_k: int = 10, max_tokens: int | None = None, window: int = 420,
-    count: Callable[[Column], Column] = F.length, cut: Callable[[Column, Column], Column] = lambda text, n: F.substring(text, F.lit(1), n),
+    count: Callable[[Column], Column] = F.length, cut: Callable[[Column, Column], Column] = lambda text, n: F.substring(text, F.lit(1), n), counter: Counter | None = None,
 ) -> DataFrame:
     """(query_id, context, kept, bodies, chunks_before, chunks_after, tokens_before, tokens_after, truncated, compression) of each question's hits.
 
     hits: (query_id, rank, chunk_id, company, year, page, section, text); queries: (query_id, query). In rank order
     each block (header and body) is taken whole, or its body is cut to what is left, or skipped where not one token of
-    it fits: what is skipped changes what fits later, so it is a fold over a question's top_k. count and cut are the token
-    counter: expressions that count a text's tokens and keep its first n; characters by default.
+    it fits: what is skipped changes what fits later, so it is a fold over a question's top_k. Tokens are counted by
+    `count` and `cut`, built-in expressions that count a text's tokens and keep its first n (characters by default),
+    or by a `counter`, any object of functions/counters.py, which tasks call by Arrow batches of questions.
     """
     if top_k <= 0 or max_tokens is not None and max_tokens <= 0:
         raise ValueError("top_k and max_tokens must be positive")
@@ -78,6 +81,8 @@ def build(
     body = span(F.col("text"), F.col("query"), window) if spans else F.col("text")
     rows = rows.select("query_id", F.struct("rank", "chunk_id", header().alias("head"), body.alias("body"), F.col("text").alias("full")).alias("b"))
     rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    if counter is not None:
+        return packed_by(rows, counter, max_tokens)
     limit = F.lit(max_tokens if max_tokens is not None else (1 << 31) - 1).cast("long")
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<chunk_id: string, head: string, body: string>>").alias("kept"))
 
@@ -103,6 +108,53 @@ def build(
     )
 
 
+def packed_by(rows: DataFrame, counter: Counter, max_tokens: int | None) -> DataFrame:
+    """build()'s fold of (query_id, blocks) with a counter that only Python has.
+
+    The blocks, heads and whole texts of a batch of questions are counted at once; only a block that is cut is counted
+    again, as its tokens at the seam aren't those of its parts. A row is one question's top_k blocks.
+    """
+    key = rows.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {key}, context string, kept array<string>, bodies array<string>, chunks_before int, chunks_after int, tokens_before long, tokens_after long, truncated boolean, compression double"
+
+    def fold(blocks: list[dict], whole: list[int], heads: list[int], gap: int):
+        used, kept = 0, []
+        for block, n, head in zip(blocks, whole, heads, strict=True):
+            own, between = block["body"] or "", gap if kept else 0
+            if max_tokens is not None and used + between + n > max_tokens:
+                left = max_tokens - used - between - head
+                own = counter.cut(own, left) if left > 0 else ""
+                if not own:
+                    continue
+                n = counter.counts([block["head"] + own])[0]
+            kept.append((str(block["chunk_id"]), block["head"], own))
+            used += between + n
+            if max_tokens is not None and used >= max_tokens:
+                break
+        return kept
+
+    def run(batches):
+        for b in batches:
+            asked = b.column("blocks").to_pylist()
+            flat = [x for blocks in asked for x in blocks]
+            whole, heads = counter.counts([x["head"] + (x["body"] or "") for x in flat]), counter.counts([x["head"] for x in flat])
+            gap = counter.counts([GAP])[0]
+            before = counter.counts([GAP.join(x["head"] + (x["full"] or "") for x in blocks) for blocks in asked])
+            kept, at = [], 0
+            for blocks in asked:
+                kept.append(fold(blocks, whole[at : at + len(blocks)], heads[at : at + len(blocks)], gap))
+                at += len(blocks)
+            shown = [GAP.join(head + body for _, head, body in k) for k in kept]
+            after = counter.counts(shown)
+            columns = [shown, [[c for c, _, _ in k] for k in kept], [[x for _, _, x in k] for k in kept], [len(x) for x in asked], [len(k) for k in kept], before, after]
+            columns += [[a < n for a, n in zip(after, before, strict=True)], [a / n if n else 1.0 for a, n in zip(after, before, strict=True)]]
+            kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+            names = ["query_id", "context", "kept", "bodies", "chunks_before", "chunks_after", "tokens_before", "tokens_after", "truncated", "compression"]
+            yield pa.record_batch([b.column("query_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def prompt(query: Column, context: Column, compressed: bool = False) -> Column:
     """A struct of the system and user messages and the system prompt's digest."""
     system = COMPRESSED_PROMPT if compressed else FULL_PROMPT

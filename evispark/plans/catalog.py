@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evispark.functions import facts, text
-from evispark.operators import answering, chunking, context, datasets, index, ledger, loop, metrics, retrieval, routing, training, vectors
+from evispark.functions import counters, facts, text
+from evispark.operators import answering, chunking, context, datasets, encoding, index, ledger, loop, metrics, retrieval, routing, training, vectors
 from evispark.sources import shared
 
 QUERIES: dict = {}
@@ -159,6 +159,17 @@ def dense_blocks_allowed(spark, sf_dir):
     return vectors.search(_vector_blocks(spark, sf_dir), _vector_queries(spark, sf_dir), TOP, True, _allowed_labels(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS k FROM documents), f AS (SELECT k, min(doc_id) AS first FROM d GROUP BY k)
+SELECT doc_id AS chunk_id, first AS same_as, CAST(64 AS INTEGER) AS width FROM d JOIN f USING (k)""")
+def encoded_texts(spark, sf_dir):
+    """Each text's vector by the encoder that needs no model: texts have equal vectors with the first that is equal; lengths are 1 or 0."""
+    rows = table(spark, sf_dir, "documents")
+    vectors_, _ = encoding.encoded(spread(rows.select(F.col("doc_id").alias("chunk_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("k"))), encoding.HashEncoder())
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    told = vectors_.where((F.abs(length - 1) < 1e-4) | (length == 0)).groupBy("k", "vector").agg(F.min("chunk_id").alias("same_as"), F.collect_list("chunk_id").alias("ids"))
+    return told.select(F.explode("ids").alias("chunk_id"), "same_as", F.size("vector").alias("width"))
+
+
 _FUSED = f"""a AS ({_top("dn", k=30)}), b AS ({_top("dn", "label % 2 = query_label % 2", 30)}),
 parts AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM a UNION ALL SELECT query_id, chunk_id, {{weight}}::DOUBLE / (60 + rank) FROM b),
 fu AS (SELECT query_id, chunk_id, round(sum(part), 12) AS score FROM parts GROUP BY ALL)"""
@@ -490,25 +501,49 @@ def choose_model(spark, sf_dir):
     return _asked_of_reports(spark, sf_dir).select("query_id", chosen["model"].alias("model"), chosen["reason"].alias("reason"))
 
 
-_PACK = f"""b AS ({_top("bm")}),
-h AS (SELECT b.query_id, b.rank, CAST(b.chunk_id AS VARCHAR) AS chunk_id, len('[chunk_id=' || b.chunk_id || ';company=' || coalesce(d.source, 'None') || ';year=2024;page=None;section=' || coalesce(d.lang, 'None') || ']') + 1 AS head, len(d.text) AS body
+def _pack(count, gap, most):
+    """A question's hits taken in rank order until the budget is used; count: SQL of a text's tokens."""
+    shown = f"least(body, {most} - used - gap - head)"
+    return f"""b AS ({_top("bm")}),
+h AS (SELECT b.query_id, b.rank, CAST(b.chunk_id AS VARCHAR) AS chunk_id, {count("'[chunk_id=' || b.chunk_id || ';company=' || coalesce(d.source, 'None') || ';year=2024;page=None;section=' || coalesce(d.lang, 'None') || ']' || chr(10)")} AS head, {count("d.text")} AS body
   FROM b JOIN documents d ON d.doc_id = b.chunk_id),
 p AS (
   SELECT DISTINCT query_id, 0 AS rank, 0 AS used, []::VARCHAR[] AS kept FROM h
   UNION ALL
   SELECT query_id, rank, CASE WHEN shown IS NULL THEN used ELSE used + gap + head + shown END, CASE WHEN shown IS NULL THEN kept ELSE list_append(kept, chunk_id) END FROM (
-    SELECT h.query_id, h.rank, used, gap, head, kept, chunk_id, CASE WHEN used >= 4000 THEN NULL WHEN head + body <= 4000 - used - gap THEN body WHEN least(body, 4000 - used - gap - head) > 0 THEN least(body, 4000 - used - gap - head) END AS shown
-    FROM (SELECT *, CASE WHEN len(kept) > 0 THEN 2 ELSE 0 END AS gap FROM p) p JOIN h ON h.query_id = p.query_id AND h.rank = p.rank + 1))"""
+    SELECT h.query_id, h.rank, used, gap, head, kept, chunk_id, CASE WHEN used >= {most} THEN NULL WHEN head + body <= {most} - used - gap THEN body WHEN {shown} > 0 THEN {shown} END AS shown
+    FROM (SELECT *, CASE WHEN len(kept) > 0 THEN {gap} ELSE 0 END AS gap FROM p) p JOIN h ON h.query_id = p.query_id AND h.rank = p.rank + 1)),
+t AS (SELECT query_id, count(*) AS n, sum(head + body) + {gap} * (count(*) - 1) AS before FROM h GROUP BY query_id)
+SELECT p.query_id, CAST(n AS INTEGER) AS chunks_before, CAST(len(kept) AS INTEGER) AS chunks_after, CAST(before AS BIGINT) AS tokens_before, CAST(used AS BIGINT) AS tokens_after, kept, used < before AS truncated, used / before::DOUBLE AS compression
+FROM p JOIN t ON t.query_id = p.query_id WHERE p.rank = t.n"""
 
 
-@query(f"""WITH RECURSIVE {_POSTINGS}, {_PACK}, t AS (SELECT query_id, count(*) AS n, sum(head + body) + 2 * (count(*) - 1) AS before FROM h GROUP BY query_id)
-SELECT p.query_id, CAST(n AS INTEGER) AS chunks_before, CAST(len(kept) AS INTEGER) AS chunks_after, CAST(before AS BIGINT) AS tokens_before, CAST(used AS BIGINT) AS tokens_after, kept, used < before AS truncated, used / before::DOUBLE AS compression
-FROM p JOIN t ON t.query_id = p.query_id WHERE p.rank = t.n""")
-def context_pack(spark, sf_dir):
+def _hits_to_pack(spark, sf_dir):
     found = chunks(spark, sf_dir)
-    hits = index.search(written(spark, sf_dir), asked(spark, sf_dir), TOP, W).drop("source").join(found, "chunk_id").select("query_id", "rank", "chunk_id", F.col("source").alias("company"), F.lit(2024).alias("year"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
-    packed = context.build(hits, asked(spark, sf_dir), top_k=TOP, max_tokens=4000)
-    return packed.select("query_id", "chunks_before", "chunks_after", "tokens_before", "tokens_after", "kept", "truncated", "compression")
+    hits = index.search(written(spark, sf_dir), asked(spark, sf_dir), TOP, W).drop("source").join(found, "chunk_id")
+    return hits.select("query_id", "rank", "chunk_id", F.col("source").alias("company"), F.lit(2024).alias("year"), F.lit(None).cast("int").alias("page"), F.col("lang").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+_PACKED = ("query_id", "chunks_before", "chunks_after", "tokens_before", "tokens_after", "kept", "truncated", "compression")
+
+
+@query(f"WITH RECURSIVE {_POSTINGS}, " + _pack(lambda text: f"len({text})", 2, 4000))
+def context_pack(spark, sf_dir):
+    return context.build(_hits_to_pack(spark, sf_dir), asked(spark, sf_dir), top_k=TOP, max_tokens=4000).select(*_PACKED)
+
+
+@query(f"WITH RECURSIVE {_POSTINGS}, " + _pack(lambda text: f"len(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+'))", 0, 700))
+def context_pack_words(spark, sf_dir):
+    return context.build(_hits_to_pack(spark, sf_dir), asked(spark, sf_dir), top_k=TOP, max_tokens=700, counter=counters.Words()).select(*_PACKED)
+
+
+@query()
+def context_pack_tokens(spark, sf_dir):
+    """With the tokens of a sentencepiece model."""
+    import public_tokenizers
+
+    counter = counters.SentencePiece.of(public_tokenizers.path("piece_bpe_32k.model"))
+    return context.build(_hits_to_pack(spark, sf_dir), asked(spark, sf_dir), top_k=TOP, max_tokens=1500, counter=counter).select(*_PACKED)
 
 
 @query("SELECT doc_id, CASE WHEN n % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")

@@ -51,6 +51,14 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(of(path), True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder, so that it appears at once; the folder above it is made."""
+    files, of = _files(spark, to)
+    files.mkdirs(of(to).getParent())
+    if not files.rename(of(path), of(to)):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def made_once(spark: SparkSession, path: str, make: Callable[[str], None]) -> str:
     """path, made by make(temporary path) unless it is there: the whole folder is renamed when it is complete.
 
