@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from evispark.operators import answering, retrieval, routing
+from evispark.sources import shared
 
 #: What a round costs, besides the two times and the two shares of loading a model (each in milliseconds).
 COUNTERS = ("dense_queries", "bm25_queries", "reranker_calls", "candidates_retrieved", "passages_reranked", "planner_input_tokens", "planner_output_tokens")
@@ -26,58 +30,82 @@ def summarize_usage(steps: DataFrame, by: Sequence[str] = ("policy", "query_id")
     return steps.groupBy(*by).agg(F.count("*").alias("rounds"), *sums, F.sum(wall_clock_ms()).alias("wall_ms"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder, so that a later round's plan doesn't hold the former ones'; as it is where no folder is set."""
-    context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if folder else df
+class Runs(NamedTuple):
+    """answers: policy and the columns of answers() and verify(), a row a policy and question; steps: a row a round of it; evidence: the hits it ended with."""
 
+    answers: DataFrame
+    steps: DataFrame
+    evidence: DataFrame
 
-def run_rounds(items: DataFrame, corpus: DataFrame, rounds: DataFrame, policies: Sequence[tuple[str, int]], minimum: float = 0.0, confirm: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answers, steps, evidence) of all questions under all policies: rounds are computed once and shared.
+
+def run_rounds(items: DataFrame, corpus: DataFrame, rounds: DataFrame, policies: Sequence[tuple[str, int]], minimum: float = 0.0, confirm: int = 2, path: str | None = None) -> Runs:
+    """Runs of all questions under all policies, kept under path: a table a round, a row a question.
 
     items: (query_id, query); corpus: scope(); rounds: hits by (query_id, round_index); policies: (policy, max_rounds).
     In each round a question's hits are merged with those it has; once its evidence has mixed up years and quarters, it is
-    prepared as escalated() does; then it is answered, verified and decided on. The driver only counts rounds: questions
-    that stop leave the next one. Answers have policy and the columns of answers() and verify(); questions that the route refuses have no steps.
+    prepared as escalated() does; then it is answered, verified and decided on. What a question finds and answers in a
+    round doesn't depend on the policy, which only says whether it goes on: a round is computed once for all policies that
+    still run, and its row holds their decisions. A round's table appears when it is complete, and a run that finds tables
+    under its path goes on after them, so a lost driver repeats one round. Refused questions end in round 0, without steps.
     """
-    routed = routing.route(items, corpus)
-    most = max(n for _, n in policies)
-    budget = items.sparkSession.createDataFrame([(p, n) for p, n in policies], "policy string, max_rounds int")
-    tasks = routed.crossJoin(F.broadcast(budget)).withColumnRenamed("query_id", "item_id")  # a stated list of policies
-    tasks = tasks.withColumn("query_id", F.concat_ws("\u001f", "policy", F.col("item_id").cast("string")))
-    refused, active = tasks.where("should_refuse"), tasks.where("not should_refuse").withColumn("mixed_up", F.lit(False))
-    plain = [c for c in tasks.columns]
-    none = rounds.limit(0).select(F.lit("").alias("query_id"), *HIT, F.lit(0).alias("rank"))
-    finals = [answering.answers(refused, _no_evidence(none)).withColumns({"round_index": F.lit(0), "assessment": F.lit("terminal_refusal"), "reasons": F.array("reason"), "confidence": F.lit(1.0), "selected_chunk_ids": F.array().cast("array<string>"), "action": F.lit("stop"), "action_reason": F.lit("terminal_refusal")})]
-    steps, evidence, held = [], [], none
-    for turn in range(1, most + 1):
-        new = rounds.where(F.col("round_index") == turn).withColumnRenamed("query_id", "item_id").join(active.select("item_id", "query_id"), "item_id").select("query_id", *HIT, "rank")
+    spark = items.sparkSession
+    path = path or shared.path_of(spark, "rounds", uuid.uuid4().hex)
+    none = rounds.limit(0).select("query_id", *HIT, F.lit(0).alias("rank"))
+    kind = rounds.select(F.struct(F.lit(0).alias("rank"), *HIT)).schema[0].dataType
+    pending = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(n).alias("max_rounds")) for p, n in policies))
+
+    def refuse(own: str) -> None:
+        routed = routing.route(items, corpus)
+        rows = answering.answers(routed.withColumn("mixed_up", F.lit(False)), _no_evidence(none))
+        rows = rows.withColumns({"assessment": F.lit("terminal_refusal"), "reasons": F.array("reason"), "confidence": F.lit(1.0), "selected_chunk_ids": F.array().cast("array<string>"), "round_index": F.lit(0)})
+        refused = F.struct(F.when(F.col("should_refuse"), "stop").otherwise("retrieve_more").alias("action"), F.lit("terminal_refusal").alias("reason"))
+        _decided(rows.withColumn("hits", F.array().cast(ArrayType(kind))), pending, lambda p: refused).write.parquet(own)
+
+    def one_round(own: str, turn: int) -> None:
+        before = spark.read.parquet(f"{path}/round-{turn - 1}").where(F.exists("decisions", lambda d: d["action"] != "stop"))
+        running = F.transform(F.filter("decisions", lambda d: d["action"] != "stop"), lambda d: F.struct(d["policy"].alias("policy"), d["max_rounds"].alias("max_rounds")))
+        active = before.select(*asked, "mixed_up", running.alias("pending"))
+        held = before.select("query_id", F.explode("hits").alias("h")).select("query_id", *(F.col(f"h.{c}").alias(c) for c in (*HIT, "rank")))
+        new = rounds.where(F.col("round_index") == turn).join(active.select("query_id"), "query_id", "left_semi").select("query_id", *HIT, "rank")
         merged = retrieval.merge(held, new)
-        flagged = active.select("query_id", "mixed_up")
-        calm = merged.join(flagged.where("not mixed_up").select("query_id"), "query_id", "left_semi")
-        merged = calm.unionByName(answering.escalated(merged.join(flagged.where("mixed_up").select("query_id"), "query_id", "left_semi"), active))
-        merged = kept(merged)
-        chosen = answering.evidence(active.select(*plain), merged, minimum)
-        judged = answering.verify(answering.answers(active, chosen), chosen, F.lit(turn), confirm)
-        judged = kept(judged.withColumn("decision", answering.decide(F.col("assessment"), F.col("policy"), F.lit(turn), F.col("max_rounds"))).withColumns({"action": F.col("decision.action"), "action_reason": F.col("decision.reason"), "round_index": F.lit(turn)}).drop("decision"))
-        ranked = merged.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("hits"))
-        steps.append(
-            judged.join(ranked, "query_id", "left").select(
-                "policy", F.col("item_id").alias("query_id"), "round_index", F.transform("hits", lambda h: h["chunk_id"]).alias("evidence_chunk_ids"), F.transform("hits", lambda h: h["score"]).alias("evidence_scores"),
-                F.col("status").alias("answer_status"), F.col("reason").alias("answer_reason"), F.col("assessment").alias("assessment_status"), F.col("reasons").alias("assessment_reasons"), "action", "action_reason",
-            )
-        )
-        done = judged.where("action = 'stop'")
-        finals.append(done.drop("mixed_up"))
-        evidence.append(merged.join(done.select("query_id", "policy", "item_id"), "query_id").select("policy", F.col("item_id").alias("query_id"), *HIT, "rank"))
-        quarter = F.col("mixed_up") | F.array_contains("reasons", "annual_quarter_mismatch")
-        active = judged.where("action <> 'stop'").select(*plain, quarter.alias("mixed_up"))
-        held = merged.join(active.select("query_id"), "query_id", "left_semi")
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(finals).drop("query_id").withColumnRenamed("item_id", "query_id"), union(steps), union(evidence)
+        if turn > 1:
+            flagged = active.where("mixed_up").select("query_id")
+            merged = merged.join(flagged, "query_id", "left_anti").unionByName(answering.escalated(merged.join(flagged, "query_id", "left_semi"), active))
+        merged.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *HIT))).alias("hits")).write.parquet(f"{own}-hits")
+        hits = spark.read.parquet(f"{own}-hits")
+        merged = hits.select("query_id", F.explode("hits").alias("h")).select("query_id", *(F.col(f"h.{c}").alias(c) for c in (*HIT, "rank")))
+        chosen = answering.evidence(active.select(*asked), merged, minimum)
+        judged = answering.verify(answering.answers(active, chosen), chosen, F.lit(turn), confirm).withColumn("round_index", F.lit(turn))
+        judged = judged.withColumn("mixed_up", F.col("mixed_up") | F.array_contains("reasons", "annual_quarter_mismatch"))
+        rows = judged.join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(ArrayType(kind))))
+        _decided(rows, F.col("pending"), lambda p: answering.decide(F.col("assessment"), p["policy"], F.lit(turn), p["max_rounds"])).drop("pending").write.parquet(own)
+        shared.delete(spark, f"{own}-hits")
+
+    shared.made_once(spark, f"{path}/round-0", refuse)
+    asked = [c for c in routing.route(items.limit(0), corpus).columns]
+    done = [spark.read.parquet(f"{path}/round-0")]
+    for turn in range(1, max(n for _, n in policies) + 1):
+        if done[-1].where(F.exists("decisions", lambda d: d["action"] != "stop")).isEmpty():
+            break
+        shared.made_once(spark, f"{path}/round-{turn}", lambda own, turn=turn: one_round(own, turn))
+        done.append(spark.read.parquet(f"{path}/round-{turn}"))
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    each = rows.withColumn("d", F.explode("decisions")).withColumns({"policy": F.col("d.policy"), "max_rounds": F.col("d.max_rounds"), "action": F.col("d.action"), "action_reason": F.col("d.reason")}).drop("d", "decisions")
+    ended = each.where("action = 'stop'")
+    steps = each.where("round_index > 0").select(
+        "policy", "query_id", "round_index", F.transform("hits", lambda h: h["chunk_id"]).alias("evidence_chunk_ids"), F.transform("hits", lambda h: h["score"]).alias("evidence_scores"),
+        F.col("status").alias("answer_status"), F.col("reason").alias("answer_reason"), F.col("assessment").alias("assessment_status"), F.col("reasons").alias("assessment_reasons"), "action", "action_reason",
+    )
+    evidence = ended.select("policy", "query_id", F.explode("hits").alias("h")).select("policy", "query_id", *(F.col(f"h.{c}").alias(c) for c in (*HIT, "rank")))
+    return Runs(ended.drop("hits", "mixed_up"), steps, evidence)
+
+
+def _decided(rows: DataFrame, pending: Column, decide: Callable[[Column], Column]) -> DataFrame:
+    """rows with decisions: those of each pending policy on its question."""
+    one = lambda p: F.struct(p["policy"].alias("policy"), p["max_rounds"].alias("max_rounds"), decide(p)["action"].alias("action"), decide(p)["reason"].alias("reason"))
+    return rows.withColumn("decisions", F.transform(pending, one))
 
 
 def _no_evidence(hits: DataFrame) -> DataFrame:

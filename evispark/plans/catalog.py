@@ -384,7 +384,8 @@ def _loop(spark, sf_dir):
     first = F.when((F.col("k") % 2 == 0) == F.col("chunk_id").endswith(":0001"), 1).otherwise(2)
     rounds = own.select("query_id", "chunk_id", "document_id", "company", F.col("year").cast("int").alias("year"), "section", "page", "text", F.lit(1.0).alias("score"), F.lit("reranker").alias("source"), F.lit(1).alias("rank"), first.alias("round_index"))
     policies = ((answering.STATIC, 1), (answering.ALWAYS, 3), (answering.ADAPTIVE, 3))
-    found, steps, evidence = loop.run_rounds(asked_.select("query_id", "query"), routing.scope(reports), rounds, policies)
+    made_of = [shared.version(table(spark, sf_dir, t)) for t in ("orders", "customer", "nation")]
+    found, steps, evidence = loop.run_rounds(asked_.select("query_id", "query"), routing.scope(reports), rounds, policies, path=shared.path_of(spark, "rounds", *made_of, policies))
     label = asked_.join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"])
     answerable = F.col("query_id").startswith("a")
     gold = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"), F.lit(":0000"))

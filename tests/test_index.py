@@ -33,8 +33,10 @@ def rows_of(df):
     return sorted((r.query_id, r.chunk_id, round(r.score, 5), r.rank) for r in df.collect())
 
 
-@pytest.mark.parametrize("first", [1, 3, 100])
-def test_index_finds_what_a_full_search_finds(spark, corpus, questions, tmp_path, first):
+@pytest.mark.parametrize(("first", "pairs"), [(2, 10_000), (100, 3)])
+def test_index_finds_what_a_full_search_finds(spark, corpus, questions, tmp_path, monkeypatch, first, pairs):
+    monkeypatch.setattr(index, "PAIRS", pairs)
+    monkeypatch.setattr(index, "ASKED", 120)  # several passes
     index.write(corpus, f"{tmp_path}/i", keys=("lang", "document_id"), per_range=9)
     found = index.read(spark, f"{tmp_path}/i")
     assert found.ranges == 49
