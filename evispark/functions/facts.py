@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evispark.functions.text import has_any, let, normalize, squeeze, strip
+from evispark.functions.text import let, normalize, squeeze, strip
 
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 UNITS = "千元|万元|亿元|元/股|元|人"
@@ -47,21 +49,16 @@ ATTRIBUTES = ("女性", "博士", "硕士")
 SEGMENTS = ("储能电池系统", "动力电池系统", "智慧教育业务", "智慧医疗业务", "新能源汽车业务", "主业产品及服务", "智能家居业务")
 
 
-def by_fact(name: Column, value) -> Column:
-    """value(fact) for the fact of that name; each is a plan-time literal, so patterns are compiled once."""
-    out = None
-    for fact in FACTS:
-        out = F.when(name == fact.name, value(fact)) if out is None else out.when(name == fact.name, value(fact))
-    return out
+def by_fact(name: Column, value: Callable[[Fact], object], kind: str = "string") -> Column:
+    """value(fact), a constant, for the fact of that name: looked up in one map, so that plans hold no branch a fact."""
+    known = {f.name: v for f in FACTS if (v := value(f)) is not None}
+    return F.try_element_at(F.from_json(F.lit(json.dumps(known)), f"map<string, {kind}>"), name)
 
 
 def fact_of(query: Column) -> Column:
     """The first fact one of whose keywords is in the question without white space; else null."""
-    plain, out = squeeze(query), None
-    for fact in FACTS:
-        hit = has_any(plain, fact.keywords)
-        out = F.when(hit, fact.name) if out is None else out.when(hit, fact.name)
-    return out
+    known = F.from_json(F.lit(json.dumps([{"name": f.name, "keywords": f.keywords} for f in FACTS])), "array<struct<name: string, keywords: array<string>>>")
+    return let(squeeze(query), lambda plain: F.get(F.filter(known, lambda f: F.exists(f["keywords"], lambda k: F.contains(plain, k))), 0)["name"])
 
 
 def _pattern(fact: Fact) -> str:
@@ -99,27 +96,27 @@ def extract(passage: Column, name: Column) -> Column:
         )
         return F.when(start > 0, found)
 
-    given = F.struct(normalize(passage).alias("text"), by_fact(name, lambda f: F.lit(_pattern(f))).alias("pattern"), by_fact(name, lambda f: F.lit(f.unit)).alias("unit"))
+    given = F.struct(normalize(passage).alias("text"), by_fact(name, _pattern).alias("pattern"), by_fact(name, lambda f: f.unit).alias("unit"))
     return let(given, lambda x: let(matched(x), value))
 
 
 def marker_hits(passage: Column, name: Column) -> Column:
     """How many of the fact's markers the passage holds."""
-    markers = F.coalesce(by_fact(name, lambda f: F.array(*map(F.lit, f.markers)).cast("array<string>")), F.array().cast("array<string>"))
+    markers = F.coalesce(by_fact(name, lambda f: f.markers, "array<string>"), F.array().cast("array<string>"))
     return let(normalize(passage), lambda text: F.size(F.filter(markers, lambda m: text.contains(m))))
 
 
 def constraints_of(query: Column, name: Column) -> Column:
     """The qualifiers that the question names, in order, each with the widest gap to the fact's label (term, width)."""
-    plain = squeeze(query)
-    staff = name.isin("technical_employees", "rnd_staff")
-    terms = [(t, 40, F.lit(True)) for t in REGIONS] + [(t, 8, staff) for t in ATTRIBUTES] + [(t, 12, F.lit(True)) for t in SEGMENTS]
-    return F.array_compact(F.array(*(F.when(plain.contains(t) & fits & name.isNotNull(), F.struct(F.lit(t).alias("term"), F.lit(width).alias("width"))) for t, width, fits in terms)))
+    terms = [(t, 40, False) for t in REGIONS] + [(t, 8, True) for t in ATTRIBUTES] + [(t, 12, False) for t in SEGMENTS]
+    known = F.from_json(F.lit(json.dumps([{"term": t, "width": w, "staff": s} for t, w, s in terms])), "array<struct<term: string, width: int, staff: boolean>>")
+    staff = F.coalesce(name.isin("technical_employees", "rnd_staff"), F.lit(False))
+    return let(squeeze(query), lambda plain: F.filter(known, lambda t: F.contains(plain, t["term"]) & (staff | ~t["staff"]) & name.isNotNull()))
 
 
 def entails(passage: Column, query: Column, name: Column) -> Column:
     """Whether the passage holds, near the fact's label, every qualifier that the question names."""
-    label = by_fact(name, lambda f: F.lit(f.label))
+    label = by_fact(name, lambda f: f.label)
 
     def holds(text: Column) -> Column:
         gap = lambda c: F.concat(F.lit(".{0,"), c["width"].cast("string"), F.lit("}"))

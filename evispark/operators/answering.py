@@ -38,12 +38,17 @@ def decimals_of(value_text: Column) -> Column:
     return F.length(F.regexp_extract(value_text, r"^-?[\d,]*\.(\d+)", 1))
 
 
+def _fact(routed: DataFrame) -> Column:
+    """What a question asks for: a column of routed where that has been found out before."""
+    return F.col("fact") if "fact" in routed.columns else fact_of(F.col("query"))
+
+
 def evidence(routed: DataFrame, hits: DataFrame, minimum: float = 0.0, enforce: bool = True) -> DataFrame:
     """The best extracted value of each (query_id, year): most section markers, then the first page, the score, the first rank.
 
     routed comes from route(), hits are (query_id, chunk_id, document_id, company, year, page, section, text, score, rank, source).
     """
-    rows = hits.join(routed.select("query_id", "query", "companies", "years", "should_refuse"), "query_id").withColumn("fact", fact_of(F.col("query")))
+    rows = hits.join(routed.select("query_id", "query", "companies", "years", "should_refuse", *(["fact"] if "fact" in routed.columns else [])), "query_id").withColumn("fact", _fact(routed))
     rows = rows.where(~F.col("should_refuse") & F.col("fact").isNotNull())
     rows = rows.where((F.size("companies") == 0) | F.array_contains("companies", F.col("company")))
     rows = rows.where((F.size("years") == 0) | F.array_contains("years", F.col("year").cast("int")))
@@ -69,7 +74,7 @@ def answers(routed: DataFrame, found: DataFrame) -> DataFrame:
     """routed with status, answer (of a refusal, its message), reason, citations, calculation; found comes from evidence()."""
     one = F.struct("year", "value_text", "numeric_value", "unit", "chunk_id", "document_id", "company", "page", "quote")
     by = found.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("values"))
-    rows = routed.join(by, "query_id", "left").withColumn("fact", fact_of(F.col("query")))
+    rows = routed.join(by, "query_id", "left").withColumn("fact", _fact(routed))
     values, first, last = F.col("values"), F.col("values")[0], F.element_at("values", -1)
     several = F.coalesce(F.size("values") > 1, F.lit(False))
     missing = F.size(F.array_except("years", F.coalesce(F.transform("values", lambda v: v["year"].cast("int")), F.array().cast("array<int>")))) > 0
@@ -106,7 +111,7 @@ def cites_quarter(section: Column, text: Column, quote: Column, fact: Column) ->
     """Whether the last heading before the cited label is a quarter's; without the label, the last one in section and quote."""
     plain = normalize(text)
     start = F.instr(plain, quote)
-    label = by_fact(fact, lambda f: F.regexp_instr(quote, F.lit("(?U)" + f.label)))
+    label = F.call_function("regexp_instr", quote, by_fact(fact, lambda f: "(?U)" + f.label))
     context = F.when((start > 0) & (label > 0), F.substring(plain, F.lit(1), start + label - 2)).otherwise(F.concat_ws(" ", section, quote))
     return last_position(context, QUARTER) > last_position(context, ANNUAL)
 

@@ -16,6 +16,7 @@ from evispark.sources import shared
 #: What a round costs, besides the two times and the two shares of loading a model (each in milliseconds).
 COUNTERS = ("dense_queries", "bm25_queries", "reranker_calls", "candidates_retrieved", "passages_reranked", "planner_input_tokens", "planner_output_tokens")
 TIMES = ("retrieval_ms", "rerank_ms", "embedding_load_ms", "reranker_load_ms")
+QUESTION = ("query_id", "query", "companies", "years", "requested_company", "requires_calculation", "refusal_reason", "task_type", "should_refuse", "message", "fact")
 HIT = ("chunk_id", "document_id", "company", "year", "page", "section", "text", "score", "source")
 
 
@@ -82,8 +83,8 @@ def run_rounds(items: DataFrame, corpus: DataFrame, rounds: DataFrame, policies:
         shared.delete(spark, f"{own}-hits")
 
     shared.made_once(spark, f"{path}/round-0", refuse)
-    asked = [c for c in routing.route(items.limit(0), corpus).columns]
     done = [spark.read.parquet(f"{path}/round-0")]
+    asked = [c for c in done[0].columns if c in QUESTION]
     for turn in range(1, max(n for _, n in policies) + 1):
         if done[-1].where(F.exists("decisions", lambda d: d["action"] != "stop")).isEmpty():
             break

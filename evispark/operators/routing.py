@@ -98,7 +98,7 @@ def expand(query: Column) -> Column:
 
 def rewrite(query: Column, years: Column, round_index: Column, mismatch: Column | None = None) -> Column:
     """The question of a round: as it is in the first; with field, annual and (from the third) statement words later."""
-    field = by_fact(fact_of(query), lambda f: F.lit(FIELD_ANCHORS.get(f.name, "年度报告 财务指标")))
+    field = by_fact(fact_of(query), lambda f: FIELD_ANCHORS.get(f.name, "年度报告 财务指标"))
     more = F.concat_ws(
         " ", query, F.coalesce(field, F.lit("年度报告")),
         F.when((F.size(years) > 0) & ~query.contains("季度"), ANNUAL_WORDS),

@@ -274,6 +274,13 @@ asked AS (
 
 
 def _figures(spark, sf_dir):
+    """Each nation's orders by year, summed once and kept in the shared folder until the tables change: a row a nation and year."""
+    version = [shared.version(table(spark, sf_dir, t)) for t in ("orders", "customer", "nation")]
+    path = shared.made_once(spark, shared.path_of(spark, "figures", *version), lambda own: _sums(spark, sf_dir).coalesce(1).write.parquet(own))
+    return spark.read.schema("k int, r int, y int, v long, staff long, company string").parquet(path)
+
+
+def _sums(spark, sf_dir):
     orders, customers, nations = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     sums = rows.groupBy(F.col("c_nationkey").alias("k"), F.col("n_regionkey").alias("r"), F.year("o_orderdate").alias("y")).agg(F.floor(F.sum(F.col("o_totalprice").cast("decimal(28,2)"))).cast("long").alias("v"), F.count("*").alias("staff"))
