@@ -164,12 +164,11 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     """
     documents = chunks.select("document_id", "company", "year").distinct()
     may = routing.allowed(queries, documents)
-    free = may.where("document_id is null").select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"))
-    pairs = may.join(chunks.select("document_id", "chunk_id"), "document_id").select("query_id", "chunk_id").union(free)
-    rankings = [retrieval.bm25(chunks, queries.withColumn("query", routing.expand(F.col("query"))), candidates, allowed=pairs)]
+    rankings = [retrieval.bm25(chunks, queries.withColumn("query", routing.expand(F.col("query"))), candidates, allowed=may)]
     weights = [bm25_weight]
     if vectors is not None:
-        rankings, weights = [retrieval.dense(vectors, queries.select("query_id", "query_vector"), candidates, allowed=pairs), *rankings], [1.0, *weights]
+        placed = vectors.select("chunk_id", "vector").join(chunks.select("chunk_id", "document_id"), "chunk_id")
+        rankings, weights = [retrieval.dense(placed, queries.select("query_id", "query_vector"), candidates, allowed=may), *rankings], [1.0, *weights]
     fused = retrieval.fuse(rankings, candidates, weights).where(F.col("rank") <= reranked)
     hits = fused.join(queries.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
     ranked = retrieval.rerank(hits, scorer if scorer is not None else retrieval.overlap(F.col("query"), F.col("text")), top_k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions.facts import by_fact, fact_of
-from evispark.functions.text import has_any, squeeze, strip
+from evispark.functions.text import has_any, let, squeeze, strip
 
 #: Words that ask for a comparison, and polite openings of a question (fixed values).
 CALCULATION = ("同比", "增长", "下降", "增加", "减少", "差额", "变化", "高出", "低于", "相差")
@@ -76,12 +76,14 @@ def allowed(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, document_id) that a question's companies (as written) and years (digits around allowed) leave.
 
     A question that names neither, or to which no document is left, has one row with a null document_id: all are allowed.
-    documents: one row (document_id, company, year) each. Companies are few next to documents; Spark's size check
-    decides how the names are looked for, and documents are joined by company and by year.
+    documents: one row (document_id, company, year) each. Names meet questions by their first two characters, which a
+    question has as many of as it has characters, and documents are joined by company and by year.
     """
     years = F.transform(F.regexp_extract_all("query", F.lit(r"((?:19|20)\d{2})"), F.lit(1)), lambda y: y.cast("int"))
     asked = queries.select("query_id", "query", F.array_distinct(years).alias("__years"))
-    named = asked.join(documents.select("company").where("company <> ''").distinct(), F.col("query").contains(F.col("company"))).select("query_id", "__years", "company")
+    pairs = let(F.split("query", ""), lambda c: F.array_distinct(F.concat(c, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 2), "")))))
+    names = documents.select("company", F.left("company", F.lit(2)).alias("__start")).where("company <> ''").distinct()
+    named = asked.select("*", F.explode(pairs).alias("__start")).join(names, "__start").where(F.col("query").contains(F.col("company"))).select("query_id", "__years", "company")
     dated = F.size("__years") > 0
     in_year = F.array_contains("__years", F.col("year").cast("int"))
     by_company = named.join(documents, "company").where(~dated | in_year).select("query_id", "document_id")

@@ -60,24 +60,35 @@ def repeated_texts(rows: DataFrame, key: str) -> DataFrame:
 _BREAKS = r"[ \t\n\x0b\f\r]+"
 #: Words of a passage's inside that texts are looked up by.
 INSIDE = 5
+#: Characters that a passage without an inside is looked up by.
+GRAM = 3
 
 
 def leaks(rows: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, documents): for each passage, how many texts hold it.
 
     A text that holds a passage holds its words but the first and last whole, one after the other. So texts and passages
-    meet by the hash of the passage's first INSIDE inner words, or of its first inner word where there are fewer, and only what meets is
-    compared. Passages of one or two words are compared with all texts: a join without a key, of those alone.
+    meet by the hash of the passage's first INSIDE inner words, or of its first inner word where there are fewer; passages
+    of one or two words meet texts by their first three characters. What is exploded is a text's digest and keys; the
+    texts themselves are read again for the digests that met, and compared.
     """
     inner = F.slice(F.split("passage", _BREAKS), 2, F.greatest(F.size(F.split("passage", _BREAKS)) - 2, F.lit(0)))
-    known = passages.where("passage <> ''").withColumn("__inner", inner).withColumn("__width", F.when(F.size("__inner") >= INSIDE, INSIDE).when(F.size("__inner") > 0, 1).otherwise(0))
-    keyed = known.where("__width > 0").select("item_id", "passage", F.xxhash64("__width", F.slice("__inner", 1, F.col("__width"))).alias("__key"))
-    windows = lambda words, w: F.when(F.size(words) >= w, F.transform(F.sequence(F.lit(1), F.size(words) - w + 1), lambda i: F.xxhash64(F.lit(w), F.slice(words, i, w)))).otherwise(F.array().cast("array<long>"))
-    keys = let(F.split("text", _BREAKS), lambda words: F.array_distinct(F.concat(*(windows(words, w) for w in (INSIDE, 1)))))
-    texts = rows.select("text", F.xxhash64(F.monotonically_increasing_id()).alias("__row"))
-    met = texts.select("text", "__row", F.explode(keys).alias("__key")).join(keyed, "__key").where(F.col("text").contains(F.col("passage"))).select("item_id", "__row").distinct()
-    short = texts.join(known.where("__width = 0").select("item_id", "passage"), F.col("text").contains(F.col("passage"))).select("item_id", "__row")
-    return passages.select("item_id").join(met.union(short), "item_id", "left").groupBy("item_id").agg(F.count("__row").alias("documents"))
+    known = passages.where("passage <> ''").withColumn("__inner", inner).withColumn("__width", F.when(F.size("__inner") >= INSIDE, INSIDE).when(F.size("__inner") > 0, 1).otherwise(-F.least(F.length("passage"), F.lit(GRAM))))
+    key = F.when(F.col("__width") > 0, F.xxhash64("__width", F.slice("__inner", 1, F.greatest("__width", F.lit(1))))).otherwise(F.xxhash64("__width", F.left("passage", F.greatest(-F.col("__width"), F.lit(1)))))
+    keyed = known.select("item_id", "passage", key.alias("__key"))
+    widths = sorted(r[0] for r in known.select("__width").distinct().collect())  # five at most
+    none = F.array().cast("array<long>")
+    every = lambda parts, w, of: F.when(F.size(parts) >= w, F.transform(F.sequence(F.lit(1), F.size(parts) - w + 1), lambda i: of(F.slice(parts, i, w)))).otherwise(none)
+    by_words = [lambda words, w=w: every(words, w, lambda x: F.xxhash64(F.lit(w), x)) for w in widths if w > 0]
+    by_characters = [lambda letters, w=w: every(letters, -w, lambda x: F.xxhash64(F.lit(w), F.array_join(x, ""))) for w in widths if w < 0]
+    parts = [let(F.split("text", _BREAKS), lambda words: F.concat(*(f(words) for f in by_words)))] if by_words else []
+    parts += [let(F.split("text", ""), lambda letters: F.concat(*(f(letters) for f in by_characters)))] if by_characters else []
+    if not parts:
+        return passages.select("item_id", F.lit(0).cast("long").alias("documents")).distinct()
+    texts = rows.where(F.col("text").isNotNull()).select("text", F.sha2("text", 256).alias("__digest"))
+    met = texts.select("__digest", F.explode(F.array_distinct(F.concat(*parts))).alias("__key")).join(keyed, "__key").select("__digest", "item_id", "passage").distinct()
+    held = texts.join(met, "__digest").where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return passages.select("item_id").distinct().join(held, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 def positions(rows: DataFrame, key: str) -> DataFrame:

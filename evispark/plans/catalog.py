@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import counters, facts, text
-from evispark.operators import answering, chunking, context, datasets, encoding, index, ledger, loop, metrics, retrieval, routing, training, vectors
+from evispark.operators import answering, chunking, context, datasets, encoding, index, ledger, loop, metrics, replays, retrieval, routing, training, vectors
 from evispark.sources import shared
 
 QUERIES: dict = {}
@@ -383,8 +383,11 @@ def verify_evidence(spark, sf_dir):
     return judged.select("query_id", "assessment", F.array_join("reasons", ",").alias("reasons"), F.col("confidence").cast("double").alias("confidence"), F.array_join("selected_chunk_ids", ",").alias("selected"))
 
 
-def _loop(spark, sf_dir):
-    """The questions for a year's revenue, abroad or not, under the three policies. Nations of an even number find only the quarter's passage at first."""
+def _looped(spark, sf_dir):
+    """The questions for a year's revenue, abroad or not, with their runs under the three policies. Nations of an even number find only the quarter's passage at first.
+
+    The run is kept in the shared folder and shared by all that ask for it.
+    """
     asked_ = _asked_of_reports(spark, sf_dir).where("query_id like 'a%' or query_id like 'e%'")
     reports = _reports(spark, sf_dir)
     own = asked_.join(reports.withColumnRenamed("year", "y").drop("r"), ["k", "y"]).withColumnRenamed("y", "year")
@@ -392,7 +395,12 @@ def _loop(spark, sf_dir):
     rounds = own.select("query_id", "chunk_id", "document_id", "company", F.col("year").cast("int").alias("year"), "section", "page", "text", F.lit(1.0).alias("score"), F.lit("reranker").alias("source"), F.lit(1).alias("rank"), first.alias("round_index"))
     policies = ((answering.STATIC, 1), (answering.ALWAYS, 3), (answering.ADAPTIVE, 3))
     made_of = [shared.version(table(spark, sf_dir, t)) for t in ("orders", "customer", "nation")]
-    found, steps, evidence = loop.run_rounds(asked_.select("query_id", "query"), routing.scope(reports), rounds, policies, path=shared.path_of(spark, "rounds", *made_of, policies))
+    return asked_, loop.run_rounds(asked_.select("query_id", "query"), routing.scope(reports), rounds, policies, path=shared.path_of(spark, "rounds", *made_of, policies))
+
+
+def _details(spark, sf_dir):
+    """The run's answers next to their labels."""
+    asked_, run = _looped(spark, sf_dir)
     label = asked_.join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"])
     answerable = F.col("query_id").startswith("a")
     gold = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"), F.lit(":0000"))
@@ -400,7 +408,7 @@ def _loop(spark, sf_dir):
         "query_id", F.when(answerable, "answerable_dev").otherwise("hard_no_answer_dev").alias("group"), F.when(answerable, F.concat(_plain("v"), F.lit("千元"))).alias("expected"),
         F.when(answerable, F.array(gold)).otherwise(F.array().cast("array<string>")).alias("gold"), F.when(answerable, F.array((F.col("k") + 10).cast("int"))).otherwise(F.array().cast("array<int>")).alias("pages"),
     )
-    return found, steps, loop.details(found, evidence, labels)
+    return loop.details(run.answers, run.evidence, labels)
 
 
 _LOOP = f"""{_CORPUS}, policies(policy, most) AS (VALUES ('static_rag', 1), ('always_agentic', 3), ('adaptive_budget_aware', 3)),
@@ -412,8 +420,7 @@ runs AS (
 
 @query(f"WITH {_LOOP} SELECT policy, query_id, rounds, answer FROM runs")
 def policy_rounds(spark, sf_dir):
-    found, _, _ = _loop(spark, sf_dir)
-    return found.select("policy", "query_id", F.col("round_index").alias("rounds"), "answer")
+    return _looped(spark, sf_dir)[1].answers.select("policy", "query_id", F.col("round_index").alias("rounds"), "answer")
 
 
 @query(f"""WITH {_LOOP}, s AS (SELECT *, unnest(range(1, rounds + 1)) AS round_index FROM runs)
@@ -421,13 +428,13 @@ SELECT policy, query_id, CAST(round_index AS INTEGER) AS round_index, CASE WHEN
   CASE WHEN starts_with(query_id, 'e') AND round_index = 2 THEN 'terminal_refusal' WHEN round_index = CASE policy WHEN 'static_rag' THEN 1 ELSE 3 END THEN 'round_budget_exhausted'
        WHEN policy = 'always_agentic' THEN 'always_agentic_forced_escalation' WHEN round_index < rounds THEN 'evidence_insufficient' ELSE 'adaptive_evidence_sufficient' END AS action_reason FROM s""")
 def trajectory_steps(spark, sf_dir):
-    return _loop(spark, sf_dir)[1].select("policy", "query_id", "round_index", "action", "action_reason")
+    return _looped(spark, sf_dir)[1].steps.select("policy", "query_id", "round_index", "action", "action_reason")
 
 
 @query(f"""WITH {_LOOP} SELECT policy, rounds, CAST(rounds * 10 AS BIGINT) AS passages_reranked, CAST(rounds AS BIGINT) AS reranker_calls, rounds * 4.0::DOUBLE AS wall_ms, count(*) AS tasks FROM runs GROUP BY ALL""")
 def trajectory_usage(spark, sf_dir):
     cost = {c: F.lit(1) for c in loop.COUNTERS} | {"passages_reranked": F.lit(10), "cost_usd": F.lit(0.0)} | {c: F.lit(1.0) for c in loop.TIMES}
-    usage = loop.summarize_usage(_loop(spark, sf_dir)[1].withColumns(cost))
+    usage = loop.summarize_usage(_looped(spark, sf_dir)[1].steps.withColumns(cost))
     return usage.groupBy("policy", F.col("rounds").cast("int").alias("rounds"), F.col("passages_reranked").cast("long").alias("passages_reranked"), F.col("reranker_calls").cast("long").alias("reranker_calls"), "wall_ms").agg(F.count("*").alias("tasks"))
 
 
@@ -435,7 +442,49 @@ def trajectory_usage(spark, sf_dir):
 g AS (SELECT policy, count(*) FILTER (WHERE open) AS n, count(*) FILTER (WHERE open AND good) AS ok, count(*) FILTER (WHERE NOT open) AS m FROM d GROUP BY policy)
 SELECT policy, n AS answerable_questions, ok / n::DOUBLE AS exact_answer_accuracy, ok / n::DOUBLE AS all_gold_evidence_recall, ok / n::DOUBLE AS citation_chunk_precision, ok / n::DOUBLE AS citation_page_set_accuracy, m AS hard_no_answer_questions, 1.0::DOUBLE AS hard_no_answer_refusal_accuracy FROM g""")
 def quality_metrics(spark, sf_dir):
-    return metrics.quality(_loop(spark, sf_dir)[2])
+    return metrics.quality(_details(spark, sf_dir))
+
+
+def _labelled_questions(spark, sf_dir):
+    """Questions for a year's revenue with the answer and the gold passage: of every fifth nation a wrong one, the quarter's."""
+    asked_, run = _looped(spark, sf_dir)
+    chunk = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"), F.when(F.col("k") % 5 == 0, ":0001").otherwise(":0000"))
+    rows = asked_.where("query_id like 'a%'").join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"])
+    return rows.select("query_id", "query", F.concat(_plain("v"), F.lit("千元")).alias("expected"), F.array(chunk).alias("relevant_chunk_ids")), run
+
+
+def _lost(spark, sf_dir):
+    items, run = _labelled_questions(spark, sf_dir)
+    static = F.col("policy") == answering.STATIC
+    return replays.losses(items, replays.on_gold(items, _reports(spark, sf_dir)), run.answers.where(static), run.evidence.where(static))
+
+
+_LOST = f"""{_CORPUS}, lost AS (SELECT 'a' || k || '-' || y AS query_id, k % 5 <> 0 AS oracle_exact, k % 2 = 1 AS path_exact, CASE WHEN k % 2 = 1 THEN 'none' WHEN k % 5 = 0 THEN 'extraction' ELSE 'retrieval' END AS loss FROM corp)"""
+
+
+@query(f"WITH {_LOST} SELECT query_id, 'answered' AS oracle_status, oracle_exact, path_exact, loss FROM lost")
+def oracle_extraction(spark, sf_dir):
+    return _lost(spark, sf_dir)
+
+
+@query(f"""WITH {_LOST} SELECT count(*) AS questions, 1.0::DOUBLE AS answer_rate, avg(oracle_exact::INTEGER) AS exact_answer_accuracy, avg(path_exact::INTEGER) AS path_accuracy, count(*) FILTER (WHERE loss = 'routing') AS lost_routing,
+ count(*) FILTER (WHERE loss = 'extraction') AS lost_extraction, count(*) FILTER (WHERE loss = 'retrieval') AS lost_retrieval, count(*) FILTER (WHERE loss = 'selection') AS lost_selection FROM lost""")
+def oracle_summary(spark, sf_dir):
+    return replays.summary(_lost(spark, sf_dir))
+
+
+@query(f"""WITH {_CORPUS}, e AS (SELECT 'a' || k || '-' || y AS query_id, 'r' || k || '-' || y || ':000' AS c, * FROM corp WHERE k % 2 = 0),
+d AS (SELECT query_id, 'answer' AS path, format('{{:,}}', v // 4) || '元' AS "before", format('{{:,}}', v) || '千元' AS "after" FROM e
+  UNION ALL SELECT query_id, 'citations[' || c || '1].chunk_id', c || '1', NULL FROM e UNION ALL SELECT query_id, 'citations[' || c || '1].page', '5', NULL FROM e
+  UNION ALL SELECT query_id, 'citations[' || c || '0].chunk_id', NULL, c || '0' FROM e UNION ALL SELECT query_id, 'citations[' || c || '0].page', NULL, CAST(k + 10 AS VARCHAR) FROM e)
+SELECT query_id, path, CASE WHEN "before" IS NULL THEN 'added' WHEN "after" IS NULL THEN 'removed' ELSE 'changed' END AS change, "before", "after" FROM d""")
+def answer_replay_diff(spark, sf_dir):
+    """The static run's saved answers against those of the adaptive run's saved passages, answered again."""
+    asked_, run = _looped(spark, sf_dir)
+    again = replays.answered_again(run.steps.where(F.col("policy") == answering.ADAPTIVE), asked_, _reports(spark, sf_dir))
+    told = lambda rows: rows.select("query_id", "status", "reason", "answer", F.transform("citations", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["page"].alias("page"))).alias("citations"))
+    saved = run.answers.where((F.col("policy") == answering.STATIC))
+    return replays.differences(told(saved), told(again), ["query_id"], ["status", "reason", "answer", "citations"])
 
 
 @query(f"""WITH {_CORPUS}, s AS (SELECT query_id, kind = 'out_of_scope' AS refused FROM asked)
