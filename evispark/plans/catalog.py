@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,17 +91,6 @@ def bm25_filtered_topk(spark, sf_dir):
     return index.search(written(spark, sf_dir), asked(spark, sf_dir), TOP, W, where=F.col("lang").eqNullSafe("en")).select("query_id", "chunk_id", "score", "rank")
 
 
-_TEXTS = ("营业收入", "RAG 2025 16.12", "研", "甲公司2024年研发投入", "归属于上市公司股东的净利润")
-
-
-@query("""SELECT * FROM (VALUES
- ('营业收入', ['营','业','收','入','营业','业收','收入','营业收入']), ('RAG 2025 16.12', ['rag','2025','16.12']), ('研', ['研','研']),
- ('甲公司2024年研发投入', ['甲','公','司','甲公','公司','甲公司','2024','年','研','发','投','入','年研','研发','发投','投入','年研发投入']),
- ('归属于上市公司股东的净利润', ['归','属','于','上','市','公','司','股','东','的','净','利','润','归属','属于','于上','上市','市公','公司','司股','股东','东的','的净','净利','利润'])) t(text, tokens)""")
-def cjk_tokenize(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _TEXTS], "text string").select("text", text.tokenize(F.col("text")).alias("tokens"))
-
-
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label", (F.col("label") % 2).alias("group"))
 
@@ -327,6 +318,52 @@ def _answered(spark, sf_dir):
     return routed, chosen, answering.answers(routed, chosen)
 
 
+_PASSAGES = """passages AS (
+  SELECT 'r' || k || '-' || y || ':0000' AS chunk_id, '主要会计数据和财务指标 单位：千元 营业收入 ' || format('{:,}', v) || ' 公司员工情况 技术人员 ' || format('{:,}', staff) AS text FROM corp
+  UNION ALL SELECT 'r' || k || '-' || y || ':0001', '分季度主要财务指标 第一季度 营业收入 ' || format('{:,}', v // 4) FROM corp)"""
+
+
+@query(f"WITH {_CORPUS}, {_PASSAGES} SELECT chunk_id, {_TOKENS.format('text')} AS tokens FROM passages")
+def cjk_tokenize(spark, sf_dir):
+    """Chinese passages: runs give their characters, bigrams and, if short, themselves, and numbers their parts."""
+    return _reports(spark, sf_dir).select("chunk_id", text.tokenize(F.col("text")).alias("tokens"))
+
+
+#: For each fact a question's words, what a passage says of it, and what the value is as written; {} is a number with commas (made for the tests of the rules).
+_SAYINGS = {
+    "revenue": ("营业收入", "主要会计数据和财务指标 单位：千元 营业收入 {} 其他", "{}千元", "千元"),
+    "net_profit": ("净利润", "单位：万元 归属于上市公司股东的净利润 {}", "{}万元", "万元"),
+    "operating_cash_flow": ("经营活动产生的现金流量净额", "经营活动产生的现金 流量净额（亿元） {}", "{}亿元", "亿元"),
+    "basic_eps": ("基本每股收益", "基本每股收 益 {}", "{}元/股", "元/股"),
+    "roe": ("加权平均净资产收益率", "加权平均净资产收益 率 {}%", "{}%", "%"),
+    "total_assets": ("总资产", "单位：元 资产总 额 {}", "{}元", "元"),
+    "net_assets": ("归属于上市公司股东的净资产", "归属于上市公司股东 的净资产 {}", "{}元", "元"),
+    "rnd_ratio": ("研发投入占营业收入比例", "研发投入占营业收入比例 {}%", "{}%", "%"),
+    "rnd_staff": ("研发人员数量", "公司研发人员情况 研发人员数量（人） {}", "{}人", "人"),
+    "rnd_amount": ("研发投入金额", "近三年公司研发投入金额 研发投入金额（元） {}", "{}元", "元"),
+    "employees_total": ("在职员工总数", "公司员工情况 报告期末在职员工的数量合计（人） {}", "{}人", "人"),
+    "technical_employees": ("技术人员", "公司员工情况 技术人员 {}", "{}人", "人"),
+    "dividend_per_10": ("每10股现金红利", "每 10 股派发现金红利 {} 元（含税）", "{}元（含税）", "元"),
+}
+_SAID = "said(fact, asked, says, shown, unit) AS (VALUES " + ", ".join(f"('{f}', '{a}', '{t}', '{v}', '{u}')" for f, (a, t, v, u) in _SAYINGS.items()) + ")"
+
+
+@query(f"""WITH {_CORPUS}, {_SAID} SELECT 's' || k || '-' || y || '-' || fact AS query_id, fact, replace(shown, '{{}}', format('{{:,}}', v)) AS value_text, unit, CAST(v AS DOUBLE) AS number, length(says) > 0 AS answered FROM corp, said""")
+def fact_values(spark, sf_dir):
+    """Every fact asked of every nation and year, with its value found in a passage among passages on all other facts."""
+    said = F.explode(F.from_json(F.lit(json.dumps([dict(zip(("fact", "asked", "says"), (f, a, t), strict=True)) for f, (a, t, _, _) in _SAYINGS.items()])), "array<struct<fact: string, asked: string, says: string>>"))
+    rows = _figures(spark, sf_dir).withColumn("s", said).select("k", "y", "company", "v", "s.*")
+    asked_ = rows.select(F.concat(F.lit("s"), "k", F.lit("-"), "y", F.lit("-"), "fact").alias("query_id"), F.concat("company", F.col("y").cast("string"), F.lit("年"), "asked", F.lit("是多少？")).alias("query"), "k", "y")
+    passage = F.replace(F.col("says"), F.lit("{}"), _plain("v"))
+    passages = rows.select("k", "y", "company", passage.alias("text"), F.row_number().over(Window.partitionBy("k", "y").orderBy("fact")).alias("rank"))
+    reports = passages.select(F.concat(F.lit("r"), "k", F.lit("-"), "y", F.lit(":"), "rank").alias("chunk_id"), F.concat(F.lit("r"), "k", F.lit("-"), "y").alias("document_id"), "company", F.col("y").cast("int").alias("year"), F.lit("").alias("section"), F.lit(1).alias("page"), "text", "k", "y", "rank")
+    routed = routing.route(asked_.select("query_id", "query"), routing.scope(reports))
+    hits = asked_.select("query_id", "k", "y").join(reports, ["k", "y"]).drop("k", "y").withColumns({"score": F.lit(1.0), "source": F.lit("reranker")})
+    chosen = answering.evidence(routed, hits)
+    told = answering.answers(routed, chosen).select("query_id", (F.col("status") == "answered").alias("answered"))
+    return chosen.select("query_id", "fact", "value_text", "unit", F.col("numeric_value").cast("double").alias("number")).join(told, "query_id")
+
+
 @query(f"WITH {_CORPUS} SELECT companies, years AS scope_years FROM known")
 def scope_summary(spark, sf_dir):
     return routing.scope(_reports(spark, sf_dir))
@@ -509,11 +546,17 @@ def evidence_spans(spark, sf_dir):
     return packed.select("query_id", F.substring(F.col("bodies")[0], 1, 18).alias("span_start"), F.col("kept")[0].alias("kept"))
 
 
-@query("""SELECT policy, assessment, round_index, CASE WHEN assessment = 'terminal_refusal' OR round_index >= max_rounds OR policy = 'static_rag' OR (policy = 'adaptive_budget_aware' AND assessment <> 'insufficient') THEN 'stop' ELSE 'retrieve_more' END AS action
-FROM (VALUES ('static_rag', 1), ('always_agentic', 3), ('adaptive_budget_aware', 3)) p(policy, max_rounds), (VALUES ('sufficient'), ('insufficient'), ('terminal_refusal')) a(assessment), (VALUES (1), (2), (3)) r(round_index)""")
+@query("""WITH e AS (SELECT event_id, ['static_rag', 'always_agentic', 'adaptive_budget_aware'][user_id % 3 + 1] AS policy, [1, 3, 3][user_id % 3 + 1] AS max_rounds, ['sufficient', 'insufficient', 'terminal_refusal'][event_id % 3 + 1] AS assessment, event_id // 3 % 3 + 1 AS round_index FROM events)
+SELECT event_id, CASE WHEN assessment = 'terminal_refusal' OR round_index >= max_rounds OR policy = 'static_rag' OR (policy = 'adaptive_budget_aware' AND assessment <> 'insufficient') THEN 'stop' ELSE 'retrieve_more' END AS action,
+ CASE WHEN assessment = 'terminal_refusal' THEN 'terminal_refusal' WHEN round_index >= max_rounds THEN 'round_budget_exhausted' WHEN policy = 'static_rag' THEN 'static_single_round_policy' WHEN policy = 'always_agentic' THEN 'always_agentic_forced_escalation'
+  WHEN assessment = 'insufficient' THEN 'evidence_insufficient' ELSE 'adaptive_evidence_sufficient' END AS reason FROM e""")
 def policy_decisions(spark, sf_dir):
-    rows = spark.createDataFrame([(p, m, a, r) for p, m in (("static_rag", 1), ("always_agentic", 3), ("adaptive_budget_aware", 3)) for a in ("sufficient", "insufficient", "terminal_refusal") for r in (1, 2, 3)], "policy string, max_rounds int, assessment string, round_index int")
-    return rows.select("policy", "assessment", "round_index", answering.decide(F.col("assessment"), F.col("policy"), F.col("round_index"), F.col("max_rounds"))["action"].alias("action"))
+    """Each event as a round of a run: every policy, assessment and round in turn."""
+    turn = lambda i, *of: F.element_at(F.array(*map(F.lit, of)), (i % 3 + 1).cast("int"))
+    user, event = F.col("user_id"), F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", turn(user, "static_rag", "always_agentic", "adaptive_budget_aware").alias("policy"), turn(user, 1, 3, 3).alias("max_rounds"), turn(event, "sufficient", "insufficient", "terminal_refusal").alias("assessment"), (F.floor(event / 3) % 3 + 1).cast("int").alias("round_index"))
+    chosen = answering.decide(F.col("assessment"), F.col("policy"), F.col("round_index"), F.col("max_rounds"))
+    return rows.select("event_id", chosen["action"].alias("action"), chosen["reason"].alias("reason"))
 
 
 @query("""WITH y AS (SELECT year(o_orderdate) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(28, 2))) AS DECIMAL(28, 2)) AS revenue FROM orders GROUP BY 1),
@@ -546,10 +589,13 @@ def token_ledger(spark, sf_dir):
     return ledger.totals(ledger.checked(rows), "event_type")
 
 
-@query("SELECT * FROM (VALUES (1, 2.5::DOUBLE), (2, NULL), (3, 2.0)) t(id, usd)")
+@query("""WITH e AS (SELECT event_id, event_id % 1000 AS i, user_id % 200 AS o, event_id % 1500 AS c, CASE WHEN event_id % 7 > 0 THEN 2.0::DOUBLE END AS ri, CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE END AS rc, CASE WHEN user_id % 5 > 0 THEN 8.0::DOUBLE END AS ro FROM events)
+SELECT event_id, round(((i - least(c, i)) * ri + least(c, i) * coalesce(rc, ri) + o * ro) / 1000000, 12) AS usd FROM e""")
 def cost_usd(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 1_000_000, 100_000, 200_000, 2.0, 0.5, 8.0), (2, 10, 10, 0, None, None, 8.0), (3, 1_000_000, 0, 0, 2.0, None, 8.0)], "id int, i long, o long, c long, ri double, rc double, ro double")
-    return rows.select("id", ledger.cost(*(F.col(x) for x in ("i", "o", "c", "ri", "rc", "ro"))).alias("usd"))
+    """Each event as a call: some without a price, some whose cached tokens have none of their own, or are more than the input."""
+    event, user = F.col("event_id"), F.col("user_id")
+    usd = ledger.cost(event % 1000, user % 200, event % 1500, F.when(event % 7 > 0, 2.0), F.when(event % 3 == 0, 0.5), F.when(user % 5 > 0, 8.0))
+    return table(spark, sf_dir, "events").select("event_id", F.round(usd, 12).alias("usd"))
 
 
 @query(f"WITH {_CORPUS} SELECT query_id, CASE WHEN starts_with(query_id, 'b') THEN 'large' ELSE 'small' END AS model, CASE WHEN starts_with(query_id, 'b') THEN 'multi_period' ELSE 'single_fact_sufficient_evidence' END AS reason FROM asked")
