@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from evispark.functions.facts import constraints_of, entails, extract, fact_of
 from evispark.functions.text import squeeze
 from evispark.operators.training import drop_adjacent
+from evispark.sources import shared
 
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 
@@ -58,9 +60,21 @@ def hard_no_answers(companies: DataFrame, years: Sequence[int]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, *order: str | Column, digits: int = 3) -> DataFrame:
-    """rows with query_id: the prefix and a number from 1 in the given order. A question set is written by hand or by templates, so one task numbers it."""
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("string")
-    return rows.withColumn("query_id", F.concat(F.lit(f"{prefix}-"), F.when(F.length(n) < digits, F.lpad(n, digits, "0")).otherwise(n)))
+    """rows with query_id: the prefix and a number from 1 in the given order; null comes first, ties in any order.
+
+    Rows are dealt out in ranges of the order, sorted and written; a row's number is its place in its range, and the sizes
+    of the ranges before it. So no task holds more than a range, but the one that adds up their sizes.
+    """
+    spark = rows.sparkSession
+    path = shared.path_of(spark, "numbered", uuid.uuid4().hex)
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    sorted_.write.parquet(path)
+    held = spark.read.schema(sorted_.schema).parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    sizes = held.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__from"))
+    before = sizes.select("__range", "__from", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a range
+    n = (F.col("__before") + F.col("__at") - F.col("__from") + 1).cast("string")
+    placed = held.join(F.broadcast(before), "__range").withColumn("query_id", F.concat(F.lit(f"{prefix}-"), F.when(F.length(n) < digits, F.lpad(n, digits, "0")).otherwise(n)))
+    return placed.select(*(c for c in rows.columns if c != "query_id"), "query_id")
 
 
 def merged(parts: Sequence[tuple[str, DataFrame]], prefix: str, *order: str) -> DataFrame:

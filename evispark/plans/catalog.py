@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import counters, facts, text
-from evispark.operators import answering, chunking, context, datasets, encoding, index, ledger, loop, metrics, replays, retrieval, routing, training, vectors
+from evispark.operators import answering, chunking, context, datasets, encoding, holdouts, index, ledger, loop, metrics, replays, retrieval, routing, training, vectors
 from evispark.sources import shared
 
 QUERIES: dict = {}
@@ -814,3 +814,48 @@ def replay_profiles(spark, sf_dir):
     tasks = parts[0].unionByName(parts[1]).withColumns({"input_tokens": F.length("query"), "output_tokens": F.lit(0)})
     out = loop.profiles(tasks, {"small": 0.25, "large": 1.0}, 1.0, 1.0)
     return out.select("profile", "tasks", "small", "input_tokens", F.round("normalized", 6).alias("normalized"))
+
+
+#: What the set's questions are made of: category, fact and text.
+_TEMPLATES = (
+    ("single_year_fact", "revenue", "{c}{y}年营业收入是多少？"), ("single_year_fact", "technical_employees", "{c}{y}年技术人员有多少？"), ("cross_year_comparison", "revenue", "{c}{y}年和{z}年的营业收入分别是多少？"),
+    ("calculation", "revenue", "{c}{z}年营业收入较{y}年变化了多少？"), ("annual_quarter_confusion", "revenue", "{c}{y}年全年营业收入是多少（不要使用分季度数据）？"), ("multi_evidence", "technical_employees", "{c}{y}年和{z}年的技术人员分别是多少？"),
+    ("no_answer", None, "{c}{y}年北美营业收入是多少？"), ("no_answer", None, "{c}{y}年女性技术人员有多少人？"), ("no_answer", None, "{c}{y}年净利润是多少？"),
+)
+
+
+def _holdout(spark, sf_dir):
+    """A frozen set over the nations of an odd number; those of an even one are what earlier sets have seen."""
+    reports = _reports(spark, sf_dir)
+    said = F.explode(F.array(F.struct(F.lit("revenue").alias("fact_key"), F.col("v").alias("n"), F.lit("千元").alias("unit")), F.struct(F.lit("technical_employees").alias("fact_key"), F.col("staff").alias("n"), F.lit("人").alias("unit"))))
+    document = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"))
+    rows = _figures(spark, sf_dir).withColumn("s", said).select("company", F.col("y").alias("year"), "s.fact_key", F.concat(_plain("s.n"), "s.unit").alias("answer"), F.col("s.n").cast("decimal(28,4)").alias("value"), "s.unit", F.concat(document, F.lit(":0000")).alias("chunk_id"), document.alias("document_id"), (F.col("k") + 10).cast("int").alias("page"))
+    seen = reports.where("k % 2 = 0")
+    return holdouts.build(rows, reports, spark.createDataFrame(list(_TEMPLATES), "category string, fact_key string, template string"), seen), reports.where("k % 2 = 1"), seen
+
+
+_DRAWN = f"""{_CORPUS}, quotas(category, place, quota) AS (VALUES {", ".join(f"('{c}', {i}, {n})" for i, (c, n) in enumerate(holdouts.QUOTAS.items()))}),
+one AS (SELECT a.*, b.v AS w, b.staff AS staff2, format('{{:,}}', a.v) || '千元' AS x, format('{{:,}}', b.v) || '千元' AS z, format('{{:,}}', a.staff) || '人' AS s, format('{{:,}}', b.staff) || '人' AS t FROM corp a LEFT JOIN corp b ON a.k = b.k AND b.y = a.y + 1 WHERE a.k % 2 = 1),
+made AS (
+  SELECT 'single_year_fact' AS category, company || y || '年营业收入是多少？' AS query, x AS answer FROM one
+  UNION ALL SELECT 'single_year_fact', company || y || '年技术人员有多少？', s FROM one
+  UNION ALL SELECT 'cross_year_comparison', company || y || '年和' || (y + 1) || '年的营业收入分别是多少？', y || '年' || x || '；' || (y + 1) || '年' || z FROM one WHERE w IS NOT NULL
+  UNION ALL SELECT 'calculation', company || (y + 1) || '年营业收入较' || y || '年变化了多少？', y || '年' || x || '；' || (y + 1) || '年' || z || '；' || (y + 1) || '年-' || y || '年：' || z || '-' || x || '=' || format('{{:,}}', w - v) || '千元，变化率='
+    || replace(format('{{:,.2f}}', round_even((w - v) / CAST(abs(v) AS DOUBLE) * 100, 2)), '-0.', '0.') || '%' FROM one WHERE w IS NOT NULL
+  UNION ALL SELECT 'annual_quarter_confusion', company || y || '年全年营业收入是多少（不要使用分季度数据）？', x FROM one
+  UNION ALL SELECT 'multi_evidence', company || y || '年和' || (y + 1) || '年的技术人员分别是多少？', y || '年' || s || '；' || (y + 1) || '年' || t FROM one WHERE w IS NOT NULL
+  UNION ALL SELECT 'no_answer', company || y || '年北美营业收入是多少？', NULL FROM one
+  UNION ALL SELECT 'no_answer', company || y || '年女性技术人员有多少人？', NULL FROM one),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || category || ':' || query)) AS n FROM made)"""
+
+
+@query(f"""WITH {_DRAWN} SELECT 'holdout-' || lpad(CAST(row_number() OVER (ORDER BY place, n) AS VARCHAR), 3, '0') AS query_id, category, query, answer FROM drawn JOIN quotas USING (category) WHERE n <= quota""")
+def holdout_set(spark, sf_dir):
+    return _holdout(spark, sf_dir)[0].select("query_id", "category", "query", "answer")
+
+
+@query("SELECT NULL::VARCHAR AS query_id, NULL::VARCHAR AS issue WHERE false")
+def holdout_audit(spark, sf_dir):
+    """No row: nothing is wrong with the set that holdout_set draws."""
+    rows, corpus, seen = _holdout(spark, sf_dir)
+    return datasets.audit_holdout(rows.withColumn("answerable", F.col("expected_action") == "answer"), corpus, seen, holdouts.QUOTAS)
