@@ -436,13 +436,13 @@ def _looped(spark, sf_dir):
 
 
 def _details(spark, sf_dir):
-    """The run's answers next to their labels."""
+    """The run's answers next to their labels; some that are answered are labelled as not to be."""
     asked_, run = _looped(spark, sf_dir)
     label = asked_.join(_figures(spark, sf_dir).select("k", "y", "v"), ["k", "y"])
     answerable = F.col("query_id").startswith("a")
     gold = F.concat(F.lit("r"), F.col("k").cast("string"), F.lit("-"), F.col("y").cast("string"), F.lit(":0000"))
     labels = label.select(
-        "query_id", F.when(answerable, "answerable_dev").otherwise("hard_no_answer_dev").alias("group"), F.when(answerable, F.concat(_plain("v"), F.lit("千元"))).alias("expected"),
+        "query_id", F.when(answerable & (F.col("k") % 7 != 0), "answerable_dev").otherwise("hard_no_answer_dev").alias("group"), F.when(answerable, F.concat(_plain("v"), F.lit("千元"))).alias("expected"),
         F.when(answerable, F.array(gold)).otherwise(F.array().cast("array<string>")).alias("gold"), F.when(answerable, F.array((F.col("k") + 10).cast("int"))).otherwise(F.array().cast("array<int>")).alias("pages"),
     )
     return loop.details(run.answers, run.evidence, labels)
@@ -475,9 +475,9 @@ def trajectory_usage(spark, sf_dir):
     return usage.groupBy("policy", F.col("rounds").cast("int").alias("rounds"), F.col("passages_reranked").cast("long").alias("passages_reranked"), F.col("reranker_calls").cast("long").alias("reranker_calls"), "wall_ms").agg(F.count("*").alias("tasks"))
 
 
-@query(f"""WITH {_LOOP}, d AS (SELECT policy, starts_with(query_id, 'a') AS open, (k % 2 = 1 OR policy <> 'static_rag') AS good FROM runs),
-g AS (SELECT policy, count(*) FILTER (WHERE open) AS n, count(*) FILTER (WHERE open AND good) AS ok, count(*) FILTER (WHERE NOT open) AS m FROM d GROUP BY policy)
-SELECT policy, n AS answerable_questions, ok / n::DOUBLE AS exact_answer_accuracy, ok / n::DOUBLE AS all_gold_evidence_recall, ok / n::DOUBLE AS citation_chunk_precision, ok / n::DOUBLE AS citation_page_set_accuracy, m AS hard_no_answer_questions, 1.0::DOUBLE AS hard_no_answer_refusal_accuracy FROM g""")
+@query(f"""WITH {_LOOP}, d AS (SELECT policy, starts_with(query_id, 'a') AND k % 7 <> 0 AS open, starts_with(query_id, 'e') AS refused, (k % 2 = 1 OR policy <> 'static_rag') AS good FROM runs),
+g AS (SELECT policy, count(*) FILTER (WHERE open) AS n, count(*) FILTER (WHERE open AND good) AS ok, count(*) FILTER (WHERE NOT open) AS m, count(*) FILTER (WHERE NOT open AND refused) AS rightly FROM d GROUP BY policy)
+SELECT policy, n AS answerable_questions, ok / n::DOUBLE AS exact_answer_accuracy, ok / n::DOUBLE AS all_gold_evidence_recall, ok / n::DOUBLE AS citation_chunk_precision, ok / n::DOUBLE AS citation_page_set_accuracy, m AS hard_no_answer_questions, rightly / m::DOUBLE AS hard_no_answer_refusal_accuracy FROM g""")
 def quality_metrics(spark, sf_dir):
     return metrics.quality(_details(spark, sf_dir))
 
@@ -524,12 +524,16 @@ def answer_replay_diff(spark, sf_dir):
     return replays.differences(told(saved), told(again), ["query_id"], ["status", "reason", "answer", "citations"])
 
 
-@query(f"""WITH {_CORPUS}, s AS (SELECT query_id, kind = 'out_of_scope' AS refused FROM asked)
-SELECT count(*) FILTER (WHERE NOT refused) AS dev, count(*) FILTER (WHERE refused) AS no_answer, 1.0::DOUBLE AS dev_accept_rate, 1.0::DOUBLE AS no_answer_refusal_accuracy,
-  count(*) FILTER (WHERE starts_with(query_id, 'c')) / count(*) FILTER (WHERE refused)::DOUBLE AS no_answer_reason_accuracy, 1.0::DOUBLE AS overall_decision_accuracy, []::VARCHAR[] AS false_refusals, []::VARCHAR[] AS missed_refusals FROM s""")
+@query(f"""WITH {_CORPUS}, n AS (SELECT query_id, kind = 'out_of_scope' AS refused, CASE WHEN kind = 'out_of_scope' THEN reason END AS given, CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) AS i FROM asked),
+s AS (SELECT *, (query_id[1] IN ('c', 'd') AND NOT (query_id[1] = 'c' AND i % 4 = 0)) OR (query_id[1] = 'a' AND i % 3 = 0) AS hard FROM n)
+SELECT count(*) FILTER (WHERE NOT hard) AS dev, count(*) FILTER (WHERE hard) AS no_answer, count(*) FILTER (WHERE NOT hard AND NOT refused) / count(*) FILTER (WHERE NOT hard)::DOUBLE AS dev_accept_rate,
+  count(*) FILTER (WHERE hard AND refused) / count(*) FILTER (WHERE hard)::DOUBLE AS no_answer_refusal_accuracy, count(*) FILTER (WHERE hard AND given = 'period_not_covered') / count(*) FILTER (WHERE hard)::DOUBLE AS no_answer_reason_accuracy,
+  count(*) FILTER (WHERE hard = refused) / count(*)::DOUBLE AS overall_decision_accuracy, list(query_id ORDER BY query_id) FILTER (WHERE NOT hard AND refused) AS false_refusals, list(query_id ORDER BY query_id) FILTER (WHERE hard AND NOT refused) AS missed_refusals FROM s""")
 def scope_guard(spark, sf_dir):
-    strange = F.col("query_id").rlike("^[cd]")
-    return metrics.scope_guard(_routed(spark, sf_dir).withColumns({"split": F.when(strange, "no_answer").otherwise("dev"), "expected_reason": F.when(strange, "period_not_covered")}))
+    """Some questions out of scope are labelled as within it, and some within it as out of it: refusals that are wrong or missing."""
+    of, i = (lambda kind: F.col("query_id").rlike(f"^[{kind}]")), F.regexp_extract("query_id", "[0-9]+", 0).cast("int")
+    hard = (of("cd") & ~(of("c") & (i % 4 == 0))) | (of("a") & (i % 3 == 0))
+    return metrics.scope_guard(_routed(spark, sf_dir).withColumns({"split": F.when(hard, "no_answer").otherwise("dev"), "expected_reason": F.when(hard, "period_not_covered")}))
 
 
 @query(f"WITH {_CORPUS} SELECT kind AS task_type, count(*) AS questions FROM asked GROUP BY kind")
@@ -720,12 +724,12 @@ def _labelled(spark, sf_dir):
     return rows.select(
         F.col("doc_id").alias("query_id"), "source", F.col("lang").alias("category"), F.col("lang").alias("fact_key"), F.when(good, "answerable_dev").otherwise("hard_no_answer_dev").alias("group"), F.when(good, "answered").otherwise("refused").alias("status"),
         F.when(~good, F.col("source")).alias("reason"), F.coalesce(F.col("toxic") == 0, F.lit(False)).alias("exact"), (~good & (F.col("toxic") == 0)).alias("refusal_correct"), (F.col("n_chars") % 3 > 0).alias("gold_found"),
-        (F.col("n_chars") % 4).alias("citations"), (F.col("n_chars") % 4 / 2).cast("int").alias("correct_citations"), (F.col("n_chars") % 2 == 0).alias("pages_match"),
+        (F.col("n_chars") % 4).alias("citations"), (F.col("n_chars") % 4 / 2).cast("int").alias("correct_citations"), (F.col("n_chars") % 2 == 0).alias("pages_match"), (F.col("n_chars") % 5 > 0).alias("likely"),
     ).where("status is not null")
 
 
 _LABELLED = """l AS (SELECT d.doc_id AS query_id, source, lang, quality = 1 AS good, coalesce(toxic = 0, false) AS exact, n_chars FROM documents d JOIN labels USING (doc_id)),
-det AS (SELECT *, NOT coalesce(good, false) AND exact AS refusal_correct, n_chars % 3 > 0 AS gold_found, n_chars % 4 AS citations, n_chars % 4 // 2 AS correct_citations, n_chars % 2 = 0 AS pages_match FROM l)"""
+det AS (SELECT *, NOT coalesce(good, false) AND exact AS refusal_correct, n_chars % 3 > 0 AS gold_found, n_chars % 4 AS citations, n_chars % 4 // 2 AS correct_citations, n_chars % 2 = 0 AS pages_match, n_chars % 5 > 0 AS likely FROM l)"""
 
 
 @query(f"WITH {_LABELLED} SELECT lang AS category, count(*) AS questions, count(*) FILTER (WHERE CASE WHEN good THEN exact ELSE refusal_correct END) AS correct, count(*) FILTER (WHERE CASE WHEN good THEN exact ELSE refusal_correct END) / count(*)::DOUBLE AS accuracy FROM det GROUP BY lang")
@@ -733,12 +737,14 @@ def category_metrics(spark, sf_dir):
     return metrics.categories(_labelled(spark, sf_dir))
 
 
-@query(f"""WITH {_LABELLED} SELECT count(*) FILTER (WHERE good) AS questions, 1.0::DOUBLE AS answer_rate, count(*) FILTER (WHERE good AND exact) / count(*) FILTER (WHERE good)::DOUBLE AS exact_answer_accuracy,
+@query(f"""WITH {_LABELLED} SELECT count(*) FILTER (WHERE good) AS questions, count(*) FILTER (WHERE good AND likely) / count(*) FILTER (WHERE good)::DOUBLE AS answer_rate, count(*) FILTER (WHERE good AND exact) / count(*) FILTER (WHERE good)::DOUBLE AS exact_answer_accuracy,
  count(*) FILTER (WHERE good AND gold_found) / count(*) FILTER (WHERE good)::DOUBLE AS all_gold_evidence_recall, sum(correct_citations) FILTER (WHERE good) / sum(citations) FILTER (WHERE good)::DOUBLE AS citation_chunk_precision,
- count(*) FILTER (WHERE good AND pages_match) / count(*) FILTER (WHERE good)::DOUBLE AS citation_page_set_accuracy, count(*) FILTER (WHERE NOT good) AS no_answer_questions, 1.0::DOUBLE AS no_answer_refusal_accuracy FROM det""")
+ count(*) FILTER (WHERE good AND pages_match) / count(*) FILTER (WHERE good)::DOUBLE AS citation_page_set_accuracy, count(*) FILTER (WHERE NOT good) AS no_answer_questions, count(*) FILTER (WHERE NOT good AND likely) / count(*) FILTER (WHERE NOT good)::DOUBLE AS no_answer_refusal_accuracy FROM det""")
 def evaluate_predictions(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return metrics.predictions(rows.where("status = 'answered'"), rows.where("status = 'refused'"))
+    """Some questions of either kind are decided otherwise than their label says."""
+    rows, answerable = _labelled(spark, sf_dir), F.col("group") == "answerable_dev"
+    rows = rows.withColumn("status", F.when(answerable == F.col("likely"), "answered").otherwise("refused"))
+    return metrics.predictions(rows.where(answerable), rows.where(~answerable))
 
 
 @query(f"""WITH {_LABELLED}, d AS (SELECT *, CASE WHEN good THEN 'answered' ELSE 'refused' END AS status FROM det),
