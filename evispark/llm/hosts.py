@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Suffixes of two labels under which domains are registered (fixed values).
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "com.cn", "co.in", "co.za", "com.mx")
+#: Labels that, under a country's label of two letters, make a suffix under which domains are registered (fixed values).
+SECOND_LABELS = ("ac", "asn", "blog", "co", "com", "ed", "edu", "ernet", "firm", "gen", "go", "gob", "gouv", "gov", "govt", "gub", "gv", "id", "ind", "info", "k12", "lg", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "pro", "res", "sch", "tm", "web")
+LONG_SUFFIX = f"^({'|'.join(SECOND_LABELS)})[.][a-z][a-z]$"
 #: Blocked: a bad rate above MAX_BAD with a posterior probability of 1 - DOUBT.
 MAX_BAD, DOUBT = 0.5, 0.025
 #: A prior never weighs more than so many labelled pages: two dozen bad ones of its own tell on any host.
@@ -38,10 +39,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(fits)
 
 
-def domain_of(host: Column, long_suffixes=LONG_SUFFIXES) -> Column:
-    """The registered domain: the suffix and one label more; a host without a dot is its own. A port doesn't count."""
+def domain_of(host: Column, long_suffix: str = LONG_SUFFIX) -> Column:
+    """The registered domain: the suffix and one label more; a host without a dot is its own. A port doesn't count.
+
+    A suffix is the last label, or the last two where these match the pattern long_suffix: a country's and one of the
+    labels that countries set aside for kinds of registrants. A host that is just such a pair is its own domain.
+    """
     plain = F.substring_index(host, ":", 1)
-    return F.when(F.substring_index(plain, ".", -2).isin(*long_suffixes), F.substring_index(plain, ".", -3)).otherwise(F.substring_index(plain, ".", -2))
+    return F.when(F.substring_index(plain, ".", -2).rlike(long_suffix), F.substring_index(plain, ".", -3)).otherwise(F.substring_index(plain, ".", -2))
 
 
 def strength(groups: DataFrame) -> DataFrame:
@@ -143,7 +148,6 @@ def _prior(name: str, groups: str) -> str:
         FROM {groups} WHERE n > 0) WHERE g > 1 AND n > g)))"""
 
 
-_SUFFIX_LIST = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
 _RULE_ROWS = ", ".join(f"('{r}', '{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for r, v in RULES)
 #: The same rows in SQL.
 HOSTS_SQL = f"""
@@ -156,7 +160,7 @@ outcomes AS (
     SELECT doc_id AS of, coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL) l
   ON l.of = u.page_id),
 parts AS (SELECT host, count(bad) AS n, count(*) FILTER (WHERE bad) AS bad, string_split(string_split(host, ':')[1], '.') AS p FROM outcomes GROUP BY host),
-named AS (SELECT host, n, bad, array_to_string(p[(CASE WHEN array_to_string(p[-2:], '.') IN ({_SUFFIX_LIST}) THEN -3 ELSE -2 END):], '.') AS domain FROM parts),
+named AS (SELECT host, n, bad, array_to_string(p[(CASE WHEN regexp_matches(array_to_string(p[-2:], '.'), '{LONG_SUFFIX}') THEN -3 ELSE -2 END):], '.') AS domain FROM parts),
 hosts AS (SELECT *, CASE WHEN instr(domain, '.') > 0 THEN substring(domain, instr(domain, '.') + 1) ELSE domain END AS suffix FROM named),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),

@@ -299,3 +299,10 @@ def test_pipeline(spark, docs):
         frame = stage(spark, frame, "")
         assert frame.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, frame, "").count() == frame.count() > 0
+
+
+def test_registered_domains(spark):
+    """Two labels are a suffix where a country's follows a kind of registrant, whatever the country."""
+    known = {"a.b.example.com": "example.com", "x.y.co.uk": "y.co.uk", "www.uni.ac.at": "uni.ac.at", "z.gob.mx:8080": "z.gob.mx", "shop.me.com": "me.com", "co.uk": "co.uk", "a.de.com": "de.com", "localhost": "localhost", "": "", "k.ne.jp": "k.ne.jp", "b.k.ne.jp": "k.ne.jp", "d.co.info": "co.info"}
+    rows = spark.createDataFrame([(h,) for h in known], "host string")
+    assert {r.host: r.d for r in rows.select("host", hosts.domain_of(F.col("host")).alias("d")).collect()} == known
