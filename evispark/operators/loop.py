@@ -75,12 +75,14 @@ def run_rounds(items: DataFrame, corpus: DataFrame, rounds: DataFrame, policies:
         merged.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *HIT))).alias("hits")).write.parquet(f"{own}-hits")
         hits = spark.read.parquet(f"{own}-hits")
         merged = hits.select("query_id", F.explode("hits").alias("h")).select("query_id", *(F.col(f"h.{c}").alias(c) for c in (*HIT, "rank")))
-        chosen = answering.evidence(active.select(*asked), merged, minimum)
+        answering.evidence(active.select(*asked), merged, minimum).write.parquet(f"{own}-chosen")  # answers and their verification both read it
+        chosen = spark.read.parquet(f"{own}-chosen")
         judged = answering.verify(answering.answers(active, chosen), chosen, F.lit(turn), confirm).withColumn("round_index", F.lit(turn))
         judged = judged.withColumn("mixed_up", F.col("mixed_up") | F.array_contains("reasons", "annual_quarter_mismatch"))
         rows = judged.join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(ArrayType(kind))))
         _decided(rows, F.col("pending"), lambda p: answering.decide(F.col("assessment"), p["policy"], F.lit(turn), p["max_rounds"])).drop("pending").write.parquet(own)
-        shared.delete(spark, f"{own}-hits")
+        for made in ("hits", "chosen"):
+            shared.delete(spark, f"{own}-{made}")
 
     shared.made_once(spark, f"{path}/round-0", refuse)
     done = [spark.read.parquet(f"{path}/round-0")]
