@@ -58,6 +58,7 @@ def automaton(symbols: np.ndarray, usable: np.ndarray, joined: np.ndarray, depth
         level = {"first": first, "count": count, "end": end, "parent": node[end] if d > 1 else np.full(len(end), -1), "d": np.full(len(end), d)}
         node = np.full(len(symbols), -1, np.int64)
         node[at[order]] = np.repeat(first + np.arange(len(starts)), count)
+        del key, order
         levels.append(level)
         first += len(starts)
     if not levels:

@@ -55,6 +55,7 @@ def word_counts(docs: DataFrame, seed: int, digest: Digest) -> DataFrame:
             code[symbol] = found.codes
             n = np.bincount(symbol, minlength=len(digests))
             yield pa.record_batch([pa.array(digests.view(np.int64)), lang.cast(pa.string()), found.words.take(pa.array(code)).cast(pa.binary()), pa.array(n)], ["w", "lang", "word", "n"])
+            del shard, found, lang, symbol, digests, code, n  # not to be held while the next shard is read
 
     rows = docs.select("lang", "text").mapInArrow(run, "w long, lang string, word binary, n long")
     return rows.groupBy("w", "lang", "word").agg(F.sum("n").alias("n")).withColumn("word", F.col("word").cast("string"))
@@ -96,7 +97,9 @@ def longer_counts(docs: DataFrame, lo: int, hi: int, words, pairs, seed: int, di
             if pairs is not None and len(symbol):
                 own = digests[symbol]
                 joined[1:] &= passes(pairs.value, paired(own[:-1], own[1:]))
+                del own
             states = automaton(symbol, usable, joined, hi)
+            del shard, found, usable, joined
             for length in range(lo, hi + 1):
                 of = states.hi == length
                 if not of.any():
@@ -106,6 +109,8 @@ def longer_counts(docs: DataFrame, lo: int, hi: int, words, pairs, seed: int, di
                 spans = np.arange(len(keys) + 1, dtype=np.int32) * (8 * length)
                 column = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(spans), pa.py_buffer(keys)])
                 yield pa.record_batch([column, pa.array(np.maximum(states.lo[of], lo).astype(np.int32)), pa.array(states.count[of])], ["key", "lo", "n"])
+                del of, places, keys, spans, column
+            del symbol, digests, states
 
     rows = docs.select("lang", "text").mapInArrow(run, "key binary, lo int, n long")
     if hi > lo:
