@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions.text import strip
 
+#: What marks a page and a heading, and the name of what comes before the first (fixed values).
 PAGE = r"(?iU)^\s*<!--\s*page\s*:\s*(\d+)\s*-->\s*$"
 HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*$"
 START = "文档开头"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evispark.sources import shared
+
 CHUNKS = "chunk_id string, document_id string, company string, year int, section string, page int, text string"
 QUERIES = "query_id string, query string, relevant_chunk_ids array<string>, question_type string"
 REPORTS = "document_id string, company string, stock_code string, year int, filename string, url string, source string"
@@ -35,6 +39,27 @@ def write(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
+def write_file(rows: DataFrame, path: str, *order: str) -> None:
+    """One file of JSON lines, in the order of these columns where any are given, in folders made for it; a path that exists is an error.
+
+    One task sorts them, on disk where they are many, and writes them: for what is handed to tools that read one file. It
+    appears by a rename. No rows make an empty file.
+    """
+    spark, own = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    if shared.exists(spark, path):
+        raise FileExistsError(path)
+    one = rows.repartition(1)
+    (one.sortWithinPartitions(*order) if order else one).write.option("ignoreNullFields", "false").json(own)
+    try:
+        parts = shared.names(spark, own, "part-*")
+        if parts:
+            shared.move(spark, parts[0], path)
+        else:
+            shared.touch(spark, path)
+    finally:
+        shared.delete(spark, own)
+
+
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256, valid) of files: large enough and with a PDF's first bytes."""
     files = spark.read.format("binaryFile").load(path)

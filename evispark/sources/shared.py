@@ -51,6 +51,18 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(of(path), True)
 
 
+def names(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """The paths of a folder's entries that match the pattern, sorted."""
+    files, of = _files(spark, path)
+    return sorted(x.getPath().toString() for x in files.globStatus(of(f"{path}/{pattern}")) or [])
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    files, of = _files(spark, path)
+    files.create(of(path)).close()
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     """Renames a folder, so that it appears at once; the folder above it is made."""
     files, of = _files(spark, to)

@@ -5,12 +5,7 @@ from evispark.functions import facts, text
 from evispark.operators import answering, chunking, context, datasets, ledger, loop, metrics, retrieval, routing, training
 from evispark.plans import catalog
 
-#: What has SQL and takes long is left to the correctness run.
-SLOW = {"trajectory_usage", "trajectory_steps", "bm25_filtered_topk", "rerank_topk", "rrf_fusion", "hard_negatives", "quality_gates", "dense_filtered_topk", "term_stats"}
-QUICK = sorted(set(catalog.ORACLE_SQL) - SLOW)
-
-
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_same_as_sql(same, name):
     same(catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 

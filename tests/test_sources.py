@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,20 @@ def test_round_trip_and_no_overwrite(spark, tmp_path):
         jsonl.write(rows, f"{tmp_path}/chunks")
 
 
+def test_one_file(spark, tmp_path):
+    rows = [("b:0001", "b", "乙", 2024, "s", 1, "two\nlines"), ("a:0000", "a", None, None, "", None, "text")]
+    chunks = spark.createDataFrame(rows * 1, jsonl.CHUNKS).repartition(2)
+    path = tmp_path / "deep" / "er" / "chunks.jsonl"
+    jsonl.write_file(chunks, str(path), "chunk_id")
+    assert path.is_file() and [json.loads(x)["chunk_id"] for x in path.read_text().splitlines()] == ["a:0000", "b:0001"]
+    assert json.loads(path.read_text().splitlines()[0])["page"] is None and [x.name for x in path.parent.iterdir() if not x.name.startswith(".")] == ["chunks.jsonl"]
+    assert sorted(map(tuple, jsonl.read_chunks(spark, str(path)).collect())) == sorted(rows)
+    with pytest.raises(FileExistsError):
+        jsonl.write_file(chunks, str(path))
+    jsonl.write_file(chunks.limit(0), str(tmp_path / "none.jsonl"))
+    assert (tmp_path / "none.jsonl").read_text() == "" and jsonl.read_chunks(spark, str(tmp_path / "none.jsonl")).count() == 0
+
+
 def test_pdf_check(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-" + b"x" * 10_000)
     (tmp_path / "b.pdf").write_bytes(b"<html>" + b"x" * 10_000)
