@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from evispark.operators import answering, retrieval, routing
+from evispark.functions import counters
+from evispark.functions.counters import Counter
+from evispark.operators import answering, context, ledger, retrieval, routing
 from evispark.sources import shared
 
 #: What a round costs, besides the two times and the two shares of loading a model (each in milliseconds).
@@ -158,6 +160,37 @@ def profiles(tasks: DataFrame, multipliers: dict[str, float], input_weight: floa
     )
 
 
+#: What each profile of a token replay does: model policy, evidence spans, compressed prompt, and the context's budget where it has one.
+PROFILES = {
+    "baseline": ("always_large", False, False, None), "routing": ("adaptive", False, False, None), "prompt": ("always_large", False, True, None),
+    "context": ("always_large", True, False, 1200), "combined": ("adaptive", True, True, 1200),
+}
+
+
+def token_replay(items: DataFrame, hits: DataFrame, counter: Counter, profiles: dict[str, tuple] = PROFILES, top_k: int = 10) -> DataFrame:
+    """(profile, query_id, model, reason, context_tokens_before, context_tokens_after, input_tokens, output_tokens) of saved runs, as each profile would have asked them.
+
+    items: (query_id, query, rounds, status, answer); hits: what each question ended with, as for context.build().
+    A profile packs the evidence, makes the prompt and picks the model; its input is the counter's tokens of the messages, its output those of
+    the saved answer as JSON: nothing is generated. A question without evidence has the prompt's note in its place.
+    """
+    parts, sizes = [], hits.groupBy("query_id").agg(F.count("*").alias("__hits"))
+    for name, (policy, spans, compressed, budget) in profiles.items():
+        packed = context.build(hits, items, spans, top_k, budget, counter=counter).select("query_id", "context", "tokens_before", "tokens_after")
+        rows = items.join(packed, "query_id", "left").join(sizes, "query_id", "left")
+        asked = context.prompt(F.col("query"), F.col("context"), compressed)
+        messages = F.concat(F.lit("<system>\n"), asked["system"], F.lit("\n<user>\n"), asked["user"], F.lit("\n<assistant>\n"))
+        told = F.to_json(F.struct("status", "answer"), {"ignoreNullFields": "false"})
+        model = ledger.choose_model(F.col("query"), F.col("rounds"), F.coalesce("__hits", F.lit(0)), policy)
+        rows = rows.select("query_id", model["model"].alias("model"), model["reason"].alias("reason"), F.coalesce("tokens_before", F.lit(0)).alias("context_tokens_before"), F.coalesce("tokens_after", F.lit(0)).alias("context_tokens_after"), messages.alias("__in"), told.alias("__out"))
+        parts.append(rows.withColumn("profile", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.withColumn("input_tokens", counters.count(counter, F.col("__in"))).withColumn("output_tokens", counters.count(counter, F.col("__out")))
+    return out.select("profile", "query_id", "model", "reason", "context_tokens_before", "context_tokens_after", "input_tokens", "output_tokens")
+
+
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, scorer: Column | None = None, candidates: int = 50, reranked: int = 20, top_k: int = 10, bm25_weight: float = 10.0) -> DataFrame:
     """Hits of each question: BM25 of the expanded question and, if vectors and question vectors are given, dense search, fused, filtered by metadata, reranked.
 

@@ -755,6 +755,30 @@ def failure_analysis(spark, sf_dir):
     return metrics.failures(_labelled(spark, sf_dir).where("fact_key is not null"), spark.createDataFrame([("en",)], "fact_key string"))
 
 
+def _replayed(spark, sf_dir):
+    """The adaptive run's questions and what they ended with, asked again under every profile; tokens are words."""
+    _, run = _looped(spark, sf_dir)
+    adaptive = F.col("policy") == answering.ADAPTIVE
+    items = run.answers.where(adaptive).select("query_id", "query", F.col("round_index").alias("rounds"), "status", "answer")
+    return loop.token_replay(items, run.evidence.where(adaptive).drop("policy"), counters.Words())
+
+
+@query(f"""WITH {_LOOP}, r AS (SELECT * FROM runs WHERE policy = 'adaptive_budget_aware'),
+p(profile) AS (VALUES ('baseline'), ('routing'), ('prompt'))
+SELECT profile, query_id, CASE WHEN profile = 'routing' AND rounds = 1 THEN 'small' ELSE 'large' END AS model, CAST(rounds AS INTEGER) AS rounds FROM r, p""")
+def token_replay_models(spark, sf_dir):
+    """Which model each profile without packed contexts asks: all the large one, but routing for questions of one round."""
+    _, run = _looped(spark, sf_dir)
+    rounds = run.answers.where(F.col("policy") == answering.ADAPTIVE).select("query_id", F.col("round_index").alias("rounds"))
+    return _replayed(spark, sf_dir).where("profile in ('baseline', 'routing', 'prompt')").join(rounds, "query_id").select("profile", "query_id", "model", "rounds")
+
+
+@query()
+def token_replay(spark, sf_dir):
+    """Tokens and normalized cost of all five profiles."""
+    return loop.profiles(_replayed(spark, sf_dir), {"small": 0.25, "large": 1.0}, 1.0, 1.0)
+
+
 @query(f"""WITH {_DENSE}, a AS ({_top("dn")}), b AS ({_top("dn", "label % 2 = query_label % 2")}), rel AS (SELECT query_id, chunk_id FROM dn WHERE label = query_label)
 SELECT r.query_id, min(a.rank) AS "before", min(b.rank) AS "after", count(*) FILTER (WHERE b.rank IS NULL) AS missed FROM rel r LEFT JOIN a USING (query_id, chunk_id) LEFT JOIN b USING (query_id, chunk_id) GROUP BY r.query_id""")
 def before_after(spark, sf_dir):

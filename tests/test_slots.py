@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions import counters
-from evispark.operators import context, encoding, retrieval
+from evispark.operators import context, encoding, loop, retrieval
 from evispark.sources import shared
 
 random.seed(9)
@@ -116,3 +116,23 @@ def test_dense_search_by_an_encoder(spark, tmp_path):
     asked = encoding.encode_queries(queries, encoder)
     assert asked.columns == ["query_id", "query", "query_vector"]
     assert [(r.query_id, r.chunk_id) for r in retrieval.dense(vectors, encoding.encode_queries(queries, encoding.HashEncoder(64)), 1).orderBy("query_id").collect()] == [(1, 0), (2, 2)]
+
+
+def test_token_replay(spark):
+    """Every profile's tokens are those of the messages it would have sent, and no evidence leaves the prompt's note."""
+    rows = [(q, i + 1, f"c{q}-{i}", "甲", 2024, None, "s", "营业收入 1,234 " + passage() * 3) for q in range(3) for i in range(4)]
+    hits = spark.createDataFrame(rows, HITS)
+    items = spark.createDataFrame([(0, "甲2024年营业收入是多少", 1, "answered", "5元"), (1, "甲2023年和2024年营业收入变化", 1, "answered", "6"), (2, "甲2024年营业收入", 3, "refused", None), (3, "甲2024年营业收入", 1, "refused", None)], "query_id int, query string, rounds int, status string, answer string")
+    counter, plans = counters.Words(), loop.PROFILES | {"tight": ("adaptive", True, True, 20)}
+    got = {(r.profile, r.query_id): r for r in loop.token_replay(items, hits, counter, plans).collect()}
+    assert len(got) == 4 * len(plans)
+    for name, (policy, spans, compressed, budget) in plans.items():
+        packed = {r.query_id: r for r in context.build(hits, items, spans, 10, budget, counter=counter).collect()}
+        for item in items.collect():
+            own, row = packed.get(item.query_id), got[name, item.query_id]
+            system = context.COMPRESSED_PROMPT if compressed else context.FULL_PROMPT
+            user = f"问题：{item.query}\n\n证据：\n{own.context if own and own.context else '[无可用证据]'}"
+            assert row.input_tokens == counter.counts([counters.flattened([{"role": "system", "content": system}, {"role": "user", "content": user}])])[0]
+            assert (row.context_tokens_before, row.context_tokens_after) == ((own.tokens_before, own.tokens_after) if own else (0, 0)) and row.output_tokens == 1
+            assert row.model == ("large" if policy == "always_large" or item.query_id in (1, 2) else "small")
+    assert got["tight", 0].context_tokens_after < got["baseline", 0].context_tokens_after
