@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir; a local session without one gets its own, a cluster must set it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        known = tempfile.mkdtemp(prefix="evispark-")
-        spark.conf.set("spark.checkpoint.dir", known)
+        app = spark.sparkContext.applicationId
+        known = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="evispark-")
     return known.rstrip("/")
 
 
