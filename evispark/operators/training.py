@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evispark.functions.text import let, strip
+from evispark.operators.metrics import Classes
 
 CHUNK_ID = r"^(.+):(\d+)$"
 
@@ -31,14 +32,22 @@ def drop_adjacent(candidates: DataFrame, gold: DataFrame, distance: int = 1) ->
     return rows.join(known, close, "left_anti").drop("__d", "__i")
 
 
-def hard_negatives(rankings: list[DataFrame], gold: DataFrame, quota: int = 24, distance: int = 1) -> DataFrame:
+def neighbours(candidates: DataFrame, gold: Classes, distance: int = 1) -> DataFrame:
+    """(query_id, chunk_id): of the relevant chunks those within `distance` of a candidate of their question, all that drop_adjacent() needs of them."""
+    doc, at = parts(F.col("chunk_id"))
+    near = candidates.select("query_id", doc.alias("__doc"), F.explode(F.sequence(at - distance, at + distance)).alias("__at")).distinct()
+    chunks = gold.chunks.select("chunk_id", doc.alias("__doc"), at.alias("__at"))
+    return gold.of(near.join(chunks, ["__doc", "__at"]).select("query_id", "chunk_id"))
+
+
+def hard_negatives(rankings: list[DataFrame], gold: DataFrame | Classes, quota: int = 24, distance: int = 1) -> DataFrame:
     """(query_id, chunk_id, source, n): the first `quota` candidates of each question, the first ranking that has one names its source."""
     union = None
     for i, r in enumerate(rankings):
         rows = r.select("query_id", "chunk_id", "source", F.lit(i).alias("turn"), "rank")
         union = rows if union is None else union.union(rows)
     first = union.groupBy("query_id", "chunk_id").agg(F.min(F.struct("turn", "rank", "source")).alias("seen"))
-    safe = drop_adjacent(first, gold, distance)
+    safe = drop_adjacent(first, neighbours(first, gold, distance) if isinstance(gold, Classes) else gold, distance)
     n = F.row_number().over(W.partitionBy("query_id").orderBy("seen.turn", "seen.rank"))
     return safe.select("query_id", "chunk_id", F.col("seen.source").alias("source"), n.alias("n")).where(F.col("n") <= quota)
 
