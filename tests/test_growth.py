@@ -53,3 +53,26 @@ def test_relevance_by_class_gives_what_its_pairs_give_without_making_them(spark)
     grown = spark.range(200_000).select(F.concat(F.lit("d:"), F.col("id").cast("string")).alias("chunk_id"), (F.col("id") % 2).alias("class"))
     wide = metrics.Classes(grown.withColumnRenamed("chunk_id", "query_id"), grown, True)  # 2e10 pairs
     assert {tuple(r) for r in wide.sizes().groupBy("n").count().collect()} == {(99_999, 200_000)}
+
+
+def test_what_texts_share_is_hashed_once(monkeypatch):
+    """As the loop over words and trigrams that it stands for, with odd characters in it."""
+    import hashlib
+
+    import numpy as np
+
+    from evispark.operators import encoding
+
+    rng = random.Random(6)
+    texts = ["", "a", "ab", "abc", "\ud800x \ud800x", "İİ ß ǅ", "😀😀😀😀 年报", *("".join(rng.choices("abc \nÄ年😀", k=rng.randrange(60))) for _ in range(600)), "ab cd " * 2000]
+    plain = np.zeros((len(texts), 16), np.float32)
+    for row, text in zip(plain, texts, strict=True):
+        text = text[:500].lower()
+        for feature in [*text.split(), *(text[i : i + 3] for i in range(len(text) - 2))]:
+            h = int.from_bytes(hashlib.blake2b(feature.encode(errors="replace"), digest_size=8).digest(), "little")
+            row[h % 16] += 1 if h >> 63 else -1
+    norm = np.sqrt((plain**2).sum(axis=1, keepdims=True))
+    hashed, blake2b = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda x, **k: hashed.append(x) or blake2b(x, **k))
+    assert (encoding.HashEncoder(16, 500).documents(texts) == plain / np.where(norm > 0, norm, 1)).all()
+    assert len(hashed) < 4000  # of 38,000 words and trigrams
