@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evispark.functions.text import strip
+from evispark.functions.text import let, strip
 
 #: What marks a page and a heading, and the name of what comes before the first (fixed values).
 PAGE = r"(?iU)^\s*<!--\s*page\s*:\s*(\d+)\s*-->\s*$"
@@ -20,23 +20,30 @@ def split_long(text: Column, size: int, overlap: int) -> Column:
     """Pieces of at most `size` characters, cut after the last line or sentence end in a window's second half, each overlapping the next.
 
     A fold over as many steps as the text can have pieces; the state is where the next piece starts. Each step moves on
-    by half a window less the overlap at least, or by one character.
+    by half a window less the overlap at least, or by one character. What a step uses more than once is bound, as an
+    expression inside a fold is computed anew wherever it stands.
     """
     steps = F.ceil(F.length(text) / F.lit(max(1, size // 2 + 1 - overlap))).cast("int") + 1
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
 
-    def step(s: Column, _: Column) -> Column:
-        window = F.substring(text, s["at"] + 1, F.lit(size))
-        ends = F.greatest(*(F.when(F.instr(window, c) > 0, F.length(window) - F.instr(F.reverse(window), c) + 1).otherwise(0) for c in "\n。；"))
-        last = s["at"] + size >= F.length(text)
-        length = F.when(last | (ends - 1 <= size // 2), F.length(window)).otherwise(ends)
-        piece = strip(F.substring(text, s["at"] + 1, length))
-        pieces = F.when(piece != "", F.concat(s["pieces"], F.array(piece))).otherwise(s["pieces"])
-        following = F.when(last, F.length(text)).otherwise(F.greatest(s["at"] + length - overlap, s["at"] + 1))
-        return F.when(s["at"] >= F.length(text), s).otherwise(F.struct(following.alias("at"), pieces.alias("pieces")))
+    def fold(n: Column) -> Column:
+        def cut(s: Column, window: Column, length: Column) -> Column:
+            piece = F.filter(F.array(strip(F.substring(window, F.lit(1), length))), lambda p: p != "")
+            following = F.when(s["at"] + size >= n, n).otherwise(F.greatest(s["at"] + length - overlap, s["at"] + 1))
+            return F.struct(following.alias("at"), F.concat(s["pieces"], piece).alias("pieces"))
 
-    fold = F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda s: s["pieces"])
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(fold)
+        def ends(window: Column) -> Column:
+            """How much of the window is behind its last end of a line or sentence, that included."""
+            return let(F.reverse(window), lambda back: F.length(window) + 1 - F.least(*(F.nullif(F.instr(back, c), F.lit(0)) for c in "\n。；")))
+
+        def step(s: Column, _: Column) -> Column:
+            length = lambda w: let(ends(w), lambda e: F.when((s["at"] + size >= n) | e.isNull() | (e - 1 <= size // 2), F.length(w)).otherwise(e))
+            moved = let(F.substring(text, s["at"] + 1, F.lit(size)), lambda w: let(length(w), lambda k: cut(s, w, k)))
+            return F.when(s["at"] >= n, s).otherwise(moved)
+
+        return F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda s: s["pieces"])
+
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(let(F.length(text), fold))
 
 
 def chunk(documents: DataFrame, max_chars: int = 900, overlap_chars: int = 120, min_chars: int = 40) -> DataFrame:

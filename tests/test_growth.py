@@ -76,3 +76,11 @@ def test_what_texts_share_is_hashed_once(monkeypatch):
     monkeypatch.setattr(hashlib, "blake2b", lambda x, **k: hashed.append(x) or blake2b(x, **k))
     assert (encoding.HashEncoder(16, 500).documents(texts) == plain / np.where(norm > 0, norm, 1)).all()
     assert len(hashed) < 4000  # of 38,000 words and trigrams
+
+
+def test_a_step_of_the_split_reads_its_window_once(spark):
+    """An expression in a fold is computed wherever it stands: windows that stand in it once are cut once."""
+    from evispark.operators import chunking
+
+    plan = spark.createDataFrame([("x",)], "t string").select(chunking.split_long(F.col("t"), 60, 11))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("substring(t#") == 1
