@@ -168,3 +168,25 @@ def test_bounds_hold(spark, cloud, pointed, tmp_path):
     assert matrix_of(rows.column("centre"), 6).shape == (rows.num_rows, 6)
     with pytest.raises(ValueError):
         vectors.write(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "chunk_id int, vector array<double>"), f"{tmp_path}/w")
+
+
+def test_a_task_makes_the_blocks_of_a_range_from_its_chunks():
+    """Of batches in the order of ranges, whatever their bounds; no posting is moved by itself, so none is left to be grouped."""
+    import pyarrow as pa
+
+    tokens = [["b", "a", "b"], [], ["a"], ["c", "c", "c", "b"], ["a", "b"]]
+    batch = pa.record_batch([pa.array([7, 8, 9, 10, 11]), pa.array(list("xyxyx")), pa.array(tokens, pa.list_(pa.string()))], ["chunk_id", "lang", "tokens"])
+    rows = [r for b in index.counted([batch.slice(1, 2), batch.slice(0, 1), batch.slice(3)]) for r in b.to_pylist()]
+    assert {r["chunk_id"]: r["dl"] for r in rows} == {7: 3, 8: 0, 9: 1, 10: 4, 11: 2}
+    assert {r["chunk_id"]: {t["term"]: t["tf"] for t in r["terms"]} for r in rows}[7] == {"a": 1, "b": 2}
+    assert all((r["probe"] in [t["term"] for t in r["terms"]]) if r["dl"] else True for r in rows)
+    for r in rows:
+        r["range"] = r.pop("chunk_id") // 9
+        r["chunk_id"] = {"x": r["range"], "y": -1}[r["lang"]]
+        del r["probe"]
+    rows.sort(key=lambda r: r["range"])
+    kinds = pa.schema([("lang", pa.string()), ("dl", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))), ("range", pa.int32()), ("chunk_id", pa.int64())])
+    whole = pa.RecordBatch.from_pylist(rows, kinds)
+    got = [r for b in index.blocks_of([whole.slice(0, 1), whole.slice(1, 2), whole.slice(3)], ["lang"], 2.0, 1.5, 0.75) for r in b.to_pylist()]
+    assert {(r["term"], r["range"]): (r["n"], sorted(h["tf"] for h in r["hits"])) for r in got} == {("a", 0): (1, [1]), ("b", 0): (1, [2]), ("a", 1): (2, [1, 1]), ("b", 1): (2, [1, 1]), ("c", 1): (1, [3])}
+    assert all(r["top"] == max(index.gain(h["tf"], h["dl"], 2.0) for h in r["hits"]) and set(r["hits"][0]) == {"chunk_id", "lang", "tf", "dl"} for r in got)
