@@ -190,3 +190,16 @@ def test_a_task_makes_the_blocks_of_a_range_from_its_chunks():
     got = [r for b in index.blocks_of([whole.slice(0, 1), whole.slice(1, 2), whole.slice(3)], ["lang"], 2.0, 1.5, 0.75) for r in b.to_pylist()]
     assert {(r["term"], r["range"]): (r["n"], sorted(h["tf"] for h in r["hits"])) for r in got} == {("a", 0): (1, [1]), ("b", 0): (1, [2]), ("a", 1): (2, [1, 1]), ("b", 1): (2, [1, 1]), ("c", 1): (1, [3])}
     assert all(r["top"] == max(index.gain(h["tf"], h["dl"], 2.0) for h in r["hits"]) and set(r["hits"][0]) == {"chunk_id", "lang", "tf", "dl"} for r in got)
+
+
+def test_texts_stay_where_they_are_when_hits_are_joined_with_them(spark):
+    """Even where neither side is known to be small."""
+    from evispark.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog._hits_to_pack(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [chunk_id" not in plan and "BroadcastHashJoin [chunk_id" in plan
