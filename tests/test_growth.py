@@ -30,6 +30,20 @@ def test_scores_are_made_a_block_at_a_time_and_allowed_pairs_in_passes(spark, mo
         assert got == plain
 
 
+def test_a_block_with_few_open_scores_is_not_ordered_as_a_whole(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    scores = rng.integers(0, 40, (300, 9)).astype(float)
+    for share in (0.0, 0.01, 0.05, 0.5, 1.0):
+        open_ = rng.random(scores.shape) < share
+        for k in (0, 1, 4, 400):
+            at = retrieval.best_at(scores, open_, k)
+            assert sorted(zip(*at, strict=True)) == sorted(zip(*np.nonzero(retrieval.best_of(scores, open_, k)), strict=True))
+    monkeypatch.setattr(retrieval.np, "partition", None)
+    assert len(retrieval.best_at(scores, rng.random(scores.shape) < 0.05, 4)[0]) > 9
+
+
 def test_a_block_of_allowed_questions_is_what_lists_say():
     import numpy as np
 
